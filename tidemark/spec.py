@@ -64,6 +64,12 @@ SQUASH_SCALE = 10.0
 
 # alerts
 ALERT_TYPES = ("whale_spike", "stress_event", "momentum_collapse", "regime_shift")
+ALERT_MESSAGES = {
+    "whale_spike": "Whale activity spike: whale_index up by %.1f points vs previous day.",
+    "stress_event": "On-chain stress elevated: stress_index at %.1f.",
+    "momentum_collapse": "Momentum collapse: momentum_score down by %.1f points vs previous day.",
+    "regime_shift": "Regime shift from %s to %s.",
+}
 WHALE_SPIKE_POINTS = 20.0
 STRESS_LEVEL = 80.0
 MOMENTUM_DROP_POINTS = 25.0
