@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import load
 from tidemark import spec
+from tidemark.functions.lineage import cut_lineage
 from tidemark.functions.values import feature_or_neutral, score_or_neutral
 from tidemark.operators import alerts as alert_ops
 from tidemark.operators import metrics, model, normalize, quality, signals, training_data
@@ -38,9 +39,13 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def rounded(df: DataFrame, digits: int = 6, keys: tuple[str, ...] = ("chain", "date")) -> DataFrame:
-    doubles = {n for n, t in df.dtypes if t == "double" and n not in keys}
-    return df.select(*[r(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+# averages and medians of amounts in cents fall on half units of fewer digits
+OWN_DIGITS = {"close": 6, "gas_price_median": 6}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    doubles = {n for n, t in df.dtypes if t == "double"}
+    return df.select(*[r(c, max(digits, OWN_DIGITS.get(c, 0))).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------ derived inputs
@@ -83,12 +88,14 @@ def all_days(spark: SparkSession, sf: str) -> DataFrame:
     return feature_plans.features_all_chains(raw_chains(spark, sf), load(spark, sf, "prices"))
 
 
-def fitted(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.fit_params(all_days(spark, sf), spec.FEATURES_BY_CHAIN)
+def stored_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily features as a daily run keeps them: computed from the raw rows once, then reused."""
+    return cut_lineage(all_days(spark, sf))
 
 
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.transform(all_days(spark, sf), fitted(spark, sf), spec.ALL_FEATURES)
+    days = stored_days(spark, sf)
+    return normalize.transform(days, normalize.fit_params(days, spec.FEATURES_BY_CHAIN), spec.ALL_FEATURES)
 
 
 def scored_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,16 +107,24 @@ def stored_at(hours: int = 27) -> Column:
     return F.timestamp_seconds(F.unix_date("date").cast("long") * 86400 + F.lit(hours * 3600))
 
 
-def sample_signals(spark: SparkSession, sf: str) -> DataFrame:
+def sample_signals(scored: DataFrame) -> DataFrame:
     """Signals standing for the stored table: one per day, stored at 03:00 the next day."""
-    return signals.stateless_signals(scored_days(spark, sf)).withColumn("created_at", stored_at())
+    return signals.stateless_signals(scored).withColumn("created_at", stored_at())
+
+
+def stored_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_signals(scored_days(spark, sf))
 
 
-def sample_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    found = alert_ops.alert_rows(sample_signals(spark, sf)).withColumn("created_at", stored_at())
+def sample_alerts(rows: DataFrame) -> DataFrame:
+    found = alert_ops.alert_rows(rows).withColumn("created_at", stored_at())
     return store.with_alert_id(found).select(*store.ALERTS.fieldNames())
 
 
+def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_alerts(stored_signals(spark, sf))
+
+
 def sample_performance(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of ten model versions; later patch numbers are trained later."""
     report = metrics.evaluation_report(load(spark, sf, "predictions"), ["chain", "model_version"])
@@ -121,7 +136,7 @@ def sample_performance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_days(spark: SparkSession, sf: str) -> DataFrame:
-    return training_data.training_set(all_days(spark, sf), training_data.drawdown_label(load(spark, sf, "prices")))
+    return training_data.training_set(stored_days(spark, sf), training_data.drawdown_label(load(spark, sf, "prices")))
 
 
 def with_epoch(df: DataFrame, name: str = "created_at") -> DataFrame:
@@ -160,8 +175,7 @@ def raw_readiness(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def placeholder_days(spark: SparkSession, sf: str) -> DataFrame:
     days = feature_plans.build_daily_features(raw_chains(spark, sf), whole_spine(spark, sf), load(spark, sf, "prices"))
-    names = [*spec.ALL_FEATURES, "close"]
-    return days.select("chain", "date", *[r(n, 4).alias(n) for n in names], "is_valid", "invalid_reason")
+    return rounded(days, 4)
 
 
 @query
@@ -282,7 +296,7 @@ def features_of_day(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_params(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fitted(spark, sf), 3)
+    return rounded(normalize.fit_params(all_days(spark, sf), spec.FEATURES_BY_CHAIN), 3)
 
 
 @query
@@ -292,14 +306,16 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def zscore_inference_variant(spark: SparkSession, sf: str) -> DataFrame:
-    out = normalize.transform_for_inference(all_days(spark, sf), fitted(spark, sf), spec.ALL_FEATURES)
-    return out.select("chain", "date", *[r(F.col(n).cast("double"), 4).alias(n) for n in spec.ALL_FEATURES])
+    days = stored_days(spark, sf)
+    params = normalize.fit_params(days, spec.FEATURES_BY_CHAIN)
+    out = normalize.transform_for_inference(days, params, spec.ALL_FEATURES)
+    return rounded(out.select("chain", "date", *[F.col(n).cast("double").alias(n) for n in spec.ALL_FEATURES]), 4)
 
 
 @query
 def clean_training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """BTC with the fee rate as it is, ETH rows with a third of the gas prices taken out."""
-    days = all_days(spark, sf).select(
+    days = stored_days(spark, sf).select(
         "chain", "date", "whale_flow_1d", "active_addresses",
         F.when((F.col("chain") == "BTC") | (F.dayofmonth("date") % 3 != 0), F.coalesce("gas_price_median", "fee_pressure"))
         .alias("cost"),
@@ -419,7 +435,7 @@ def risk_score_sanitised(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def feature_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     days = all_days(spark, sf)
-    return days.select("chain", "date", *[r(feature_or_neutral(days, n), 2).alias(n) for n in ("mempool_stress", "gas_price_median", "absent")])
+    return days.select("chain", "date", *[r(feature_or_neutral(days, n)).alias(n) for n in ("mempool_stress", "gas_price_median", "absent")])
 
 
 @query
@@ -485,7 +501,7 @@ def rate_limit_step(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def signal_step(spark: SparkSession, sf: str) -> DataFrame:
     targets = scored_days(spark, sf)
-    return rounded(signals.signal_step(targets, sample_signals(spark, sf), RULES))
+    return rounded(signals.signal_step(targets, sample_signals(targets), RULES))
 
 
 @query
@@ -495,7 +511,7 @@ def signals_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return alert_ops.alert_rows(sample_signals(spark, sf), WHOLE_SERIES_GAP)
+    return alert_ops.alert_rows(stored_signals(spark, sf), WHOLE_SERIES_GAP)
 
 
 # ------------------------------------------------------------------ quality
@@ -503,10 +519,12 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def violations_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Against a calendar of every second day, so unexpected and absent days both occur."""
-    days = all_days(spark, sf).withColumn("close_price", F.try_divide(F.col("gas_price_median"), F.col("gas_price_median") - 33))
-    expected = whole_spine(spark, sf).where(F.dayofyear("date") % 2 == 0)
-    return quality.daily_violations(days, expected)
+    """Days since 2001 were stored twice; only days with a price are expected."""
+    days = stored_days(spark, sf).withColumn(
+        "close_price", F.when(F.col("gas_price_median") > 33, F.lit(float("inf"))).otherwise(F.col("gas_price_median"))
+    )
+    stored = days.unionByName(days.where(F.col("date") >= F.lit(dt.date(2001, 1, 1))))
+    return quality.daily_violations(stored, load(spark, sf, "prices"))
 
 
 @query
@@ -517,7 +535,7 @@ def feature_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 def damaged_signals(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("date")
-    return sample_signals(spark, sf).withColumns({
+    return stored_signals(spark, sf).withColumns({
         "risk_score": F.when(day == 3, F.lit(None)).when(day == 4, F.col("risk_score") + 60).otherwise(F.col("risk_score")),
         "regime": F.when(day == 5, F.lit("Sideways")).otherwise(F.col("regime")),
         "risk_state": F.when(day == 6, F.lit(None)).otherwise(F.col("risk_state")),
@@ -532,14 +550,14 @@ def violations_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def signals_accepted(spark: SparkSession, sf: str) -> DataFrame:
-    good = quality.valid_signals(damaged_signals(spark, sf), dt.date(2024, 1, 25))
+    good = quality.valid_signals(cut_lineage(damaged_signals(spark, sf)), dt.date(2024, 1, 25))
     return rounded(good.select("chain", "date", "risk_score", "regime"))
 
 
 @query
 def violations_alerts(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("date")
-    damaged = sample_alerts(spark, sf).withColumns({
+    damaged = stored_alerts(spark, sf).withColumns({
         "message": F.when(day % 3 == 0, F.lit(None)).otherwise(F.col("message")),
         "alert_type": F.when(day % 5 == 0, F.lit("noise")).otherwise(F.col("alert_type")),
     })
@@ -554,18 +572,25 @@ def violations_performance(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ stored tables
 
 
+STORED_TO, RERUN_FROM, TWICE_FROM = dt.date(2000, 6, 30), dt.date(2000, 1, 1), dt.date(2001, 1, 1)
+
+
+def _since(df: DataFrame, day: dt.date) -> DataFrame:
+    return df.where(F.col("date") >= F.lit(day))
+
+
 def _revised(signal_rows: DataFrame) -> DataFrame:
-    """A re-run: new scores for the days 1 to 10 of each month, twice for day 1."""
-    day = F.dayofmonth("date")
-    again = signal_rows.where(day <= 10).withColumn("created_at", stored_at(51)).withColumn("risk_state", F.lit("Neutral"))
-    twice = again.where(day == 1).withColumn("created_at", stored_at(75)).withColumn("risk_state", F.lit("Risk OFF"))
-    return again.unionByName(twice)
+    """A re-run of the days from 2000 on, done twice for those from 2001 on."""
+    again = _since(signal_rows, RERUN_FROM).withColumn("created_at", stored_at(51))
+    twice = _since(again, TWICE_FROM).withColumn("created_at", stored_at(75))
+    return again.withColumn("risk_state", F.lit("Neutral")).unionByName(twice.withColumn("risk_state", F.lit("Risk OFF")))
 
 
 @query
 def upsert_signals(spark: SparkSession, sf: str) -> DataFrame:
-    stored = sample_signals(spark, sf).where(F.dayofmonth("date") % 2 == 0)
-    merged = store.upsert(stored, _revised(sample_signals(spark, sf)), ["chain", "date"], "created_at")
+    rows = stored_signals(spark, sf)
+    stored = rows.where(F.col("date") <= F.lit(STORED_TO))
+    merged = store.upsert(stored, _revised(rows), ["chain", "date"], "created_at")
     return with_epoch(rounded(merged))
 
 
@@ -574,20 +599,21 @@ def upsert_performance(spark: SparkSession, sf: str) -> DataFrame:
     perf = sample_performance(spark, sf)
     again = perf.withColumns({"hitrate": F.lit(0.5), "trained_at": F.timestamp_seconds(F.unix_seconds("trained_at") + 60)})
     merged = store.upsert(perf, again.where("model_version <> '1.0.3'"), ["chain", "model_version"], "trained_at")
-    return with_epoch(rounded(merged, keys=("chain",)), "trained_at")
+    return with_epoch(rounded(merged), "trained_at")
 
 
 @query
 def insert_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    found = sample_alerts(spark, sf)
-    stored = found.where(F.dayofmonth("date") <= 20)
-    again = found.where(F.dayofmonth("date") > 10).withColumn("created_at", stored_at(51))
+    found = stored_alerts(spark, sf)
+    stored = found.where(F.col("date") <= F.lit(STORED_TO))
+    again = _since(found, RERUN_FROM).withColumn("created_at", stored_at(51))
     return with_epoch(store.insert_new(stored, again, ["id"], "created_at")).drop("id")
 
 
 @query
 def split_signal_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    nested = alert_ops.with_alerts(signals.signal_step(scored_days(spark, sf), sample_signals(spark, sf), RULES))
+    targets = scored_days(spark, sf)
+    nested = alert_ops.with_alerts(signals.signal_step(targets, sample_signals(targets), RULES))
     _, rows = store.split_signal(nested.withColumn("created_at", stored_at()))
     return with_epoch(rows).drop("id")
 
@@ -603,67 +629,68 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def latest_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return with_epoch(rounded(reports.latest_signals(sample_signals(spark, sf), "BTC")))
+    return with_epoch(rounded(reports.latest_signals(stored_signals(spark, sf), "BTC")))
 
 
 @query
 def latest_all(spark: SparkSession, sf: str) -> DataFrame:
-    newest = reports.latest_signals(sample_signals(spark, sf))
-    return with_epoch(rounded(alert_text(reports.attach_alerts(newest, sample_alerts(spark, sf)))))
+    rows = stored_signals(spark, sf)
+    return with_epoch(rounded(alert_text(reports.attach_alerts(reports.latest_signals(rows), sample_alerts(rows)))))
 
 
 @query
 def signal_history(spark: SparkSession, sf: str) -> DataFrame:
-    out = reports.signal_history(sample_signals(spark, sf), dt.date(1997, 3, 1), dt.date(1999, 3, 1), AS_OF.date(), "BTC")
+    out = reports.signal_history(stored_signals(spark, sf), dt.date(1997, 3, 1), dt.date(1999, 3, 1), AS_OF.date(), "BTC")
     return with_epoch(rounded(out))
 
 
 @query
 def last_n_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return with_epoch(rounded(reports.last_n_signals(sample_signals(spark, sf), 30)))
+    return with_epoch(rounded(reports.last_n_signals(stored_signals(spark, sf), 30)))
 
 
 @query
 def signals_with_alerts(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("date")
-    rows = sample_signals(spark, sf).withColumn("created_at", F.when(day % 4 != 0, F.col("created_at")))
-    found = sample_alerts(spark, sf).withColumn("message", F.when(day % 2 == 0, F.col("message")))
+    rows = stored_signals(spark, sf)
+    found = sample_alerts(rows).withColumn("message", F.when(day % 2 == 0, F.col("message")))
+    rows = rows.withColumn("created_at", F.when(day % 4 != 0, F.col("created_at")))
     return with_epoch(rounded(alert_text(reports.signal_response(rows, found, AS_OF))), "updated_at")
 
 
 @query
 def alerts_for_date(spark: SparkSession, sf: str) -> DataFrame:
-    found = sample_alerts(spark, sf)
+    found = stored_alerts(spark, sf)
     busiest = found.groupBy("date").agg(F.count("*").alias("n")).agg(F.max_by("date", F.struct("n", "date")).alias("date"))
     return with_epoch(found.join(busiest, "date", "left_semi")).drop("id")
 
 
 @query
 def alerts_on_fixed_date(spark: SparkSession, sf: str) -> DataFrame:
-    day = reports.alerts_for_date(sample_alerts(spark, sf), dt.date(2024, 1, 17), AS_OF, alert_type="regime_shift")
+    day = reports.alerts_for_date(stored_alerts(spark, sf), dt.date(2024, 1, 17), AS_OF, alert_type="regime_shift")
     return with_epoch(day).drop("id")
 
 
 @query
 def recent_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return with_epoch(reports.recent_alerts(sample_alerts(spark, sf), AS_OF, days=30, chain="ETH", limit=20)).drop("id")
+    return with_epoch(reports.recent_alerts(stored_alerts(spark, sf), AS_OF, days=30, chain="ETH", limit=20)).drop("id")
 
 
 @query
 def alert_readiness(spark: SparkSession, sf: str) -> DataFrame:
     days = whole_spine(spark, sf)
-    return reports.readiness(days, sample_alerts(spark, sf), dt.datetime(2024, 1, 29, 2, 30))
+    return reports.readiness(days, stored_alerts(spark, sf), dt.datetime(2024, 1, 29, 2, 30))
 
 
 @query
 def latest_model(spark: SparkSession, sf: str) -> DataFrame:
-    return with_epoch(rounded(reports.latest_models(sample_performance(spark, sf)), keys=("chain",)), "trained_at")
+    return with_epoch(rounded(reports.latest_models(sample_performance(spark, sf))), "trained_at")
 
 
 @query
 def active_model(spark: SparkSession, sf: str) -> DataFrame:
     out = model.active_models(sample_performance(spark, sf), 0.6)
-    return with_epoch(rounded(out, keys=("chain",)), "trained_at")
+    return with_epoch(rounded(out), "trained_at")
 
 
 @query
@@ -675,7 +702,7 @@ def next_version(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chain_status(spark: SparkSession, sf: str) -> DataFrame:
     chains = reports.chain_dimension(spark)
-    out = reports.chain_status(chains, sample_signals(spark, sf), sample_performance(spark, sf), AS_OF)
+    out = reports.chain_status(chains, stored_signals(spark, sf), sample_performance(spark, sf), AS_OF)
     return with_epoch(rounded(out), "last_model_trained_at")
 
 
@@ -684,13 +711,13 @@ def chain_list(spark: SparkSession, sf: str) -> DataFrame:
     chains = reports.chain_dimension(spark)
     as_of = dt.datetime(2024, 1, 31, 0, 0)
     return reports.chain_list(
-        reports.chain_status(chains, sample_signals(spark, sf), sample_performance(spark, sf), as_of)
+        reports.chain_status(chains, stored_signals(spark, sf), sample_performance(spark, sf), as_of)
     )
 
 
 @query
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.service_freshness(sample_signals(spark, sf), AS_OF, "ETH")
+    return reports.service_freshness(stored_signals(spark, sf), AS_OF, "ETH")
 
 
 # ------------------------------------------------------------------ model

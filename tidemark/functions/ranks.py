@@ -11,78 +11,95 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FINE = 65536.0
-_COARSE = 2048.0
-_LOG_SHIFT = 746.0  # ln of the smallest positive double is about -744.4
 
-
-def _bucket_position(v: Column) -> Column:
-    """Monotone in v; the whole part is the coarse bucket, the fraction gives the fine one."""
-    size = (F.ln(F.abs(v)) + F.lit(_LOG_SHIFT)) * F.lit(_COARSE)
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * size)
-
-
-def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: Column, out: str, q: float = 0.5
-) -> DataFrame:
+def _names(keys: Sequence[str]) -> str:
+    return "".join(f"`{k}`, " for k in keys)
+
+
+def _same(keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}`" for k in keys)
+
+
+# Bucket position t of a value v: monotone, whole part = coarse bucket, fraction = fine bucket.
+# Logarithmic, as ln of the smallest positive double is about -744.4.
+_POSITION = "CASE WHEN v = 0 THEN 0D ELSE signum(v) * (ln(abs(v)) + 746D) * 2048D END"
+_HOLDS = "(before <= {k} AND {k} < before + n)"
+_ANY = f"({_HOLDS.format(k='k_lo')} OR {_HOLDS.format(k='k_hi')})"
+
+_QUANTILE = """
+WITH counts AS (
+  SELECT {k} v, n, floor(t) AS b1, floor((t - floor(t)) * 65536D) AS b2
+  FROM (SELECT {k} v, count(1) AS n, {position} AS t FROM {{rows}} WHERE v IS NOT NULL GROUP BY {k} v)
+),
+fine AS (SELECT {k} b1, b2, sum(n) AS n FROM counts GROUP BY {k} b1, b2),
+coarse AS (
+  SELECT *, floor(position) AS k_lo, ceil(position) AS k_hi, position - floor(position) AS part, upto - n AS before
+  FROM (SELECT *, (sum(n) OVER (PARTITION BY {by}) - 1) * {q} AS position,
+          sum(n) OVER (PARTITION BY {by} ORDER BY b1 ROWS UNBOUNDED PRECEDING) AS upto
+        FROM (SELECT {k} b1, sum(n) AS n FROM fine GROUP BY {k} b1))
+),
+in_coarse AS (
+  SELECT {k} b1, b2, n, k_lo, k_hi, part,
+    base - n + sum(n) OVER (PARTITION BY {k} b1 ORDER BY b2 ROWS UNBOUNDED PRECEDING) AS before
+  FROM fine JOIN (SELECT {k} b1, k_lo, k_hi, part, before AS base FROM coarse WHERE {any}) USING ({k} b1)
+),
+in_fine AS (
+  SELECT {k} v, n, k_lo, k_hi, part,
+    base - n + sum(n) OVER (PARTITION BY {k} b1, b2 ORDER BY v ROWS UNBOUNDED PRECEDING) AS before
+  FROM counts JOIN (SELECT {k} b1, b2, k_lo, k_hi, part, before AS base FROM in_coarse WHERE {any}) USING ({k} b1, b2)
+)
+SELECT {k} lo + (hi - lo) * part AS `{out}`
+FROM (SELECT {k} max(CASE WHEN {lo} THEN v END) AS lo, max(CASE WHEN {hi} THEN v END) AS hi, max(part) AS part
+      FROM in_fine WHERE {any} GROUP BY {by})"""
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: Column, out: str, q: float = 0.5) -> DataFrame:
     """Quantile with linear interpolation of a finite double per group of non-null keys.
 
     Groups without any non-null value are absent from the result.
     """
+    if not keys:
+        raise ValueError("at least one key is needed")
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    keys = list(keys)
-    counts = (
-        df.select(*keys, value.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_t", _bucket_position(F.col("_v")))
-        .withColumn("_b1", F.floor("_t"))
-        .withColumn("_b2", F.floor((F.col("_t") - F.col("_b1")) * F.lit(_FINE)))
-        .drop("_t")
-    )
-    fine = counts.groupBy(*keys, "_b1", "_b2").agg(F.sum("_n").alias("_n"))
-    coarse = fine.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_n"))
-
-    group = Window.partitionBy(*keys)
-    position = (F.sum("_n").over(group) - F.lit(1)) * F.lit(q)
-    level = (
-        coarse.withColumn("_k_lo", F.floor(position))
-        .withColumn("_k_hi", F.ceil(position))
-        .withColumn("_part", position - F.col("_k_lo"))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_b1").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
+    text = _QUANTILE.format(
+        k=_names(keys), by=_same(keys), position=_POSITION, q=f"{float(q)!r}D", any=_ANY, out=out,
+        lo=_HOLDS.format(k="k_lo"), hi=_HOLDS.format(k="k_hi"),
     )
-
-    def holds(rank: str) -> Column:
-        return (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
-
-    def descend(parents: DataFrame, children: DataFrame, path: list[str], order: str) -> DataFrame:
-        chosen = parents.where(holds("_k_lo") | holds("_k_hi")).select(
-            *keys, *path, "_k_lo", "_k_hi", "_part", F.col("_before").alias("_base")
-        )
-        siblings = Window.partitionBy(*keys, *path).orderBy(order)
-        running = F.sum("_n").over(siblings.rowsBetween(Window.unboundedPreceding, 0))
-        return children.join(chosen, [*keys, *path]).withColumn(
-            "_before", F.col("_base") + running - F.col("_n")
-        ).drop("_base")
-
-    level = descend(level, fine, ["_b1"], "_b2")
-    level = descend(level, counts, ["_b1", "_b2"], "_v")
-    ends = (
-        level.where(holds("_k_lo") | holds("_k_hi"))
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(holds("_k_lo"), F.col("_v"))).alias("_lo"),
-            F.max(F.when(holds("_k_hi"), F.col("_v"))).alias("_hi"),
-            F.max("_part").alias("_part"),
-        )
-    )
-    return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+    return df.sparkSession.sql(text, rows=df.select(*keys, value.cast("double").alias("v")))
+
+
+_AUC = """
+WITH d4 AS (
+  SELECT {k} d1, d2, floor(r2 * 65536D) AS d3, r2 * 65536D - floor(r2 * 65536D) AS d4, pos, neg FROM (
+    SELECT {k} d1, floor(r1 * 65536D) AS d2, r1 * 65536D - floor(r1 * 65536D) AS r2, pos, neg FROM (
+      SELECT {k} floor(p * 65536D) AS d1, p * 65536D - floor(p * 65536D) AS r1, pos, neg FROM (
+        SELECT {k} p, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM {{rows}} GROUP BY {k} p)))
+),
+d3 AS (SELECT {k} d1, d2, d3, sum(pos) AS pos, sum(neg) AS neg FROM d4 GROUP BY {k} d1, d2, d3),
+d2 AS (SELECT {k} d1, d2, sum(pos) AS pos, sum(neg) AS neg FROM d3 GROUP BY {k} d1, d2),
+d1 AS (SELECT {k} d1, sum(pos) AS pos, sum(neg) AS neg FROM d2 GROUP BY {k} d1),
+nodes AS (
+  SELECT {k} 4 AS depth, d1 AS p1, d2 AS p2, d3 AS p3, d4 AS digit, pos, neg FROM d4
+  UNION ALL SELECT {k} 3, d1, d2, NULL, CAST(d3 AS DOUBLE), pos, neg FROM d3
+  UNION ALL SELECT {k} 2, d1, NULL, NULL, CAST(d2 AS DOUBLE), pos, neg FROM d2
+  UNION ALL SELECT {k} 1, NULL, NULL, NULL, CAST(d1 AS DOUBLE), pos, neg FROM d1
+),
+ranked AS (
+  SELECT *, CAST(pos AS DECIMAL(19,0)) AS pos_d,
+    CAST(coalesce(sum(neg) OVER (PARTITION BY {k} depth, p1, p2, p3 ORDER BY digit
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(19,0)) AS lower,
+    CAST(CASE WHEN depth = 4 THEN neg ELSE 0 END AS DECIMAL(19,0)) AS tied
+  FROM nodes
+)
+SELECT {k} try_divide(pairs, 2D * p * q) AS `{out}`
+FROM (SELECT {k} CAST(sum(pos_d * (2 * lower + tied)) AS DOUBLE) AS pairs,
+        CAST(sum(CASE WHEN depth = 1 THEN pos END) AS DOUBLE) AS p,
+        CAST(sum(CASE WHEN depth = 1 THEN neg END) AS DOUBLE) AS q
+      FROM ranked {group})"""
 
 
 def rank_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: str = "auc") -> DataFrame:
@@ -93,57 +110,9 @@ def rank_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: st
     Summed over all digits that gives the exact pair count from windows of at most 65,537
     siblings (the last one holds what is left after 48 bits). Label and score must be non-null.
     """
-    keys = list(keys)
-    positive = F.count_if(F.col(label) == 1).alias("_pos")
-    negative = F.count_if(F.col(label) == 0).alias("_neg")
-    digits = ["_d1", "_d2", "_d3"]
-    scores = df.groupBy(*keys, F.col(score).cast("double").alias("_rest")).agg(positive, negative)
-    for d in digits:
-        scores = scores.withColumn("_scaled", F.col("_rest") * F.lit(_FINE))
-        scores = scores.withColumn(d, F.floor("_scaled").cast("double"))
-        scores = scores.withColumn("_rest", F.col("_scaled") - F.col(d))
-    scores = scores.drop("_scaled").withColumnRenamed("_rest", "_d4")
-
-    path = [*digits, "_d4"]
-    levels, current = [], scores
-    for depth in range(len(path), 0, -1):
-        if depth < len(path):
-            current = current.groupBy(*keys, *path[:depth]).agg(
-                F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
-            )
-        prefix = [
-            (F.col(p) if i < depth - 1 else F.lit(None).cast("double")).alias(f"_p{i}")
-            for i, p in enumerate(digits)
-        ]
-        whole = [F.col(c).cast("decimal(19,0)") for c in ("_pos", "_neg")]
-        tied = whole[0] * whole[1] if depth == len(path) else F.lit(0)
-        levels.append(
-            current.select(
-                *keys, F.lit(depth).alias("_depth"), *prefix, F.col(path[depth - 1]).alias("_digit"),
-                whole[0].alias("_pos"), whole[1].alias("_neg"),
-                tied.cast("decimal(38,0)").alias("_tied"),
-            )
-        )
-    nodes = levels[0]
-    for lv in levels[1:]:
-        nodes = nodes.unionByName(lv)
-    siblings = Window.partitionBy(*keys, "_depth", "_p0", "_p1", "_p2").orderBy("_digit")
-    lower = F.coalesce(
-        F.sum("_neg").over(siblings.rowsBetween(Window.unboundedPreceding, -1)).cast("decimal(19,0)"),
-        F.lit(0).cast("decimal(19,0)"),
-    )
-    top = F.col("_depth") == 1
-    # positives and negatives are whole counts, so twice the pair count is a whole number
-    return (
-        nodes.withColumn("_twice", F.col("_pos") * lower * F.lit(2) + F.col("_tied"))
-        .groupBy(*keys)
-        .agg(
-            F.sum("_twice").cast("double").alias("_u2"),
-            F.sum(F.when(top, F.col("_pos"))).cast("double").alias("_p"),
-            F.sum(F.when(top, F.col("_neg"))).cast("double").alias("_q"),
-        )
-        .select(*keys, F.try_divide(F.col("_u2"), F.lit(2.0) * F.col("_p") * F.col("_q")).alias(out))
-    )
+    rows = df.select(*keys, F.col(label).alias("y"), F.col(score).cast("double").alias("p"))
+    text = _AUC.format(k=_names(keys), out=out, group=f"GROUP BY {_same(keys)}" if keys else "")
+    return df.sparkSession.sql(text, rows=rows)
 
 
 def count_distinct_values(df: DataFrame, keys: Sequence[str], values: Column, out: str,
@@ -153,8 +122,7 @@ def count_distinct_values(df: DataFrame, keys: Sequence[str], values: Column, ou
     Equal entries are dropped on the map side and the exchange is keyed by the entry as well,
     so a large group is spread over all tasks before it is counted.
     """
-    keys = list(keys)
-    entries = df.select(*keys, F.explode(values).alias("_e")).where(F.col("_e").isNotNull())
+    entries = df.select(*keys, F.explode(values).alias("_e")).where("_e IS NOT NULL")
     if approximate:
         return entries.groupBy(*keys).agg(F.approx_count_distinct("_e").alias(out))
-    return entries.groupBy(*keys, "_e").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count("_one").alias(out))
+    return entries.distinct().groupBy(*keys).agg(F.count("_e").alias(out))

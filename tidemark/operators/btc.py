@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,15 @@ class BtcFeatures(FeatureSet):
                 return present
         return []
 
-    def tx_side_tables(self, tx: DataFrame) -> list[DataFrame]:
+    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
         addresses = self.address_columns(tx)
-        if not addresses:
+        if not addresses or "active_addresses" not in names:
             return []
         return [count_distinct_values(tx, KEY, _strings(addresses), "_addresses", self.approximate_distinct)]
 
-    def features(self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool) -> Aggregates:
+    def features(
+        self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool, names: Sequence[str]
+    ) -> Aggregates:
         from_tx = self.tx_aggregates(tx) if tx is not None else {}
         from_blocks = self.block_aggregates(blocks) if blocks is not None else {}
 
@@ -89,9 +93,9 @@ class BtcFeatures(FeatureSet):
             return F.col(name).cast("double") if name in from_tx or name in from_blocks else missing()
 
         addresses = missing()
-        if tx is not None and self.address_columns(tx):
+        if "active_addresses" in names and tx is not None and self.address_columns(tx):
             addresses = F.when(F.col("_n_tx") > 0, F.coalesce(F.col("_addresses").cast("double"), F.lit(0.0)))
-        return {
+        out = {
             "whale_flow_1d": col("_whale"),
             "exchange_netflow_7d": col("_netflow"),
             "mempool_stress": F.coalesce(col("_block_tx"), F.col("_n_tx").cast("double")),
@@ -100,6 +104,7 @@ class BtcFeatures(FeatureSet):
             "utxo_age_1y": col("_old_value"),
             "revived_supply": col("_revived"),
         }
+        return {n: out[n] for n in names}
 
 
 class BtcMinimalFeatures(FeatureSet):
@@ -118,24 +123,29 @@ class BtcMinimalFeatures(FeatureSet):
             out["_fee_rate"] = F.avg(F.when(number(size) > 0, F.try_divide(number(fee), number(size))))
         return out
 
-    def tx_side_tables(self, tx: DataFrame) -> list[DataFrame]:
+    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
         sender = first_present(tx, SENDER_COLUMNS)
-        return [count_distinct_values(tx, KEY, F.array(F.col(sender)), "_senders")] if sender else []
+        if sender is None or "BTC_active_addresses_count" not in names:
+            return []
+        return [count_distinct_values(tx, KEY, F.array(F.col(sender)), "_senders")]
 
-    def features(self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool) -> Aggregates:
+    def features(
+        self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool, names: Sequence[str]
+    ) -> Aggregates:
         from_tx = self.tx_aggregates(tx) if tx is not None else {}
 
         def col(name: str) -> Column:
             return finite_or_null(name) if name in from_tx else missing()
 
         has_sender = tx is not None and first_present(tx, SENDER_COLUMNS) is not None
-        return {
+        out = {
             "BTC_total_block_count": F.col("_n_blocks").cast("double"),
             "BTC_total_transactions_count": F.col("_n_tx").cast("double"),
             "BTC_total_output_value_btc": col("_output"),
             "BTC_mean_transaction_fee_rate_sat_per_vbyte": col("_fee_rate"),
             "BTC_active_addresses_count": F.col("_senders").cast("double") if has_sender else missing(),
         }
+        return {n: out[n] for n in names}
 
 
 def mean_block_size(blocks: DataFrame) -> DataFrame:

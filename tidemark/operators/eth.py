@@ -5,6 +5,8 @@ Wei amounts are summed as DECIMAL(38,0) and turned into double after the sum onl
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +60,26 @@ class EthFeatures(FeatureSet):
             return {"_gas_block": F.avg(number("gas_price_median"))}
         return {}
 
-    def block_side_tables(self, blocks: DataFrame) -> list[DataFrame]:
-        if "base_fee_per_gas" in blocks.columns:
+    def block_side_tables(self, blocks: DataFrame, names: Sequence[str]) -> list[DataFrame]:
+        if "base_fee_per_gas" in blocks.columns and "gas_price_median" in names:
             return [exact_quantile(blocks, KEY, number("base_fee_per_gas"), "_gas_block")]
         return []
 
-    def tx_side_tables(self, tx: DataFrame) -> list[DataFrame]:
+    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
         side = []
-        if "gas_price" in tx.columns and not self.approximate:
+        if "gas_price" in tx.columns and not self.approximate and "gas_price_median" in names:
             side.append(exact_quantile(tx, KEY, number("gas_price"), "_gas_median"))
         addresses = [c for c in ("from_address", "to_address") if c in tx.columns]
-        if addresses:
+        if addresses and "active_addresses" in names:
             strings = F.array(*[F.col(c).cast("string") for c in addresses])
             side.append(count_distinct_values(tx, KEY, strings, "_addresses", self.approximate))
-        if self.exchange_labels is not None:
+        if self.exchange_labels is not None and "exchange_netflow_7d" in names:
             side.append(labelled_netflow(tx, self.exchange_labels))
         return side
 
-    def features(self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool) -> Aggregates:
+    def features(
+        self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool, names: Sequence[str]
+    ) -> Aggregates:
         tx_columns = set(tx.columns) if tx is not None else set()
         block_columns = set(blocks.columns) if blocks is not None else set()
         from_tx = self.tx_aggregates(tx) if tx is not None else {}
@@ -96,7 +100,7 @@ class EthFeatures(FeatureSet):
         addresses = missing()
         if tx_columns & {"from_address", "to_address"}:
             addresses = F.when(has_tx, F.coalesce(F.col("_addresses").cast("double"), F.lit(0.0)))
-        return {
+        out = {
             "whale_flow_1d": whale,
             "exchange_netflow_7d": netflow,
             "gas_price_median": gas / F.lit(spec.WEI_PER_GWEI),
@@ -104,6 +108,7 @@ class EthFeatures(FeatureSet):
             "smart_contract_calls": col("_calls"),
             "eth2_staking_flow": col("_staking"),
         }
+        return {n: out[n] for n in names}
 
 
 def labelled_netflow(tx: DataFrame, labels: DataFrame) -> DataFrame:

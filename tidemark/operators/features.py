@@ -6,7 +6,7 @@ Python runs on the executors. All days of a chain are aggregated in one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 KEY = ["chain", "date"]
 
 Aggregates = dict[str, Column]
-SideTable = Callable[[DataFrame], DataFrame]
 
 
 class FeatureSet:
@@ -29,15 +28,20 @@ class FeatureSet:
     def block_aggregates(self, blocks: DataFrame) -> Aggregates:
         return {}
 
-    def tx_side_tables(self, tx: DataFrame) -> list[DataFrame]:
-        """Statistics that need their own shuffle (distinct counts, medians), keyed by KEY."""
+    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
+        """Statistics that need their own shuffle (distinct counts, medians), keyed by KEY.
+
+        Only what the asked names need; their columns must not occur in other expressions.
+        """
         return []
 
-    def block_side_tables(self, blocks: DataFrame) -> list[DataFrame]:
+    def block_side_tables(self, blocks: DataFrame, names: Sequence[str]) -> list[DataFrame]:
         return []
 
-    def features(self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool) -> Aggregates:
-        """Final expressions over the joined aggregates, one per name."""
+    def features(
+        self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool, names: Sequence[str]
+    ) -> Aggregates:
+        """Final expressions over the joined aggregates, one per asked name."""
         raise NotImplementedError
 
 
@@ -70,18 +74,18 @@ def daily_features(
         raise ValueError(f"not features of this set: {sorted(unknown)}")
     parts = []
     if blocks is not None:
-        parts.append(_per_day(blocks, "_n_blocks", fs.block_aggregates(blocks), fs.block_side_tables(blocks)))
+        parts.append(_per_day(blocks, "_n_blocks", fs.block_aggregates(blocks), fs.block_side_tables(blocks, names)))
     if tx is not None:
-        parts.append(_per_day(tx, "_n_tx", fs.tx_aggregates(tx), fs.tx_side_tables(tx)))
+        parts.append(_per_day(tx, "_n_tx", fs.tx_aggregates(tx), fs.tx_side_tables(tx, names)))
     joined = parts[0] if len(parts) == 1 else parts[0].join(parts[1], KEY, "full_outer")
     for name, present in (("_n_blocks", blocks is not None), ("_n_tx", tx is not None)):
         if not present:
             joined = joined.withColumn(name, F.lit(None).cast("long"))
     if prices is not None:
         joined = joined.join(prices.select(*KEY, F.col("close").alias("_close")), KEY, "left")
-    exprs = fs.features(tx, blocks, prices is not None)
-    if set(exprs) != set(fs.names):
-        raise ValueError("feature set does not return exactly its declared names")
+    exprs = fs.features(tx, blocks, prices is not None, names)
+    if set(exprs) != set(names):
+        raise ValueError("feature set does not return exactly the asked names")
     return joined.select(*KEY, *[exprs[n].cast("double").alias(n) for n in names])
 
 

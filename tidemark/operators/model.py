@@ -31,14 +31,15 @@ class ModelConfig:
 
 
 def _classifier(config: ModelConfig, validation_col: str | None) -> GBTClassifier:
-    gbt = GBTClassifier(
+    early = {}
+    if validation_col is not None and config.early_stopping_tolerance is not None:
+        early = {"validationIndicatorCol": validation_col, "validationTol": config.early_stopping_tolerance}
+    return GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=config.trees,
         maxDepth=30 if config.max_depth < 0 else config.max_depth, stepSize=config.learning_rate,
         subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share), seed=config.seed,
+        **early,
     )
-    if validation_col is not None and config.early_stopping_tolerance is not None:
-        gbt = gbt.setValidationIndicatorCol(validation_col).setValidationTol(config.early_stopping_tolerance)
-    return gbt
 
 
 def train(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig(), split: str | None = "split",

@@ -46,16 +46,18 @@ def fit_params(df: DataFrame, features: Names) -> DataFrame:
 def _with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """Adds one map per row: feature to (mean, std) of the row's chain."""
     entry = F.struct(F.col("feature"), F.struct("mean", "std"))
+    params = params.where("feature IS NOT NULL")
     maps = params.groupBy("chain").agg(F.map_from_entries(F.collect_list(entry)).alias("_params"))
     return df.join(maps, "chain", "left")
 
 
-def _scaled(name: str, degenerate_null: Column) -> Column:
-    p = F.col("_params")[name]
-    x = finite_or_null(name)
-    degenerate = (p["std"] == 0) | finite_or_null(p["std"]).isNull()
-    return F.when(degenerate, F.when(x.isNull(), degenerate_null).otherwise(F.lit(0.0))).otherwise(
-        (x - p["mean"]) / p["std"]
+def _scaled(name: str, degenerate_null: str) -> str:
+    """SQL text of one scaled feature; ``p`` is its (mean, std)."""
+    p = f"_params['{name}']"
+    x = f"CASE WHEN NOT isnan(`{name}`) AND abs(`{name}`) < double('inf') THEN CAST(`{name}` AS DOUBLE) END"
+    return (
+        f"CASE WHEN {p}.std = 0 OR {p}.std IS NULL THEN CASE WHEN ({x}) IS NULL THEN {degenerate_null} ELSE 0D END "
+        f"ELSE (({x}) - {p}.mean) / {p}.std END"
     )
 
 
@@ -64,15 +66,11 @@ def transform(df: DataFrame, params: DataFrame, names: Sequence[str]) -> DataFra
 
     A missing value stays missing; with a standard deviation of 0 every value becomes 0.
     """
-    names = [n for n in names if n in df.columns]
-    joined = _with_params(df, params)
     out = {
-        n: F.when(F.col("_params")[n].isNull(), F.col(n).cast("double")).otherwise(
-            _scaled(n, F.lit(None).cast("double"))
-        )
-        for n in names
+        n: F.expr(f"CASE WHEN _params['{n}'] IS NULL THEN CAST(`{n}` AS DOUBLE) ELSE {_scaled(n, 'NULL')} END")
+        for n in names if n in df.columns
     }
-    return joined.withColumns(out).select(*df.columns)
+    return _with_params(df, params).withColumns(out).drop("_params").select(*df.columns)
 
 
 def transform_for_inference(df: DataFrame, params: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -84,11 +82,11 @@ def transform_for_inference(df: DataFrame, params: DataFrame, names: Sequence[st
     present = [n for n in names if n in df.columns]
     if not present:
         raise ValueError("no feature column to scale")
-    joined = _with_params(df, params)
-    return joined.select(
-        "chain", "date",
-        *[F.when(F.col("_params")[n].isNotNull(), _scaled(n, F.lit(0.0))).cast("float").alias(n) for n in present],
-    )
+    scaled = [
+        F.expr(f"CAST(CASE WHEN _params['{n}'] IS NOT NULL THEN {_scaled(n, '0D')} END AS FLOAT)").alias(n)
+        for n in present
+    ]
+    return _with_params(df, params).select("chain", "date", *scaled)
 
 
 def save_params(params: DataFrame, path: str, model_version: str) -> None:

@@ -37,7 +37,7 @@ def prepare(split: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFram
     Train rows with missing values are dropped or filled by the usual rule; validation rows keep
     all days and are filled with the train medians.
     """
-    train_rows = clean_training_rows(split.where(F.col("split") == "train"), names)
+    train_rows = cut_lineage(clean_training_rows(split.where(F.col("split") == "train"), names))
     medians = feature_medians(train_rows, names)
     validation = impute(split.where(F.col("split") == "validation"), medians, names)
     params = fit_params(train_rows, list(names))
@@ -50,7 +50,7 @@ def train_chain(
     end_date: dt.date | None = None, returns: str | None = None,
 ) -> TrainedChain:
     """Model of one chain from rows (chain, date, features, target)."""
-    split = train_val_split(data.where(F.col("chain") == chain), dates, end_date)
+    split = cut_lineage(train_val_split(data.where(F.col("chain") == chain), dates, end_date))
     require_both_sides(split)
     scaled, params = prepare(split, names)
     scaled = cut_lineage(scaled)  # read by every boosting round
