@@ -178,42 +178,42 @@ def signal_step(
 
 _FOLDED = "chain string, date date, risk_score double, regime string"
 
+Entry = tuple[dt.date, int, str, float]  # day, stored at (epoch seconds), regime, smoothed score
+_EPOCH = dt.date(1970, 1, 1)
+
+
+def _regime_name(score: float) -> str:
+    return "Bull" if score < spec.NEUTRAL_FROM else "Neutral" if score < spec.BEAR_FROM else "Bear"
+
+
+def next_entry(past: deque[Entry], day: dt.date, raw: float, rules: SignalRules, stored_after: int = 0) -> Entry:
+    """One day of a series: ages the look-back (oldest first), adds the new day and returns it."""
+    while past and (day - past[0][0]).days > rules.history_days:
+        past.popleft()
+    midnight = (day - _EPOCH).days * 86400
+    if past:
+        _, _, last, before = past[-1]
+        score = max(0.0, min(100.0, rules.alpha * raw + (1.0 - rules.alpha) * before))
+        now = last if abs(score - before) < rules.hysteresis_points else _regime_name(score)
+        if now != last:
+            changed = next((ts for _, ts, name, _ in reversed(past) if name != last), past[0][1])
+            if (midnight - changed) / 3600.0 < rules.change_hours:
+                now = last
+    else:
+        score, now = raw, _regime_name(raw)
+    past.append((day, midnight + stored_after, now, score))
+    return past[-1]
 
-def _fold(rules: SignalRules, created_after_hours: float | None):
-    """Series of one chain in date order; the state is the look-back of (day, time, regime)."""
-    midnight = dt.datetime.min.time()
-    created = dt.timedelta(hours=created_after_hours or 0.0)
 
-    def name_of(score: float) -> str:
-        return "Bull" if score < spec.NEUTRAL_FROM else "Neutral" if score < spec.BEAR_FROM else "Bear"
+def _fold(rules: SignalRules, created_after_hours: float | None):
+    """Series of one chain in date order."""
+    stored_after = int((created_after_hours or 0.0) * 3600)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", ignore_index=True)
-        past: deque = deque()  # oldest first: (date, stored at, regime)
-        score, out_scores, out_regimes = None, [], []
-        for day, raw in zip(pdf["date"], pdf["score"]):
-            while past and (day - past[0][0]).days > rules.history_days:
-                past.popleft()
-            if not past:
-                score, now = raw, name_of(raw)
-            else:
-                before, last = score, past[-1][2]
-                score = rules.alpha * raw + (1.0 - rules.alpha) * before
-                score = max(0.0, min(100.0, score))
-                now = name_of(score)
-                if abs(score - before) < rules.hysteresis_points:
-                    now = last
-                if now != last:
-                    changed = next((t for _, t, r in reversed(past) if r != last), past[0][1])
-                    age = dt.datetime.combine(day, midnight) - changed
-                    if age.total_seconds() / 3600.0 < rules.change_hours:
-                        now = last
-            past.append((day, dt.datetime.combine(day, midnight) + created, now))
-            out_scores.append(score)
-            out_regimes.append(now)
-        return pd.DataFrame(
-            {"chain": pdf["chain"], "date": pdf["date"], "risk_score": out_scores, "regime": out_regimes}
-        )
+        past: deque[Entry] = deque()
+        days = [next_entry(past, day, raw, rules, stored_after) for day, raw in zip(pdf["date"], pdf["score"])]
+        return pdf[["chain", "date"]].assign(risk_score=[e[3] for e in days], regime=[e[2] for e in days])
 
     return fold
 
