@@ -77,8 +77,8 @@ class BtcFeatures(FeatureSet):
                 return present
         return []
 
-    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
-        addresses = self.address_columns(tx)
+    def side_tables(self, tx: DataFrame | None, blocks: DataFrame | None, names: Sequence[str]) -> list[DataFrame]:
+        addresses = self.address_columns(tx) if tx is not None else []
         if not addresses or "active_addresses" not in names:
             return []
         return [count_distinct_values(tx, KEY, _strings(addresses), "_addresses", self.approximate_distinct)]
@@ -123,8 +123,8 @@ class BtcMinimalFeatures(FeatureSet):
             out["_fee_rate"] = F.avg(F.when(number(size) > 0, F.try_divide(number(fee), number(size))))
         return out
 
-    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
-        sender = first_present(tx, SENDER_COLUMNS)
+    def side_tables(self, tx: DataFrame | None, blocks: DataFrame | None, names: Sequence[str]) -> list[DataFrame]:
+        sender = first_present(tx, SENDER_COLUMNS) if tx is not None else None
         if sender is None or "BTC_active_addresses_count" not in names:
             return []
         return [count_distinct_values(tx, KEY, F.array(F.col(sender)), "_senders")]
@@ -137,7 +137,7 @@ class BtcMinimalFeatures(FeatureSet):
         def col(name: str) -> Column:
             return finite_or_null(name) if name in from_tx else missing()
 
-        has_sender = tx is not None and first_present(tx, SENDER_COLUMNS) is not None
+        has_sender = "BTC_active_addresses_count" in names and tx is not None and bool(first_present(tx, SENDER_COLUMNS))
         out = {
             "BTC_total_block_count": F.col("_n_blocks").cast("double"),
             "BTC_total_transactions_count": F.col("_n_tx").cast("double"),

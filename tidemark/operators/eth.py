@@ -6,6 +6,7 @@ Wei amounts are summed as DECIMAL(38,0) and turned into double after the sum onl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,20 +61,20 @@ class EthFeatures(FeatureSet):
             return {"_gas_block": F.avg(number("gas_price_median"))}
         return {}
 
-    def block_side_tables(self, blocks: DataFrame, names: Sequence[str]) -> list[DataFrame]:
-        if "base_fee_per_gas" in blocks.columns and "gas_price_median" in names:
-            return [exact_quantile(blocks, KEY, number("base_fee_per_gas"), "_gas_block")]
-        return []
-
-    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
+    def side_tables(self, tx: DataFrame | None, blocks: DataFrame | None, names: Sequence[str]) -> list[DataFrame]:
         side = []
-        if "gas_price" in tx.columns and not self.approximate and "gas_price_median" in names:
-            side.append(exact_quantile(tx, KEY, number("gas_price"), "_gas_median"))
-        addresses = [c for c in ("from_address", "to_address") if c in tx.columns]
+        if "gas_price_median" in names:
+            prices = []
+            if tx is not None and "gas_price" in tx.columns and not self.approximate:
+                prices.append((tx, "gas_price", "_gas_median"))
+            if blocks is not None and "base_fee_per_gas" in blocks.columns:
+                prices.append((blocks, "base_fee_per_gas", "_gas_block"))
+            side += _medians(prices)
+        addresses = [c for c in ("from_address", "to_address") if tx is not None and c in tx.columns]
         if addresses and "active_addresses" in names:
             strings = F.array(*[F.col(c).cast("string") for c in addresses])
             side.append(count_distinct_values(tx, KEY, strings, "_addresses", self.approximate))
-        if self.exchange_labels is not None and "exchange_netflow_7d" in names:
+        if self.exchange_labels is not None and tx is not None and "exchange_netflow_7d" in names:
             side.append(labelled_netflow(tx, self.exchange_labels))
         return side
 
@@ -92,13 +93,17 @@ class EthFeatures(FeatureSet):
         if has_price:
             whale = whale * F.coalesce(F.col("_close"), F.lit(1.0))
         netflow = F.when(has_tx, F.lit(0.0))
-        if self.exchange_labels is not None and tx is not None:
+        if "exchange_netflow_7d" in names and self.exchange_labels is not None and tx is not None:
             netflow = F.when(has_tx, F.coalesce(F.col("_netflow"), F.lit(0.0)))
         # the block fallback is for days without transactions, not for days of null gas prices
-        block_gas = F.col("_gas_block") if block_columns & {"base_fee_per_gas", "gas_price_median"} else missing()
-        gas = F.when(has_tx, F.col("_gas_median")).otherwise(block_gas) if "gas_price" in tx_columns else block_gas
+        gas = missing()
+        if "gas_price_median" in names:
+            if block_columns & {"base_fee_per_gas", "gas_price_median"}:
+                gas = F.col("_gas_block")
+            if "gas_price" in tx_columns:
+                gas = F.when(has_tx, F.col("_gas_median")).otherwise(gas)
         addresses = missing()
-        if tx_columns & {"from_address", "to_address"}:
+        if "active_addresses" in names and tx_columns & {"from_address", "to_address"}:
             addresses = F.when(has_tx, F.coalesce(F.col("_addresses").cast("double"), F.lit(0.0)))
         out = {
             "whale_flow_1d": whale,
@@ -111,6 +116,15 @@ class EthFeatures(FeatureSet):
         return {n: out[n] for n in names}
 
 
+def _medians(columns: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """Exact medians of columns of several tables in one walk down the buckets."""
+    if not columns:
+        return []
+    rows = [df.select(*KEY, F.lit(out).alias("_of"), number(name).alias("_x")) for df, name, out in columns]
+    found = exact_quantile(reduce(DataFrame.unionByName, rows), [*KEY, "_of"], F.col("_x"), "_median")
+    return [found.select(*KEY, *[F.when(F.col("_of") == out, F.col("_median")).alias(out) for _, _, out in columns])]
+
+
 def labelled_netflow(tx: DataFrame, labels: DataFrame) -> DataFrame:
     """ETH into minus out of labelled addresses, per day.
 

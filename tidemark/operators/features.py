@@ -7,6 +7,7 @@ Python runs on the executors. All days of a chain are aggregated in one plan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,13 @@ class FeatureSet:
     def block_aggregates(self, blocks: DataFrame) -> Aggregates:
         return {}
 
-    def tx_side_tables(self, tx: DataFrame, names: Sequence[str]) -> list[DataFrame]:
+    def side_tables(self, tx: DataFrame | None, blocks: DataFrame | None, names: Sequence[str]) -> list[DataFrame]:
         """Statistics that need their own shuffle (distinct counts, medians), keyed by KEY.
 
         Only what the asked names need; their columns must not occur in other expressions.
         """
         return []
 
-    def block_side_tables(self, blocks: DataFrame, names: Sequence[str]) -> list[DataFrame]:
-        return []
-
     def features(
         self, tx: DataFrame | None, blocks: DataFrame | None, has_price: bool, names: Sequence[str]
     ) -> Aggregates:
@@ -45,13 +43,22 @@ class FeatureSet:
         raise NotImplementedError
 
 
-def _per_day(df: DataFrame, count_name: str, aggregates: Aggregates, side: list[DataFrame]) -> DataFrame:
-    out = df.groupBy(*KEY).agg(
+def _per_day(df: DataFrame, count_name: str, aggregates: Aggregates) -> DataFrame:
+    return df.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias(count_name), *[c.alias(n) for n, c in aggregates.items()]
     )
-    for table in side:
-        out = out.join(table, KEY, "left")
-    return out
+
+
+def merge_by_day(parts: Sequence[DataFrame]) -> DataFrame:
+    """Outer join of tables with at most one row per day and different columns.
+
+    Written as a union and one small aggregation, which takes any number of parts with a single
+    exchange; ``max`` picks the one value there is.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in union.columns if c not in KEY])
 
 
 def daily_features(
@@ -74,19 +81,19 @@ def daily_features(
         raise ValueError(f"not features of this set: {sorted(unknown)}")
     parts = []
     if blocks is not None:
-        parts.append(_per_day(blocks, "_n_blocks", fs.block_aggregates(blocks), fs.block_side_tables(blocks, names)))
+        parts.append(_per_day(blocks, "_n_blocks", fs.block_aggregates(blocks)))
     if tx is not None:
-        parts.append(_per_day(tx, "_n_tx", fs.tx_aggregates(tx), fs.tx_side_tables(tx, names)))
-    joined = parts[0] if len(parts) == 1 else parts[0].join(parts[1], KEY, "full_outer")
+        parts.append(_per_day(tx, "_n_tx", fs.tx_aggregates(tx)))
+    merged = merge_by_day([*parts, *fs.side_tables(tx, blocks, names)])
     for name, present in (("_n_blocks", blocks is not None), ("_n_tx", tx is not None)):
         if not present:
-            joined = joined.withColumn(name, F.lit(None).cast("long"))
+            merged = merged.withColumn(name, F.lit(None).cast("long"))
     if prices is not None:
-        joined = joined.join(prices.select(*KEY, F.col("close").alias("_close")), KEY, "left")
+        merged = merged.join(prices.select(*KEY, F.col("close").alias("_close")), KEY, "left")
     exprs = fs.features(tx, blocks, prices is not None, names)
     if set(exprs) != set(names):
         raise ValueError("feature set does not return exactly the asked names")
-    return joined.select(*KEY, *[exprs[n].cast("double").alias(n) for n in names])
+    return merged.select(*KEY, *[exprs[n].cast("double").alias(n) for n in names])
 
 
 def select_expected(df: DataFrame, names: Sequence[str]) -> DataFrame:
