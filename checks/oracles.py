@@ -561,6 +561,7 @@ SELECT {_alert_out} FROM stored_alert
 WHERE date = (SELECT date FROM stored_alert GROUP BY date ORDER BY COUNT(*) DESC, date DESC LIMIT 1)""")
 oracle("alerts_on_fixed_date", f"""
 SELECT {_alert_out} FROM stored_alert WHERE date = DATE '2024-01-17' AND alert_type = 'regime_shift'""")
+oracle("alerts_today", f"SELECT {_alert_out} FROM stored_alert WHERE date = DATE '2024-01-17'")
 oracle("recent_alerts", f"""
 SELECT {_alert_out} FROM stored_alert WHERE chain = 'ETH' AND date BETWEEN DATE '2024-01-02' AND DATE '2024-01-31'
 ORDER BY date DESC, created_at DESC, chain, alert_type LIMIT 20""")

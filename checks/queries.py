@@ -93,6 +93,12 @@ def stored_days(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(all_days(spark, sf))
 
 
+def checked_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Every calendar day of a chain, with its features or as an invalid placeholder."""
+    days = stored_days(spark, sf)
+    return worklist.with_placeholders(worklist.spine_between(days), days, load(spark, sf, "prices"))
+
+
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
     days = stored_days(spark, sf)
     return normalize.transform(days, normalize.fit_params(days, spec.FEATURES_BY_CHAIN), spec.ALL_FEATURES)
@@ -174,7 +180,7 @@ def raw_readiness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def placeholder_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = feature_plans.build_daily_features(raw_chains(spark, sf), whole_spine(spark, sf), load(spark, sf, "prices"))
+    days = checked_days(spark, sf)
     return rounded(days, 4)
 
 
@@ -281,13 +287,13 @@ def features_all_chains(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def features_date_range(spark: SparkSession, sf: str) -> DataFrame:
-    days = feature_plans.build_daily_features(raw_chains(spark, sf), whole_spine(spark, sf), load(spark, sf, "prices"))
+    days = checked_days(spark, sf)
     return rounded(feature_plans.features_between(days, dt.date(1996, 1, 1), dt.date(2024, 1, 15), AS_OF.date()), 2).drop("invalid_reason")
 
 
 @query
 def features_of_day(spark: SparkSession, sf: str) -> DataFrame:
-    days = feature_plans.build_daily_features(raw_chains(spark, sf), whole_spine(spark, sf), load(spark, sf, "prices"))
+    days = checked_days(spark, sf)
     return rounded(feature_plans.features_of_day(days, dt.date(1997, 6, 2), AS_OF.date()), 2).drop("invalid_reason")
 
 
@@ -682,6 +688,13 @@ def alert_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return reports.readiness(days, stored_alerts(spark, sf), dt.datetime(2024, 1, 29, 2, 30))
 
 
+@query
+def alerts_today(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stored_signals(spark, sf)
+    today = reports.alerts_today(sample_alerts(rows), rows, dt.datetime(2024, 1, 17, 2, 30))
+    return with_epoch(today).drop("id")
+
+
 @query
 def latest_model(spark: SparkSession, sf: str) -> DataFrame:
     return with_epoch(rounded(reports.latest_models(sample_performance(spark, sf))), "trained_at")

@@ -186,10 +186,12 @@ def test_spine_and_placeholders(spark):
     days = spark.createDataFrame([("BTC", D), ("BTC", D + dt.timedelta(1))], "chain string, date date")
     prices = spark.createDataFrame([("BTC", D, 9.0), ("BTC", D + dt.timedelta(1), 9.0)], "chain string, date date, close double")
     got = {(r.chain, r.date.day): (r.f, r.is_valid, r.invalid_reason) for r in
-           worklist.with_placeholders(spine, features, days, prices.where("close > 0")).collect()}
+           worklist.with_placeholders(spine, features, prices, days).collect()}
     assert got[("BTC", 1)] == (1.0, True, None)
     assert got[("BTC", 2)] == (None, False, "no_aggregate")
     assert got[("ETH", 1)] == (None, False, "no_raw_data")
+    got = worklist.with_placeholders(spine, features, prices.limit(0)).where("chain = 'BTC'").orderBy("date").collect()
+    assert [r.invalid_reason for r in got] == ["no_price", "no_raw_data", "no_raw_data"]
 
 
 def test_raw_scan(spark, tmp_path):
@@ -201,6 +203,7 @@ def test_raw_scan(spark, tmp_path):
     part = raw.scan_raw(spark, str(tmp_path), "BTC", "blocks", start=dt.date(2024, 1, 2))
     assert part.count() == 1
     assert "PartitionFilters: [isnotnull(date" in part._jdf.queryExecution().executedPlan().toString()
+    assert raw.scan_raw(spark, str(tmp_path), "BTC", "blocks", limit=2).count() == 2
     assert raw.has_data(df, "BTC", D) and not raw.has_data(df, "BTC", dt.date(2023, 1, 1))
     assert raw.limit_per_day(df, 1, ["v"]).count() == 2 and raw.limit_per_day(df, 0, ["v"]).count() == 0
     with pytest.raises(ValueError):

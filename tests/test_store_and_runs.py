@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import spec
 from tidemark.operators import metrics, normalize, training_data
 from tidemark.operators.btc import BtcFeatures
-from tidemark.operators.model import ModelConfig, active_models, load_model, next_versions, risk_scores
+from tidemark.operators.model import ModelConfig, active_models, next_versions, risk_scores, train
 from tidemark.plans import inference, reports, training
 from tidemark.sources import store
 from tidemark.streaming.daily import stream_daily_aggregates
@@ -166,9 +166,8 @@ def test_training_and_inference(spark, tmp_path):
     assert (outcome["BTC"], outcome["ETH"]) == ("1.0.0", "1.0.0") and outcome["SOL"].startswith("failed")
     perf = store.read_table(spark, root, "performance_summary")
     assert {r.chain for r in active_models(perf).collect()} == {"BTC", "ETH"}
-    models = {c: load_model(f"{root}/models", c, "1.0.0") for c in spec.CHAINS}
-    params = normalize.load_params(spark, f"{root}/norm_params/btc", "1.0.0").unionByName(
-        normalize.load_params(spark, f"{root}/norm_params/eth", "1.0.0"))
+    models, params = inference.load_active(spark, root)
+    assert set(models) == set(spec.CHAINS) and params.count() == 13
     last = dt.date(2023, 10, 20)
     features = data.drop("target").withColumn(
         "gas_price_median", F.when((F.col("chain") == "BTC") | (F.col("date") != F.lit(last)), F.col("gas_price_median")))
@@ -181,6 +180,8 @@ def test_training_and_inference(spark, tmp_path):
     signals = store.read_table(spark, root, "daily_signals")
     assert signals.count() == 3
     assert signals.where("NOT risk_score BETWEEN 0 AND 100").isEmpty()
+    plain = train(data.where("chain = 'BTC'"), ["whale_flow_1d"], ModelConfig(trees=2, max_depth=2), split=None)
+    assert risk_scores(plain, data.where("chain = 'BTC'")).where("raw_score IS NULL").isEmpty()
     scored = risk_scores(models["BTC"], features.where("chain = 'BTC'").fillna(0.0))
     assert scored.where("raw_score IS NULL OR NOT raw_score BETWEEN 0 AND 100").isEmpty()
 

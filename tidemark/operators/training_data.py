@@ -54,6 +54,16 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def require_training_columns(data: DataFrame) -> DataFrame:
+    """Stored history must hold date and target and may not be empty."""
+    missing = {"date", "target"} - set(data.columns)
+    if missing:
+        raise ValueError(f"training data lacks {sorted(missing)}")
+    if data.isEmpty():
+        raise ValueError("training data is empty")
+    return data
+
+
 def clean_training_rows(df: DataFrame, names: Sequence[str], max_share: float = spec.MAX_DROPPED_ROW_SHARE) -> DataFrame:
     """Per chain: drop rows with missing values if they are few, else fill in the median.
 

@@ -44,9 +44,7 @@ def build_daily_features(
     raw: Mapping[str, RawChain], spine: DataFrame, prices: DataFrame, sets: Mapping[str, FeatureSet] | None = None
 ) -> DataFrame:
     """One row per expected day: features, close, is_valid and the reason when it is not."""
-    sides = [df.select(*KEY).distinct() for r in raw.values() for df in (r.blocks, r.tx) if df is not None]
-    raw_days = union_by_name(*sides).distinct()
-    return with_placeholders(spine, features_all_chains(raw, prices, sets), raw_days, prices)
+    return with_placeholders(spine, features_all_chains(raw, prices, sets), prices)
 
 
 def features_between(

@@ -13,8 +13,8 @@ from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
 from tidemark.functions.values import check_chain
 from tidemark.operators.alerts import with_alerts
-from tidemark.operators.model import risk_scores
-from tidemark.operators.normalize import transform_for_inference
+from tidemark.operators.model import active_models, load_model, risk_scores
+from tidemark.operators.normalize import load_params, transform_for_inference
 from tidemark.operators.quality import finite_vectors, valid_signals
 from tidemark.operators.signals import SignalRules, signal_step
 from tidemark.sources import store
@@ -51,6 +51,20 @@ def daily_signals(
     )
 
 
+def load_active(
+    spark: SparkSession, root: str, chains: Sequence[str] = spec.CHAINS
+) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Models and scaling parameters of the version in production, per chain that has one."""
+    registry = active_models(store.read_table(spark, root, "performance_summary"))
+    names = [check_chain(c) for c in chains]
+    active = {r["chain"]: r["model_version"] for r in registry.where(F.col("chain").isin(*names)).collect()}
+    if not active:
+        raise ValueError("no chain has a model in production")
+    models = {c: load_model(f"{root}/models", c, v) for c, v in active.items()}
+    params = [load_params(spark, f"{root}/norm_params/{c.lower()}", v) for c, v in active.items()]
+    return models, union_by_name(*params)
+
+
 def run_inference(
     spark: SparkSession, features: DataFrame, params: DataFrame, models: Mapping[str, PipelineModel], root: str,
     date: dt.date, created_at: dt.datetime, rules: SignalRules = SignalRules(),

@@ -99,6 +99,14 @@ def readiness(days: DataFrame, processed: DataFrame, as_of: dt.datetime) -> Data
     return days.select("date").distinct().join(have, "date", "left").select("date", status.alias("readiness"))
 
 
+def alerts_today(alerts: DataFrame, processed: DataFrame, as_of: dt.datetime, chain: str | None = None,
+                 alert_type: str | None = None) -> DataFrame:
+    """Alerts of the current day; empty while ``readiness`` does not call the day ready."""
+    today = alerts_for_date(alerts, as_of.date(), as_of, chain, alert_type)
+    ready = readiness(today, processed, as_of).where(F.col("readiness") == "ready").select("date")
+    return today.join(ready, "date", "left_semi").orderBy("created_at", "id")
+
+
 def latest_models(performance: DataFrame) -> DataFrame:
     return latest_per_key(performance, ["chain"], "trained_at")
 

@@ -17,7 +17,8 @@ from tidemark.operators.metrics import evaluation_report
 from tidemark.operators.model import ModelConfig, next_versions, risk_scores, save_model, train
 from tidemark.operators.normalize import fit_params, save_params, transform
 from tidemark.operators.training_data import (
-    SplitDates, clean_training_rows, feature_medians, impute, require_both_sides, train_val_split,
+    SplitDates, clean_training_rows, feature_medians, impute, require_both_sides, require_training_columns,
+    train_val_split,
 )
 from tidemark.sources import store
 
@@ -50,7 +51,7 @@ def train_chain(
     end_date: dt.date | None = None, returns: str | None = None,
 ) -> TrainedChain:
     """Model of one chain from rows (chain, date, features, target)."""
-    split = cut_lineage(train_val_split(data.where(F.col("chain") == chain), dates, end_date))
+    split = cut_lineage(train_val_split(require_training_columns(data).where(F.col("chain") == chain), dates, end_date))
     require_both_sides(split)
     scaled, params = prepare(split, names)
     scaled = cut_lineage(scaled)  # read by every boosting round

@@ -30,12 +30,16 @@ def scan_raw(
     start: dt.date | None = None,
     end: dt.date | None = None,
     schema: StructType | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Raw rows of one chain with ``chain`` and ``date`` columns, pruned to [start, end].
 
     Without a schema the columns of all files are united by name, which reads every footer;
-    give the schema for large trees.
+    give the schema for large trees. ``limit`` is for one day: any n rows, 0 the schema only;
+    ``limit_per_day`` does the same for many days.
     """
+    if limit is not None and limit < 0:
+        raise ValueError("limit must not be negative")
     path = raw_path(root, chain, table)
     reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
     df = reader.parquet(path).withColumn("date", F.col("date").cast("date"))
@@ -43,6 +47,8 @@ def scan_raw(
         df = df.where(F.col("date") >= F.lit(check_date(start, "start")))
     if end is not None:
         df = df.where(F.col("date") <= F.lit(check_date(end, "end")))
+    if limit is not None:
+        df = df.limit(limit)
     return df.withColumn("chain", F.lit(check_chain(chain)))
 
 

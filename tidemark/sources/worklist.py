@@ -59,23 +59,23 @@ def missing_days(spine: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def with_placeholders(
-    spine: DataFrame, features: DataFrame, raw_days: DataFrame, prices: DataFrame
+    spine: DataFrame, features: DataFrame, prices: DataFrame, raw_days: DataFrame | None = None
 ) -> DataFrame:
     """Every expected day with its features, or an invalid placeholder row and its reason.
 
-    Checked in the order of a run: raw data, then price, then aggregate.
+    Checked in the order of a run: raw data, then price, then aggregate. Features computed from
+    the raw tables have a row for every day with raw data; give ``raw_days`` when they were
+    stored by an earlier run and days may be absent for other reasons.
     """
-
-    def flag(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*KEY).distinct().withColumn(name, F.lit(True))
-
-    out = (
-        spine.join(flag(raw_days, "_raw"), KEY, "left")
-        .join(prices.groupBy(*KEY).agg(F.first("close", ignorenulls=True).alias("close")), KEY, "left")
-        .join(features.withColumn("_agg", F.lit(True)), KEY, "left")
+    out = spine.join(features.withColumn("_agg", F.lit(True)), KEY, "left").join(
+        prices.groupBy(*KEY).agg(F.first("close", ignorenulls=True).alias("close")), KEY, "left"
     )
+    has_raw = F.col("_agg").isNotNull()
+    if raw_days is not None:
+        out = out.join(raw_days.select(*KEY).distinct().withColumn("_raw", F.lit(True)), KEY, "left")
+        has_raw = F.col("_raw").isNotNull()
     reason = (
-        F.when(F.col("_raw").isNull(), F.lit("no_raw_data"))
+        F.when(~has_raw, F.lit("no_raw_data"))
         .when(F.col("close").isNull(), F.lit("no_price"))
         .when(F.col("_agg").isNull(), F.lit("no_aggregate"))
     )
