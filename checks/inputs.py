@@ -6,6 +6,7 @@ Each text runs unchanged in Spark SQL and in DuckDB; ``{name}`` stands for a tab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SQL = {
     "btc_tx": """
@@ -69,9 +70,19 @@ TABLES = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; its schema is read from the file once, not for every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
-    return spark.sql(SQL[name], **tables)
+    return spark.sql(SQL[name], **{t: table(spark, sf_dir, t) for t in TABLES[name]})
 
 
 def duck(name: str) -> str:

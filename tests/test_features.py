@@ -208,5 +208,10 @@ def test_raw_scan(spark, tmp_path):
     assert raw.limit_per_day(df, 1, ["v"]).count() == 2 and raw.limit_per_day(df, 0, ["v"]).count() == 0
     with pytest.raises(ValueError):
         raw.limit_per_day(df, -1, ["v"])
+    many = spark.range(5000).selectExpr("CASE WHEN id >= 0 THEN 'BTC' END AS chain", "DATE'2024-01-01' AS date", "id")
+    assert raw.limit_per_day(many, 1500, ["id"]).agg(F.count("id"), F.max("id")).first()[:] == (1500, 1499)
+    few = raw.limit_per_day(many, 3, ["id"])
+    assert [r.id for r in few.collect()] == [0, 1, 2]
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         raw.scan_raw(spark, str(tmp_path), "DOGE", "blocks")

@@ -25,15 +25,25 @@ def missing() -> Column:
     return F.lit(None).cast("double")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def number(c: Column | str) -> Column:
     """Double with NaN as NULL; text that is no number becomes NULL."""
-    d = as_column(c).try_cast("double")
+    if isinstance(c, str):
+        d = f"try_cast({quoted(c)} AS DOUBLE)"
+        return F.expr(f"CASE WHEN NOT isnan({d}) THEN {d} END")
+    d = c.try_cast("double")
     return F.when(~F.isnan(d), d)
 
 
 def finite_or_null(c: Column | str) -> Column:
     """Double with NaN and both infinities as NULL."""
-    d = as_column(c).try_cast("double")
+    if isinstance(c, str):
+        d = f"try_cast({quoted(c)} AS DOUBLE)"
+        return F.expr(f"CASE WHEN NOT isnan({d}) AND abs({d}) < double('Infinity') THEN {d} END")
+    d = c.try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) < F.lit(INF)), d)
 
 

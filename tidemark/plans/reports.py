@@ -45,10 +45,16 @@ def attach_alerts(signals: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def signal_response(signals: DataFrame, alerts: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Signals in response form: nested alerts, updated_at falls back to as_of."""
+    """Signals in response form: nested alerts, updated_at falls back to as_of.
+
+    A regime or risk state outside its allowed set shows as NULL.
+    """
+    known = {
+        n: F.when(F.col(n).isin(*allowed), F.col(n))
+        for n, allowed in (("regime", spec.REGIMES), ("risk_state", spec.RISK_STATES))
+    }
     updated = F.coalesce(F.col("created_at"), F.lit(as_of).cast("timestamp"))
-    known = F.col("regime").isin(*spec.REGIMES) & F.col("risk_state").isin(*spec.RISK_STATES)
-    return attach_alerts(signals.where(known), alerts).withColumn("updated_at", updated).drop("created_at")
+    return attach_alerts(signals.withColumns(known), alerts).withColumn("updated_at", updated).drop("created_at")
 
 
 def _filtered(alerts: DataFrame, chain: str | None, alert_type: str | None) -> DataFrame:

@@ -55,8 +55,9 @@ def scan_raw(
 def limit_per_day(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
     """First n rows of each (chain, date); None keeps all, 0 keeps the schema only.
 
-    Order by a unique key for a repeatable choice. A day is cut to n rows in each of 1024
-    hash groups first, so the last sort of a day sees 1024 n rows however large the day is.
+    Order by a unique key for a repeatable choice. Up to the session's group limit (1,000 rows by
+    default) Spark cuts every day to n rows in each map task, before the exchange. For larger n
+    a day is cut in each of 1024 hash groups first, so no single task sorts a whole large day.
     """
     if n is None:
         return df
@@ -64,16 +65,16 @@ def limit_per_day(df: DataFrame, n: int | None, order_by: list[str]) -> DataFram
         raise ValueError("limit must not be negative")
     if n == 0:
         return df.limit(0)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(_SALTS)))
-    within = Window.partitionBy(*KEY, "_salt").orderBy(*order_by)
-    day = Window.partitionBy(*KEY).orderBy(*order_by)
-    return (
-        salted.withColumn("_rn", F.row_number().over(within))
-        .where(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(day))
-        .where(F.col("_rn") <= n)
-        .drop("_rn", "_salt")
-    )
+    mapped = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > mapped:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(_SALTS)))
+        df = _first_rows(salted, n, [*KEY, "_salt"], order_by).drop("_salt")
+    return _first_rows(df, n, KEY, order_by)
+
+
+def _first_rows(df: DataFrame, n: int, keys: list[str], order_by: list[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    return df.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 
 
 def union_by_name(*parts: DataFrame) -> DataFrame:
