@@ -249,6 +249,12 @@ oracle("union_of_files", """
 SELECT 'BTC' AS chain, COUNT(*) AS n_rows, COUNT(value_usd) AS n_value_usd, 0::BIGINT AS n_gas_price FROM btc_tx
 UNION ALL SELECT 'ETH', COUNT(*), 0, COUNT(gas_price) FROM eth_tx""")
 
+oracle("chains_accepted", """
+SELECT id, chain || CASE WHEN y = 1 THEN 'X' ELSE '' END AS chain, y = 0 AS is_known FROM predictions""")
+ORACLES["dates_read"] = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS from_timestamp,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS from_text FROM orders"""
+
 # ------------------------------------------------------------------ features
 
 for _q, _f, _d in [
@@ -291,6 +297,7 @@ oracle("features_of_day", _valid + "date = DATE '1997-06-02'")
 # ------------------------------------------------------------------ normalisation, training data
 
 oracle("norm_params", f"SELECT chain, feature, {Rs(['mean', 'std'], 3)} FROM fitted")
+oracle("params_cleaned", f"SELECT chain, feature, {Rs(['mean', 'std'], 3)} FROM fitted WHERE feature <> 'fee_pressure'")
 oracle("zscore", f"SELECT chain, date, {Rs(ALL)} FROM scaled")
 _zi = ", ".join(
     R(f"CASE WHEN s_{n} = 0 THEN 0.0E0 WHEN s_{n} IS NOT NULL THEN CAST(CAST(({n} - m_{n}) / s_{n} AS FLOAT) AS DOUBLE) END", n, 4)
@@ -368,6 +375,7 @@ GROUP BY chain, model_version""")
 oracle("risk_score_sanitised", f"""
 SELECT chain, date, {R("CASE WHEN EXTRACT(DAY FROM date) = 13 THEN 50.0E0 ELSE GREATEST(0.0E0, LEAST(100.0E0, raw_score * 1.4 - 20)) END",
                        "risk_score")} FROM raw_scores""")
+oracle("risk_percent", f"SELECT id, {R('GREATEST(0.0E0, LEAST(1.0E0, p * 1.3 - 0.1)) * 100', 'raw_score')} FROM predictions")
 oracle("feature_fallbacks", f"""
 SELECT chain, date, {R(fb("mempool_stress"), "mempool_stress")}, {R(fb("gas_price_median"), "gas_price_median")},
   50.0E0 AS absent FROM all_day""")

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.inputs import load
+from checks.inputs import load, table
 from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
-from tidemark.functions.values import feature_or_neutral, score_or_neutral
+from tidemark.functions.values import feature_or_neutral, known_chain, normal_chain, score_or_neutral, to_date
 from tidemark.operators import alerts as alert_ops
 from tidemark.operators import metrics, model, normalize, quality, signals, training_data
 from tidemark.operators.btc import BtcFeatures, BtcMinimalFeatures, mean_block_size
@@ -198,6 +198,24 @@ def union_of_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def chains_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """Chain names as people type them; known ones are accepted in any case."""
+    typed = F.concat(F.lit(" "), F.lower("chain"), F.when(F.col("y") == 1, F.lit("x")).otherwise(F.lit(" ")))
+    rows = load(spark, sf, "predictions").withColumn("typed", typed)
+    return rows.select("id", normal_chain("typed").alias("chain"), known_chain("typed").alias("is_known"))
+
+
+@query
+def dates_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates from timestamps, ISO text and text that is no date."""
+    orders = table(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    text = F.when(F.col("o_orderstatus") == "F", F.concat(day, F.lit("T01:02:03"))).when(
+        F.col("o_orderstatus") == "P", F.lit("unknown")).otherwise(day)
+    return orders.select("o_orderkey", to_date("o_orderdate").alias("from_timestamp"), to_date(text).alias("from_text"))
+
+
 # ------------------------------------------------------------------ daily features
 
 
@@ -305,6 +323,16 @@ def norm_params(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(normalize.fit_params(all_days(spark, sf), spec.FEATURES_BY_CHAIN), 3)
 
 
+@query
+def params_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored parameters as text: unreadable entries go, missing and infinite values count as 0."""
+    stored = normalize.fit_params(stored_days(spark, sf), spec.FEATURES_BY_CHAIN).select(
+        "chain", "feature", F.when(F.col("feature") == "fee_pressure", F.lit("broken")).otherwise(F.col("mean").cast("string")).alias("mean"),
+        F.when(F.col("std") == 0, F.lit("Infinity")).otherwise(F.col("std").cast("string")).alias("std"),
+    )
+    return rounded(normalize.clean_params(stored), 3)
+
+
 @query
 def zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scaled(spark, sf), 6)
@@ -438,6 +466,13 @@ def risk_score_sanitised(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "raw_scores").select("chain", "date", r(score_or_neutral(score)).alias("risk_score"))
 
 
+@query
+def risk_percent(spark: SparkSession, sf: str) -> DataFrame:
+    """Model output to a score; the probability is cut to [0, 1] first."""
+    p = load(spark, sf, "predictions").withColumn("p", F.col("p") * 1.3 - 0.1)
+    return p.select("id", r(model.percent(F.col("p"))).alias("raw_score"))
+
+
 @query
 def feature_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     days = all_days(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import spec
 from tidemark.operators import metrics, normalize, training_data
 from tidemark.operators.btc import BtcFeatures
-from tidemark.operators.model import ModelConfig, active_models, next_versions, risk_scores, train
+from tidemark.operators.model import ModelConfig, active_models, best_iteration, next_versions, risk_scores, train
 from tidemark.plans import inference, reports, training
 from tidemark.sources import store
 from tidemark.streaming.daily import stream_daily_aggregates
@@ -181,6 +181,7 @@ def test_training_and_inference(spark, tmp_path):
     assert signals.count() == 3
     assert signals.where("NOT risk_score BETWEEN 0 AND 100").isEmpty()
     plain = train(data.where("chain = 'BTC'"), ["whale_flow_1d"], ModelConfig(trees=2, max_depth=2), split=None)
+    assert best_iteration(plain) == 2 and 1 <= best_iteration(models["BTC"]) <= 6
     assert risk_scores(plain, data.where("chain = 'BTC'")).where("raw_score IS NULL").isEmpty()
     scored = risk_scores(models["BTC"], features.where("chain = 'BTC'").fillna(0.0))
     assert scored.where("raw_score IS NULL OR NOT raw_score BETWEEN 0 AND 100").isEmpty()

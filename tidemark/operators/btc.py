@@ -46,7 +46,7 @@ class BtcFeatures(FeatureSet):
         old = number("spent_output_age_days") >= spec.OLD_OUTPUT_DAYS
         out: Aggregates = {}
         if has({"is_whale", "value_usd"}):
-            out["_whale"] = sum_or_zero(F.when(F.col("is_whale"), number("value_usd")))
+            out["_whale"] = sum_or_zero(F.when(F.col("is_whale").cast("boolean"), number("value_usd")))
         if has({"exchange_in_usd", "exchange_out_usd"}):
             out["_netflow"] = sum_or_zero(number("exchange_in_usd")) - sum_or_zero(number("exchange_out_usd"))
         fee = _one_of(tx, "fee_rate", "fee")

@@ -18,7 +18,7 @@ from tidemark.operators.features import KEY, Aggregates, FeatureSet
 
 
 def _wei(name: str) -> Column:
-    return F.col(name).cast("decimal(38,0)")
+    return F.col(name).try_cast("decimal(38,0)")
 
 
 def _wei_sum(condition: Column) -> Column:
@@ -34,6 +34,7 @@ class EthFeatures(FeatureSet):
 
     chain = "ETH"
     names = spec.ETH_FEATURES
+    price_features = ("whale_flow_1d",)
 
     def __init__(self, exchange_labels: DataFrame | None = None, approximate: bool = False) -> None:
         self.exchange_labels = exchange_labels

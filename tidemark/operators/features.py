@@ -22,6 +22,7 @@ class FeatureSet:
 
     chain: str = ""
     names: tuple[str, ...] = ()
+    price_features: tuple[str, ...] = ()  # names whose expression reads the close price, ``_close``
 
     def tx_aggregates(self, tx: DataFrame) -> Aggregates:
         return {}
@@ -88,9 +89,10 @@ def daily_features(
     for name, present in (("_n_blocks", blocks is not None), ("_n_tx", tx is not None)):
         if not present:
             merged = merged.withColumn(name, F.lit(None).cast("long"))
-    if prices is not None:
+    has_price = prices is not None and not set(names).isdisjoint(fs.price_features)
+    if has_price:
         merged = merged.join(prices.select(*KEY, F.col("close").alias("_close")), KEY, "left")
-    exprs = fs.features(tx, blocks, prices is not None, names)
+    exprs = fs.features(tx, blocks, has_price, names)
     if set(exprs) != set(names):
         raise ValueError("feature set does not return exactly the asked names")
     return merged.select(*KEY, *[exprs[n].cast("double").alias(n) for n in names])

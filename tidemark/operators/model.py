@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import spec
@@ -57,6 +57,16 @@ def train(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig
     return Pipeline(stages=[assembler, _classifier(config, validation)]).fit(rows)
 
 
+def best_iteration(model: PipelineModel) -> int:
+    """Number of trees the early stop left."""
+    return model.stages[-1].getNumTrees
+
+
+def percent(chance: Column) -> Column:
+    """Probability to a score in [0, 100]; a value that is no finite number becomes NULL."""
+    return F.when(finite_or_null(chance).isNotNull(), clamp(chance, 0.0, 1.0) * 100.0)
+
+
 def risk_scores(model: PipelineModel, df: DataFrame, out: str = "raw_score") -> DataFrame:
     """Adds the probability of a drawdown in percent; a value that is no number becomes NULL."""
     scored = model.transform(df)
@@ -64,8 +74,7 @@ def risk_scores(model: PipelineModel, df: DataFrame, out: str = "raw_score") ->
         chance = vector_to_array("probability")[1]
     else:
         chance = F.col("prediction")
-    score = F.when(finite_or_null(chance).isNotNull(), clamp(chance, 0.0, 1.0) * 100.0)
-    return scored.withColumn(out, score).select(*df.columns, out)
+    return scored.withColumn(out, percent(chance)).select(*df.columns, out)
 
 
 def model_path(root: str, chain: str, version: str) -> str:
