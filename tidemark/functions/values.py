@@ -102,6 +102,18 @@ def midnight_epoch(date: Column) -> Column:
     return F.unix_date(date).cast("long") * F.lit(86400)
 
 
+def epoch_seconds(moment: dt.datetime) -> int:
+    """Seconds from the epoch; a time without zone is UTC."""
+    if moment.tzinfo is None:
+        moment = moment.replace(tzinfo=dt.timezone.utc)
+    return int(moment.timestamp())
+
+
+def instant(moment: dt.datetime) -> Column:
+    """Timestamp column of a point in time, whatever the time zone of session and driver."""
+    return F.timestamp_seconds(F.lit(epoch_seconds(moment)))
+
+
 def check_chain(chain: str, chains: Iterable[str] = spec.CHAINS) -> str:
     name = str(chain).strip().upper()
     if name not in tuple(chains):

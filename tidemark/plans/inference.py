@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
-from tidemark.functions.values import check_chain
+from tidemark.functions.values import check_chain, instant
 from tidemark.operators.alerts import with_alerts
 from tidemark.operators.model import active_models, load_model, risk_scores
 from tidemark.operators.normalize import load_params, transform_for_inference
@@ -46,9 +46,7 @@ def daily_signals(
 ) -> DataFrame:
     """Signals with nested alerts of the scored days; days without a score are left out."""
     targets = features.join(scores, ["chain", "date"])
-    return with_alerts(signal_step(targets, history, rules)).withColumn(
-        "created_at", F.lit(created_at).cast("timestamp")
-    )
+    return with_alerts(signal_step(targets, history, rules)).withColumn("created_at", instant(created_at))
 
 
 def load_active(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import spec
-from tidemark.functions.values import check_chain, check_date_range, midnight_epoch
+from tidemark.functions.values import check_chain, check_date_range, epoch_seconds, instant, midnight_epoch
 from tidemark.sources.store import last_rows, latest_per_key
 
 
@@ -53,7 +53,7 @@ def signal_response(signals: DataFrame, alerts: DataFrame, as_of: dt.datetime) -
         n: F.when(F.col(n).isin(*allowed), F.col(n))
         for n, allowed in (("regime", spec.REGIMES), ("risk_state", spec.RISK_STATES))
     }
-    updated = F.coalesce(F.col("created_at"), F.lit(as_of).cast("timestamp"))
+    updated = F.coalesce(F.col("created_at"), instant(as_of))
     return attach_alerts(signals.withColumns(known), alerts).withColumn("updated_at", updated).drop("created_at")
 
 
@@ -121,15 +121,9 @@ def chain_dimension(spark: SparkSession, chains: Sequence[str] = spec.CHAINS) ->
     return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in chains])).alias("chain"))
 
 
-def _epoch(as_of: dt.datetime) -> int:
-    if as_of.tzinfo is None:
-        as_of = as_of.replace(tzinfo=dt.timezone.utc)
-    return int(as_of.timestamp())
-
-
 def age_hours(date: Column, as_of: dt.datetime) -> Column:
     """Hours from 00:00 UTC of the signal date."""
-    return (F.lit(_epoch(as_of)) - midnight_epoch(date)) / F.lit(3600.0)
+    return (F.lit(epoch_seconds(as_of)) - midnight_epoch(date)) / F.lit(3600.0)
 
 
 def _freshness(age: Column) -> Column:

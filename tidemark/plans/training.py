@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
-from tidemark.functions.values import missing
+from tidemark.functions.values import instant, missing
 from tidemark.operators.metrics import evaluation_report
 from tidemark.operators.model import ModelConfig, next_versions, risk_scores, save_model, train
 from tidemark.operators.normalize import fit_params, save_params, transform
@@ -85,7 +85,7 @@ def run_training(
             row = done.report.select(
                 "chain", F.lit(version).alias("model_version"), "auc", "hitrate",
                 F.col("sharpe").alias("sharpe_ratio") if returns else missing().alias("sharpe_ratio"),
-                F.lit(trained_at).cast("timestamp").alias("trained_at"),
+                instant(trained_at).alias("trained_at"),
             )
             store.write_rows(spark, root, "performance_summary", row)
             outcome[chain] = version
