@@ -51,7 +51,7 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the frame's size, used to choose a number of buckets and nothing else."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 1 << 34
 
 

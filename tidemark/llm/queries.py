@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, token_counts, url_filters
+from tidemark.llm import jaccard_join, quality, token_counts, url_filters
 from tidemark.llm.common import QueryFn, shared_folder, table, written
 
 
@@ -49,10 +49,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op2_url_filters": op2_url_filters,
     "op6_token_counts": op6_token_counts,
     "op8_quality": op8_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
