@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bucket_count, connected_components, doc_key, written
 from tidemark.llm.packed import (
-    BUCKET_ROWS, Texts, U, bucket_batch, by_bucket, lowered, mix, ranges, reduce_buckets, span_hashes, text_blocks, text_column,
+    BUCKET_ROWS, Texts, U, bucket_batch, decoder, encode, joined_dtype, lowered, mix, ranges, reduce_buckets, span_hashes, text_blocks, text_column,
     window_hashes, words_of,
 )
 
 GRAM = 5
 #: What a set's signatures of one kind have in common. drop: how many of the most frequent it does without.
 SLOT = np.dtype([("cls", "<i8"), ("drop", "<i4"), ("kind", "u1")])
-ENTRY = np.dtype([("sig", "<i8"), ("cls", "<i8"), ("drop", "<i4"), ("kind", "u1")])
-COUNTED = np.dtype([("sig", "<i8"), ("cls", "<i8"), ("drop", "<i4"), ("kind", "u1"), ("sets", "<i8")])
+SIG = np.dtype([("sig", "<i8")])
+ENTRY = joined_dtype(SLOT, SIG)
+COUNTED = joined_dtype(ENTRY, np.dtype([("sets", "<i8")]))
 FLUSH = 1_000_000
 
 
@@ -111,32 +112,14 @@ def _range_contents(hashes: np.ndarray, cut: np.ndarray, who: np.ndarray, m: np.
     return local, mix(content ^ mix(part[start] * U(64) + band[local].astype(U)))
 
 
-def _encoded(entries: np.ndarray, slots: np.ndarray, slot: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket: the slots it needs once, how many signatures each has, and the signatures."""
-    order, found, edges = by_bucket(entries.view(U) % U(buckets))
-    entries, slot, rows = entries[order], slot[order], []
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        here = np.argsort(slot[i:j], kind="stable")
-        used, counts = np.unique(slot[i:j], return_counts=True)
-        rows.append(b"".join((np.uint32(len(used)).tobytes(), slots[used].tobytes(), counts.astype("<u4").tobytes(), entries[i:j][here].tobytes())))
-    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
-
-
-def _decoded(rows: bytes) -> np.ndarray:
-    n = int(np.frombuffer(rows, "<u4", 1)[0])
-    slots = np.frombuffer(rows, SLOT, n, 4)
-    counts = np.frombuffer(rows, "<u4", n, 4 + n * SLOT.itemsize)
-    sig = np.frombuffer(rows, "<i8", -1, 4 + n * (SLOT.itemsize + 4))
-    out = np.empty(len(sig), ENTRY)
-    out["sig"] = sig
-    for name in SLOT.names:
-        out[name] = np.repeat(slots[name], counts)
-    return out
-
-
 def _signature_rows(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, slots, owners, count, base, seen = [], [], [], 0, 0, set()
+
+        def flush() -> pa.RecordBatch:
+            sigs = np.concatenate(entries)
+            return encode(sigs.view(U) % U(buckets), sigs.view(SIG), np.concatenate(slots), np.concatenate(owners))
+
         for texts in text_blocks(batches):
             hashes, cut = shingle_sets(texts)
             cls, _ = set_keys(hashes, cut)
@@ -154,10 +137,10 @@ def _signature_rows(buckets: int):
             base += len(table)
             count += len(sig)
             if count >= FLUSH:
-                yield _encoded(np.concatenate(entries), np.concatenate(slots), np.concatenate(owners), buckets)
+                yield flush()
                 entries, slots, owners, count, base, seen = [], [], [], 0, 0, set()
         if count:
-            yield _encoded(np.concatenate(entries), np.concatenate(slots), np.concatenate(owners), buckets)
+            yield flush()
 
     return rows
 
@@ -198,7 +181,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(sig, cls): classes of sets and the signatures by which they may have partners."""
     buckets = bucket_count(docs, mb=8)
     rows = docs.select(*doc_key(), "text").mapInArrow(_signature_rows(buckets), BUCKET_ROWS)
-    counted = reduce_buckets(rows, buckets, _decoded, _count_sets(buckets), BUCKET_ROWS)
+    counted = reduce_buckets(rows, buckets, decoder(SLOT, SIG), _count_sets(buckets), BUCKET_ROWS)
     return reduce_buckets(counted, buckets, COUNTED, _rarest, "sig long, cls long")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 BASE = 0x9E6C63D0876A9A47  # odd
@@ -154,3 +155,103 @@ def reduce_buckets(
             yield from reducer(np.concatenate(held))
 
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(read, schema)
+
+
+DOC = np.dtype([("did", "<i8"), ("th", "<i8")])
+
+
+def joined_dtype(slot: np.dtype, entry: np.dtype) -> np.dtype:
+    return np.dtype([(n, d.fields[n][0]) for d in (slot, entry) for n in d.names])
+
+
+def encode(bucket: np.ndarray, entries: np.ndarray, slots: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: what several entries have in common (slots) once, how many entries each has, the entries."""
+    order, found, edges = by_bucket(bucket)
+    entries, slot, rows = entries[order], slot[order], []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        here = np.argsort(slot[i:j], kind="stable")
+        used, counts = np.unique(slot[i:j], return_counts=True)
+        rows.append(b"".join((np.uint32(len(used)).tobytes(), slots[used].tobytes(), counts.astype("<u4").tobytes(), entries[i:j][here].tobytes())))
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+
+
+def decoder(slot: np.dtype, entry: np.dtype) -> Callable[[bytes], np.ndarray]:
+    both = joined_dtype(slot, entry)
+
+    def decode(rows: bytes) -> np.ndarray:
+        n = int(np.frombuffer(rows, "<u4", 1)[0])
+        slots = np.frombuffer(rows, slot, n, 4)
+        counts = np.frombuffer(rows, "<u4", n, 4 + n * slot.itemsize)
+        entries = np.frombuffer(rows, entry, -1, 4 + n * (slot.itemsize + 4))
+        out = np.empty(len(entries), both)
+        for name in entry.names:
+            out[name] = entries[name]
+        for name in slot.names:
+            out[name] = np.repeat(slots[name], counts)
+        return out
+
+    return decode
+
+
+def encode_by_doc(rows: np.ndarray, entry: np.dtype, buckets: int) -> pa.RecordBatch:
+    """Rows with did and th, packed by the bucket of their document."""
+    rows = rows[np.lexsort((rows["th"], rows["did"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["did"][1:] != rows["did"][:-1]) | (rows["th"][1:] != rows["th"][:-1])
+    slots = np.empty(int(new.sum()), DOC)
+    slots["did"], slots["th"] = rows["did"][new], rows["th"][new]
+    entries = np.empty(len(rows), entry)
+    for name in entry.names:
+        entries[name] = rows[name]
+    return encode(doc_bucket(rows["th"], buckets), entries, slots, np.cumsum(new) - 1)
+
+
+def doc_bucket(th: np.ndarray, buckets: int) -> np.ndarray:
+    return (th.view(U) % U(buckets)).astype(np.int64) if len(th) else np.zeros(0, np.int64)
+
+
+def with_texts(
+    docs: DataFrame, packed: DataFrame, buckets: int, decode: Callable[[bytes], np.ndarray],
+    fn: Callable[[np.ndarray, np.ndarray, Texts], Iterator[pa.RecordBatch]], schema: str,
+) -> DataFrame:
+    """Brings packed rows to the texts of their documents.
+
+    docs: _did, _th, text; packed: rows by the bucket of the document. fn gets, for a block of texts,
+    the bucket's rows of these documents, the place in the block of each, and the block.
+    """
+    texts = docs.select(
+        F.expr(f"cast(if(_th >= 0, _th % {buckets}, pmod(_th % {buckets} + {(1 << 64) % buckets}, {buckets})) as int)").alias("bucket"),
+        F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("rows"), "_did", "_th", "text",
+    )
+    replies = packed.select("bucket", F.lit(0).alias("kind"), "rows", F.lit(None).cast("long").alias("_did"),
+                            F.lit(None).cast("long").alias("_th"), F.lit(None).cast("string").alias("text"))
+    both = texts.unionByName(replies).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows = None, [], None
+        for batch in batches:
+            bucket, kind = (batch.column(c).to_numpy() for c in ("bucket", "kind"))
+            edges = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])))
+            for i, j in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+                part = batch.slice(i, j - i)
+                if bucket[i] != now:
+                    now, held, rows = bucket[i], [], None
+                if kind[i] == 0:
+                    held += [decode(r) for r in part.column("rows").to_pylist()]
+                    continue
+                if rows is None:
+                    rows = np.concatenate(held) if held else decode(bytes(4))
+                    rows, held = rows[np.lexsort((rows["th"], rows["did"]))], []
+                for texts in text_blocks(iter([part])):
+                    found, place = _of_block(rows, texts)
+                    yield from fn(found, place, texts)
+
+    return both.mapInArrow(read, schema)
+
+
+def _of_block(rows: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (ordered by did and th) of the block's documents and each one's place in the block."""
+    lo, hi = np.searchsorted(rows["did"], texts.did, "left"), np.searchsorted(rows["did"], texts.did, "right")
+    at, place = ranges(lo, hi - lo), np.repeat(np.arange(len(texts)), hi - lo)
+    same = rows["th"][at] == texts.th[place]
+    return rows[at[same]], place[same]
