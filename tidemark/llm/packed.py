@@ -164,30 +164,50 @@ def joined_dtype(slot: np.dtype, entry: np.dtype) -> np.dtype:
     return np.dtype([(n, d.fields[n][0]) for d in (slot, entry) for n in d.names])
 
 
+def _squeezed(*parts: bytes) -> bytes:
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unsqueezed(rows: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(rows[8:], int.from_bytes(rows[:8], "little"), asbytes=True)
+
+
 def encode(bucket: np.ndarray, entries: np.ndarray, slots: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket: what several entries have in common (slots) once, how many entries each has, the entries."""
-    order, found, edges = by_bucket(bucket)
+    """One row for each bucket: what several entries have in common (slots) once, how many entries each has, the entries by column."""
+    order = np.lexsort((slot, bucket))
+    found, first = np.unique(bucket[order], return_index=True)
+    edges = np.append(first, len(order))
     entries, slot, rows = entries[order], slot[order], []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
-        here = np.argsort(slot[i:j], kind="stable")
         used, counts = np.unique(slot[i:j], return_counts=True)
-        rows.append(b"".join((np.uint32(len(used)).tobytes(), slots[used].tobytes(), counts.astype("<u4").tobytes(), entries[i:j][here].tobytes())))
+        table, part = slots[used], entries[i:j]
+        rows.append(_squeezed(
+            np.array([len(used), j - i], "<i8").tobytes(), *[table[n].tobytes() for n in slots.dtype.names],
+            counts.astype("<u4").tobytes(), *[part[n].tobytes() for n in entries.dtype.names]))
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
 
-def decoder(slot: np.dtype, entry: np.dtype) -> Callable[[bytes], np.ndarray]:
+def decoder(slot: np.dtype, entry: np.dtype) -> Callable[[bytes | None], np.ndarray]:
     both = joined_dtype(slot, entry)
 
-    def decode(rows: bytes) -> np.ndarray:
-        n = int(np.frombuffer(rows, "<u4", 1)[0])
-        slots = np.frombuffer(rows, slot, n, 4)
-        counts = np.frombuffer(rows, "<u4", n, 4 + n * slot.itemsize)
-        entries = np.frombuffer(rows, entry, -1, 4 + n * (slot.itemsize + 4))
-        out = np.empty(len(entries), both)
+    def decode(rows: bytes | None) -> np.ndarray:
+        if rows is None:
+            return np.empty(0, both)
+        raw = _unsqueezed(rows)
+        n_slots, n = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+        out, at = np.empty(n, both), 16
+        table = {}
+        for name in slot.names:
+            table[name] = np.frombuffer(raw, slot[name], n_slots, at)
+            at += table[name].nbytes
+        counts = np.frombuffer(raw, "<u4", n_slots, at)
+        at += counts.nbytes
         for name in entry.names:
-            out[name] = entries[name]
+            out[name] = np.frombuffer(raw, entry[name], n, at)
+            at += n * entry[name].itemsize
         for name in slot.names:
-            out[name] = np.repeat(slots[name], counts)
+            out[name] = np.repeat(table[name], counts)
         return out
 
     return decode
@@ -219,36 +239,59 @@ def with_texts(
     docs: _did, _th, text; packed: rows by the bucket of the document. fn gets, for a block of texts,
     the bucket's rows of these documents, the place in the block of each, and the block.
     """
-    texts = docs.select(
-        F.expr(f"cast(if(_th >= 0, _th % {buckets}, pmod(_th % {buckets} + {(1 << 64) % buckets}, {buckets})) as int)").alias("bucket"),
-        F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("rows"), "_did", "_th", "text",
-    )
-    replies = packed.select("bucket", F.lit(0).alias("kind"), "rows", F.lit(None).cast("long").alias("_did"),
-                            F.lit(None).cast("long").alias("_th"), F.lit(None).cast("string").alias("text"))
+    texts = docs.select("_did", "_th", "text").mapInArrow(_text_rows(buckets), "bucket int, kind int, rows binary")
+    replies = packed.select("bucket", F.lit(0).alias("kind"), "rows")
     both = texts.unionByName(replies).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, rows = None, [], None
         for batch in batches:
-            bucket, kind = (batch.column(c).to_numpy() for c in ("bucket", "kind"))
-            edges = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])))
-            for i, j in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                part = batch.slice(i, j - i)
-                if bucket[i] != now:
-                    now, held, rows = bucket[i], [], None
-                if kind[i] == 0:
-                    held += [decode(r) for r in part.column("rows").to_pylist()]
+            for bucket, kind, row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "rows")), strict=True):
+                if bucket != now:
+                    now, held, rows = bucket, [], None
+                if kind == 0:
+                    held.append(decode(row))
                     continue
                 if rows is None:
-                    rows = np.concatenate(held) if held else decode(bytes(4))
+                    rows = np.concatenate(held) if held else decode(None)
                     rows, held = rows[np.lexsort((rows["th"], rows["did"]))], []
-                for texts in text_blocks(iter([part])):
-                    found, place = _of_block(rows, texts)
-                    yield from fn(found, place, texts)
+                for block in _blocks_of(_unsqueezed(row)):
+                    found, place = _of_block(rows, block)
+                    yield from fn(found, place, block)
 
     return both.mapInArrow(read, schema)
 
 
+def _text_rows(buckets: int):
+    """Compressed texts of each bucket: one row for each bucket of some MB of texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in text_blocks(batches, 8 * BLOCK_BYTES):
+            order, found, cut = by_bucket(doc_bucket(texts.th, buckets))
+            sizes = np.diff(texts.starts)
+            packed = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                mine = order[i:j]
+                data = texts.data[ranges(texts.starts[mine], sizes[mine])]
+                packed.append(_squeezed(*[x.tobytes() for x in (np.int64(len(mine)), texts.did[mine], texts.th[mine], sizes[mine], data)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), pa.array(np.ones(len(found), np.int32)), pa.array(packed, pa.binary())], names=["bucket", "kind", "rows"])
+
+    return rows
+
+
+def _blocks_of(raw: bytes) -> Iterator[Texts]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    did, th, sizes = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    data = np.frombuffer(raw, np.uint8, -1, 8 + 24 * n)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_BYTES, side="right")) - 1)
+        yield Texts(did[i:j], th[i:j], data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+        i = j
+
+
 def _of_block(rows: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The rows (ordered by did and th) of the block's documents and each one's place in the block."""
     lo, hi = np.searchsorted(rows["did"], texts.did, "left"), np.searchsorted(rows["did"], texts.did, "right")

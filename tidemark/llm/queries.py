@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, quality, substring_dedup, token_counts, url_filters
+from tidemark.llm import jaccard_join, quality, substring_dedup, suffix_dedup, token_counts, url_filters
 from tidemark.llm.common import QueryFn, shared_folder, table, written
 
 
@@ -13,6 +13,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: estimated counts come in, exact counts revise them (that batch is
     delivered twice), and later copies of a text are deleted. Two tokenizer versions."""
@@ -60,6 +65,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op2_url_filters": op2_url_filters,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
