@@ -37,24 +37,32 @@ COUNTED = joined_dtype(ENTRY, np.dtype([("sets", "<i8")]))
 FLUSH = 1_000_000
 
 
-def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, ordered by text and hash, and where each text's start (one more at the end)."""
+def shingle_sequence(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in the order of the texts, and where each text's start (one more at the end)."""
     data = lowered(texts.data)
     starts, ends, first = words_of(Texts(texts.did, texts.th, data, texts.starts))
     words = span_hashes(data, starts, ends)
     count = np.diff(first)
-    grams = np.maximum(count - GRAM + 1, 0)
-    owner = np.repeat(np.arange(len(count)), grams)
-    at = ranges(first[:-1], grams)
-    hashes = window_hashes(words, GRAM)[at] if len(at) else np.zeros(0, U)
-    few = np.flatnonzero((count > 0) & (count < GRAM))
-    whole = np.array([window_hashes(words[first[i] : first[i + 1]], int(count[i]))[0] ^ U(count[i]) for i in few], U)
-    owner, hashes = np.concatenate([owner, few]), np.concatenate([hashes, whole])
+    grams = np.maximum(count - GRAM + 1, np.minimum(count, 1))
+    cut = np.concatenate([[0], np.cumsum(grams)])
+    out = np.zeros(cut[-1], U)
+    full = count >= GRAM
+    if full.any():
+        out[ranges(cut[:-1][full], grams[full])] = window_hashes(words, GRAM)[ranges(first[:-1][full], grams[full])]
+    for i in np.flatnonzero((count > 0) & ~full):
+        out[cut[i]] = window_hashes(words[first[i] : first[i + 1]], int(count[i]))[0] ^ U(count[i])
+    return out, cut
+
+
+def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, ordered by text and hash, and where each text's start (one more at the end)."""
+    hashes, cut = shingle_sequence(texts)
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.searchsorted(owner[new], np.arange(len(count) + 1))
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(cut)))
 
 
 def set_keys(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from tidemark.llm import decontaminate, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, url_filters
 from tidemark.llm.common import QueryFn, shared_folder, table, written
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item of which it has 3/4 or more."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,6 +62,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    """Piece ids of every text, and whether decoding returns the text (null: empty)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, model_path), model_path)
+    return decoded.select(
+        "doc_id", "piece_ids", sentencepiece_trie.piece_count().alias("n_pieces"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -64,11 +81,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
