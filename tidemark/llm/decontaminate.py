@@ -113,10 +113,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least_share: tuple[int, int]
     are sent to tasks at a time; a larger set of items is searched in several scans of docs.
     """
     spark = docs.sparkSession
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND text <> ''").distinct()
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text IS NOT NULL AND text <> ''").distinct()
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // (block_mb << 20) + 1
-    keyed = docs.select(*doc_key(), "text").where("text IS NOT NULL")
+    keyed = docs.select(*doc_key(), F.lower("text").alias("text")).where("text IS NOT NULL")
     out = None
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()

@@ -223,15 +223,15 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """For every row of docs (doc_id, text): doc_id, n_shingles and component_id.
+def grouped(docs: DataFrame) -> DataFrame:
+    """For every row of docs (doc_id, text): _did, _th (its key), n (size of its set) and first, the key of its group's first text.
 
     Words are what stands between ASCII white space, A-Z lower-cased. The set of a text is its
     distinct 5-word shingles; with 1 to 4 words, the whole sequence; a null text, or one without
-    words, has the empty set and is linked with nothing. component_id is the smallest doc_id that
-    links (similarity of at least 0.75) reach. Repeated rows have equal sets and so one component. A
-    null doc_id counts as the largest id, and is null again as a component_id. Other columns are
-    ignored. Sets are compared by 64-bit hashes of their shingles.
+    words, has the empty set and is linked with nothing. A group is what links (similarity of at least
+    0.75) reach; its first text is that with the smallest doc_id (a null one counts as the largest).
+    Repeated rows have equal sets and so one group. Other columns are ignored. Sets are compared by
+    64-bit hashes of their shingles.
     """
     keyed = docs.select("doc_id", *doc_key(), "text")
     sets = written(docs.select(*doc_key(), "text").mapInArrow(_set_table, "_did long, _th long, cls long, check long, n long"))
@@ -254,12 +254,31 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     more = _similar(written(across.join(star, ["a", "b"], "left_anti")), texts)
     all_links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more)
     found = connected_components(members.select(F.col("cls").alias("node")).distinct(), all_links)
-    of_class = classes.join(found, F.col("cls") == F.col("node"), "left").select(
-        "cls", "_did", F.coalesce("component", "cls").alias("component"))
-    of_class = written(of_class)
-    smallest = of_class.groupBy("component").agg(F.min("_did").alias("component_id"))
-    by_class = of_class.join(smallest, "component").groupBy("cls").agg(F.min("component_id").alias("component_id"))
-    out = sets.join(by_class, "cls", "left").select("_did", "_th", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_did")).alias("component_id"))
+    of_class = written(classes.join(found, F.col("cls") == F.col("node"), "left").select(
+        "cls", F.struct("_did", "_th").alias("rep"), F.coalesce("component", "cls").alias("component")))
+    smallest = of_class.groupBy("component").agg(F.min("rep").alias("first"))
+    by_class = of_class.join(smallest, "component").groupBy("cls").agg(F.min("first").alias("first"))
+    alone = F.struct("_did", "_th")
+    return sets.join(by_class, "cls", "left").select("_did", "_th", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(alone).alias("first"))
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """For every row of docs (doc_id, text): doc_id, n_shingles and component_id.
+
+    component_id is the smallest doc_id that links reach, itself included; see grouped. A null doc_id
+    counts as the largest id, and is null again as a component_id.
+    """
+    out = grouped(docs)
     null_id = F.lit(2**63 - 1)
     return out.select(
-        F.nullif("_did", null_id).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component_id", null_id).alias("component_id"))
+        F.nullif("_did", null_id).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first._did", null_id).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all columns, for each group of linked texts: the one with the smallest doc_id.
+
+    Repeated rows of one doc_id and text are one document. Texts without words are in no group and stay.
+    """
+    first = grouped(docs).where("_did = first._did AND _th = first._th").select("_did", "_th").distinct()
+    keyed = docs.select("*", *doc_key()).join(first, ["_did", "_th"], "left_semi")
+    return keyed.dropDuplicates(["_did", "_th"]).select(*[f"`{c}`" for c in docs.columns])

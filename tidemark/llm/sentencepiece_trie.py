@@ -6,7 +6,8 @@ keeps the forward scores of the prefix it shares with the word before, and only
 searched. Every word's pieces are looked up by the texts' word numbers, so a text costs no search.
 
 Pieces and scores come from a model file. The best segmentation has the greatest sum of scores;
-among equal ones the one whose last piece is longest. Characters that no piece covers become byte pieces;
+among equal ones the one whose last piece is longest,
+and so on to the front. Characters that no piece covers become byte pieces;
 so does the marker where a text has it itself. Decoding joins pieces, so it returns the text.
 """
 
@@ -22,19 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.packed import ranges
+
 MARK = "▁"
 #: What a byte piece costs on top of the least score of the vocabulary.
 BYTE_COST = 10.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+#: A task stops remembering words beyond so many; they are then searched again in each batch.
+KNOWN_WORDS = 300_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     ids: dict[str, int]
-    scores: dict[str, float]
+    #: (score, id) of every piece, and None for every other tail of a piece: if a word's tail is neither, longer ones are not.
+    tails: dict[str, tuple[float, int] | None]
     bytes_at: tuple[int, ...]
     byte_score: float
-    longest: int
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -52,65 +57,70 @@ def load_vocabulary(path: str) -> Vocabulary:
     if len(byte_ids) != 256:
         raise ValueError("the model has no byte pieces, so it cannot encode every text")
     least = min(scores.values(), default=0.0)
-    return Vocabulary(ids, scores, tuple(byte_ids[b] for b in range(256)), least - BYTE_COST, max(map(len, ids), default=1))
-
+    tails: dict[str, tuple[float, int] | None] = {piece[k:]: None for piece in ids for k in range(len(piece))}
+    tails.update({piece: (score, ids[piece]) for piece, score in scores.items()})
+    return Vocabulary(ids, tails, tuple(byte_ids[b] for b in range(256)), least - BYTE_COST)
 
-class TrieViterbi:
-    """Forward scores along the path of the current word; kept where the next word has the same prefix."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.word = ""
-        self.best = [0.0]
-        self.back = [0]
+def encode_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
+    """Piece ids of each word: a depth-first walk of the trie, as words come in order.
 
-    def encode(self, word: str) -> list[int]:
-        """Piece ids of a marked word; give words in order, for long shared prefixes."""
-        v, best, back = self.v, self.best, self.back
-        same, most = 0, min(len(word), len(self.word))
-        while same < most and word[same] == self.word[same]:
+    best[i] is the greatest score of the current word's first i characters, back[i] its last piece
+    (where it starts, its id). What the next word shares with this one stays.
+    """
+    tail_of, bytes_at, byte_score = vocabulary.tails.get, vocabulary.bytes_at, vocabulary.byte_score
+    best, back, last = [0.0], [(0, 0)], ""
+    for word in words:
+        same, most = 0, min(len(word), len(last))
+        while same < most and word[same] == last[same]:
             same += 1
         del best[same + 1 :], back[same + 1 :]
-        scores, longest = v.scores, v.longest
         for end in range(same + 1, len(word) + 1):
-            top, start = best[end - 1] + v.byte_score * len(word[end - 1].encode()), -1
-            for begin in range(max(0, end - longest), end):
-                score = scores.get(word[begin:end])
-                if score is not None and best[begin] + score > top:
-                    top, start = best[begin] + score, begin
+            begin = end - 1
+            c = word[begin]
+            top, piece = best[begin] + (byte_score if c < "\x80" else byte_score * len(c.encode())), (begin, -1)
+            while begin >= 0:
+                found = tail_of(word[begin:end], 0)
+                if found:
+                    score = best[begin] + found[0]
+                    if score >= top:
+                        top, piece = score, (begin, found[1])
+                elif found == 0:
+                    break
+                begin -= 1
             best.append(top)
-            back.append(start)
-        self.word = word
-        out, end = [], len(word)
+            back.append(piece)
+        last, out, end = word, [], len(word)
         while end:
-            start = back[end]
-            if start < 0:
-                out.extend(v.bytes_at[b] for b in reversed(word[end - 1].encode()))
-                end -= 1
+            start, piece_id = back[end]
+            if piece_id < 0:
+                out.extend(bytes_at[b] for b in reversed(word[start:end].encode()))
             else:
-                out.append(v.ids[word[start:end]])
-                end = start
+                out.append(piece_id)
+            end = start
         out.reverse()
-        return out
+        yield out
 
 
 def encode_words(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     """Ids of distinct words between spaces, each marked in front; a marker inside a word becomes bytes."""
-    out: list[list[int]] = [[]] * len(words)
-    trie = TrieViterbi(vocabulary)
-    inner = vocabulary.bytes_at[0xE2], vocabulary.bytes_at[0x96], vocabulary.bytes_at[0x81]
-    for i in sorted(range(len(words)), key=words.__getitem__):
-        parts = words[i].split(MARK)
-        ids = trie.encode(MARK + parts[0])
-        for part in parts[1:]:
-            ids = [*ids, *inner, *(TrieViterbi(vocabulary).encode(part) if part else ())]
-        out[i] = ids
+    parts = [w.split(MARK) if MARK in w else (w,) for w in words]
+    marked = sorted({MARK + p[0] for p in parts} | {x for p in parts for x in p[1:] if x})
+    ids = dict(zip(marked, encode_sorted(marked, vocabulary), strict=True))
+    inner = [vocabulary.bytes_at[b] for b in MARK.encode()]
+    out = []
+    for p in parts:
+        mine = ids[MARK + p[0]]
+        for x in p[1:]:
+            mine = [*mine, *inner, *(ids[x] if x else ())]
+        out.append(mine)
     return out
 
 
 def _encoded(path: str, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path)
+        known: dict[str, bytes] = {}  # words of earlier batches of the task
         for batch in batches:
             text = batch.column("text")
             size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -128,13 +138,18 @@ def _encoded(path: str, names: list[str]):
                 mine = part.column("text")
                 split = pc.split_pattern(pc.fill_null(mine, "").cast(pa.large_string()), " ")
                 coded = split.flatten().dictionary_encode()
-                ids = encode_words(coded.dictionary.to_pylist(), vocabulary)
-                lengths = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter((y for x in ids for y in x), np.int32, int(lengths.sum()))
+                words = coded.dictionary.to_pylist()
+                new = [w for w in words if w not in known]
+                coded_new = {w: np.array(ids, np.int32).tobytes() for w, ids in zip(new, encode_words(new, vocabulary), strict=True)}
+                ids = [known.get(w) or coded_new[w] for w in words]
+                if len(known) < KNOWN_WORDS:
+                    known.update(coded_new)
+                lengths = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.cumsum(lengths) - lengths
                 count = lengths[word]
-                at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[word], count)
+                at = ranges(first[word], count)
                 words_in = np.asarray(pc.list_value_length(split).to_numpy(zero_copy_only=False), np.int64)
                 total = np.concatenate([[0], np.cumsum(count)])
                 bounds = total[np.concatenate([[0], np.cumsum(words_in)])]
@@ -167,14 +182,26 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(model_path)
-        text_of = {i: piece.replace(MARK, " ").encode() for piece, i in vocabulary.ids.items()}
-        text_of |= {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
+        pieces = {i: piece.replace(MARK, " ").encode() for piece, i in vocabulary.ids.items()}
+        pieces |= {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
+        table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        data = np.frombuffer(b"".join(table), np.uint8)
+        size = np.array([len(x) for x in table], np.int64)
+        first = np.cumsum(size) - size
         for batch in batches:
-            texts = []
-            for ids in batch.column("piece_ids"):
-                values = ids.values.to_pylist() if ids.is_valid else []
-                texts.append(b"".join(map(text_of.__getitem__, values))[1:])  # without the leading marker
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = part.column("piece_ids")
+                count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                length = size[flat]
+                total = np.concatenate([[0], np.cumsum(length)])
+                text = data[ranges(first[flat], length)].tobytes()
+                edges = total[np.concatenate([[0], np.cumsum(count)])].tolist()
+                # without the leading marker
+                texts = [text[i + 1 : j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+                column = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, "decoded"])
 
     return encoded.mapInArrow(rows, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 

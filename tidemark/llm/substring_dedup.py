@@ -293,7 +293,7 @@ def _kept_texts(size: int):
 
 
 def dedup_substrings(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """For every row of docs (doc_id, text): doc_id, n_words, n_removed and kept_text.
+    """For every row of docs (doc_id, text): doc_id, _th (a hash of the text), n_words, n_removed and kept_text.
 
     Words are what stands between ASCII white space, unchanged. A window is size words of one text.
     Every word is removed that is in a window whose words also start earlier: in a smaller doc_id, or
@@ -312,4 +312,16 @@ def dedup_substrings(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     later = reduce_buckets(places, buckets, decoder(DOC, PLACE), _later_places(buckets), BUCKET_ROWS)
     schema = "_did long, _th long, n_words long, n_removed long, kept_text string"
     kept = with_texts(texts, later, buckets, decoder(DOC, REMOVED), _kept_texts(size), schema)
-    return kept.select(F.nullif("_did", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text")
+    return kept.select(F.nullif("_did", F.lit(NO_ID)).alias("doc_id"), "_th", "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs with all columns; where words were removed, text is what was kept and n_chars its length.
+
+    Texts that lose nothing stay as they are, to the byte. Texts that lose every word go.
+    """
+    changed = dedup_substrings(docs, size).where("n_removed > 0").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), "_th", "kept_text").dropDuplicates(["_did", "_th"])
+    joined = docs.select("*", *doc_key()).join(changed, ["_did", "_th"], "left").where("kept_text IS NULL OR kept_text <> ''")
+    new = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
