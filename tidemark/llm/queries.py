@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, url_filters
+from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, url_filters
 from tidemark.llm.common import QueryFn, shared_folder, table, written
 
 
@@ -26,6 +26,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: estimated counts come in, exact counts revise them (that batch is
     delivered twice), and later copies of a text are deleted. Two tokenizer versions."""
@@ -84,6 +88,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
