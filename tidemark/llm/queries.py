@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, url_filters
+from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 from tidemark.llm.common import QueryFn, shared_folder, table, written
 
 
@@ -30,6 +30,23 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: Categories in the order of the chain: abuse at all, abuse in texts of poor and of good quality.
+TOXIC = ("toxic", "toxic_junk", "toxic_prose")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFrame:
+    """Probabilities of the categories for every document; toxic: 1 if that of the first reaches the threshold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    categories = labels.select(
+        "doc_id", F.col("toxic"), (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"), (F.col("toxic") * F.col("quality")).alias("toxic_prose"))
+    chain = toxicity.fit_chain(docs, categories, TOXIC)
+    scored = toxicity.score_toxicity(docs, chain)
+    for c in TOXIC:
+        if f"p_{c}" not in scored.columns:
+            scored = scored.withColumn(f"p_{c}", F.lit(0.0))
+    return scored.select("doc_id", F.when(F.col("p_toxic") >= threshold, 1).otherwise(0).alias("toxic"), *[f"p_{c}" for c in TOXIC])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: estimated counts come in, exact counts revise them (that batch is
     delivered twice), and later copies of a text are deleted. Two tokenizer versions."""
@@ -89,6 +106,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_url_filters": op2_url_filters,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
