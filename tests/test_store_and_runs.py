@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark import spec
 from tidemark.operators import metrics, normalize, training_data
 from tidemark.operators.btc import BtcFeatures
-from tidemark.operators.model import ModelConfig, active_models, best_iteration, next_versions, risk_scores, train
+from tidemark.operators.model import (
+    ModelConfig, active_models, best_iteration, best_prefix, first_trees, next_versions, risk_scores, staged_auc, train,
+)
 from tidemark.plans import inference, reports, training
 from tidemark.sources import store
 from tidemark.streaming.daily import stream_daily_aggregates
@@ -54,11 +56,72 @@ def test_features_are_stored_by_day(spark, tmp_path):
     path = str(tmp_path / "features")
     schema = "chain string, date date, f double"
     store.write_features(spark.createDataFrame([("BTC", dt.date(2024, 1, 1), 1.0), ("BTC", dt.date(2024, 1, 2), 2.0)], schema), path)
-    store.upsert_features(spark, spark.createDataFrame([("BTC", dt.date(2024, 1, 2), NAN), ("ETH", dt.date(2024, 1, 2), 4.0)], schema), path)
+    again = [("BTC", dt.date(2024, 1, 2), NAN), ("ETH", dt.date(2024, 1, 2), 4.0), ("ETH", dt.date(2024, 1, 2), 4.0)]
+    store.write_features(spark.createDataFrame(again, schema), path)
     got = {(r.chain, r.date.day): (r.f, r.g) for r in store.load_features(spark, path, ["f", "g"]).collect()}
     assert got == {("BTC", 1): (1.0, None), ("BTC", 2): (None, None), ("ETH", 2): (4.0, None)}
 
 
+def test_a_day_written_again_keeps_the_month(spark, tmp_path):
+    path = str(tmp_path / "features")
+    schema = "chain string, date date, f double"
+    store.write_features(spark.createDataFrame([("BTC", dt.date(2024, 1, i), float(i)) for i in range(1, 21)], schema), path)
+    store.write_features(spark.createDataFrame([("BTC", dt.date(2024, 1, 20), -1.0)], schema), path)
+    got = {r.date.day: r.f for r in store.load_features(spark, path, ["f"]).collect()}
+    assert got == {i: float(i) if i < 20 else -1.0 for i in range(1, 21)}
+
+
+def test_retention_drops_stored_months(spark, tmp_path):
+    path = str(tmp_path / "features")
+    rows = [("BTC", dt.date(2024, m, d), 1.0) for m in (1, 2, 3) for d in (1, 20)]
+    store.write_features(spark.createDataFrame(rows, "chain string, date date, f double"), path)
+    assert store.drop_before(spark, path, dt.date(2024, 3, 10)) == ["chain=BTC/month=2024-01", "chain=BTC/month=2024-02"]
+    assert sorted(r.date for r in store.load_features(spark, path, ["f"]).collect()) == [dt.date(2024, 3, 1), dt.date(2024, 3, 20)]
+
+
+def test_invalid_rows_are_refused(spark, tmp_path):
+    root = str(tmp_path)
+    store.create_tables(spark, root)
+    metrics_rows = [("BTC", "1.0.0", 0.7, 0.5, None, T0), ("BTC", "1.0.1", 7.5, 0.5, None, T0), ("ETH", "1.0.0", NAN, None, None, T0),
+                    ("ETH", "1.0.1", None, -1.0, None, T0), ("ETH", "1.0.2", None, None, None, None)]
+    refused = store.write_rows(spark, root, "performance_summary", spark.createDataFrame(metrics_rows, store.PERFORMANCE))
+    assert {r.model_version for r in refused.collect()} == {"1.0.1", "1.0.0"} and refused.count() == 3
+    assert {(r.chain, r.model_version) for r in store.read_table(spark, root, "performance_summary").collect()} == {("BTC", "1.0.0"), ("ETH", "1.0.2")}
+    day = dt.date(2024, 1, 1)
+    signal_rows = [("BTC", day, 50.0, "Bull", "Neutral", 1.0, 2.0, 3.0, T0), ("BTC", day + dt.timedelta(1), 150.0, "Bull", "Neutral", 1.0, 2.0, 3.0, T0),
+                   ("DOGE", day, 50.0, "Bull", "Neutral", 1.0, 2.0, 3.0, T0), ("ETH", day, 50.0, "Odd", "Neutral", 1.0, 2.0, 3.0, T0),
+                   ("ETH", dt.date(2030, 1, 1), 50.0, "Bull", "Neutral", 1.0, 2.0, 3.0, T0)]
+    refused = store.write_rows(spark, root, "daily_signals", spark.createDataFrame(signal_rows, store.DAILY_SIGNALS), dt.date(2024, 2, 1))
+    assert refused.count() == 4 and store.read_table(spark, root, "daily_signals").count() == 1
+    alert_rows = [(1, "BTC", day, "stress_event", "m", T0), (2, "BTC", day, "noise", "m", T0), (3, "ETH", day, "stress_event", None, T0)]
+    refused = store.write_rows(spark, root, "alerts", spark.createDataFrame(alert_rows, store.ALERTS))
+    assert sorted(r.id for r in refused.collect()) == [2, 3] and store.read_table(spark, root, "alerts").count() == 1
+
+
+def test_metrics_refuse_bad_input(spark):
+    rows = [("ok", 1, 0.9), ("ok", 0, 0.1), ("nan", 1, NAN), ("nan", 0, 0.1), ("nan", 1, 0.7), ("range", 1, 1.5), ("range", 0, 0.2),
+            ("label", 2, 0.5), ("label", 0, 0.4), ("label", 1, 0.6), ("null", None, 0.4), ("null", 1, None)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    got = {r.g: r for r in metrics.evaluation_report(df, ["g"], with_reason=True).collect()}
+    assert got["ok"].auc == 1.0 and got["ok"].recall == 1.0 and got["ok"].reason is None
+    assert {g: r.reason for g, r in got.items() if g != "ok"} == {
+        "nan": "bad_score", "range": "score_out_of_range", "label": "non_binary_label", "null": "bad_label,bad_score"}
+    assert all(got[g].auc is None and got[g].recall is None and got[g].tp is None for g in ("nan", "range", "label", "null"))
+    counts = {r.g: (r.tp, r.fp) for r in metrics.confusion(df.where("g = 'nan'"), ["g"]).collect()}
+    assert counts == {"nan": (1, 0)}
+    assert {r.g: r.auc for r in metrics.roc_auc(df, ["g"]).collect()} == {"ok": 1.0, "nan": None, "range": None, "label": None, "null": None}
+
+
+def test_scaling_needs_parameters(spark):
+    df = spark.createDataFrame([("BTC", dt.date(2024, 1, 1), 3.0), ("ETH", dt.date(2024, 1, 1), 7e6)], "chain string, date date, a double")
+    params = spark.createDataFrame([("BTC", "a", 1.0, 2.0)], store.NORM_PARAMS)
+    assert {r.chain: r.a for r in normalize.transform(df, params, ["a"]).collect()} == {"BTC": 1.0, "ETH": None}
+    for names, chain in ((["b"], None), (["a"], "ETH")):
+        with pytest.raises(ValueError):
+            normalize.check_params(params, names, chain)
+    assert normalize.check_params(params, ["a"], "BTC") is params
+
+
 def test_scaling(spark, tmp_path):
     rows = [("BTC", dt.date(2024, 1, i), float(i), 5.0, INF) for i in range(1, 6)] + [("BTC", dt.date(2024, 1, 9), None, None, NAN)]
     df = spark.createDataFrame(rows, "chain string, date date, a double, b double, c double")
@@ -187,6 +250,34 @@ def test_training_and_inference(spark, tmp_path):
     assert scored.where("raw_score IS NULL OR NOT raw_score BETWEEN 0 AND 100").isEmpty()
 
 
+def plain_auc(rows):
+    ones, zeros = [p for y, p in rows if y == 1], [p for y, p in rows if y == 0]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros)
+
+
+def test_trees_stay_up_to_the_best_auc(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        x = [rnd.gauss(0, 1) for _ in range(3)]
+        rows.append((*x, int(x[0] + x[1] * x[2] + rnd.gauss(0, 0.3) > 0), "train" if i < 280 else "validation"))
+    data = spark.createDataFrame(rows, "a double, b double, c double, target int, split string")
+    whole = train(data, ["a", "b", "c"], ModelConfig(trees=8, max_depth=3, learning_rate=0.2, patience=None))
+    late = data.where("split = 'validation'")
+    aucs = [plain_auc([(r.target, r.raw_score) for r in risk_scores(first_trees(whole, k), late).collect()]) for k in range(1, 9)]
+    staged = staged_auc(whole, late, "target").orderBy("trees").collect()
+    assert [r.trees for r in staged] == list(range(1, 9))
+    assert [r.auc for r in staged] == pytest.approx(aucs)
+    kept = train(data, ["a", "b", "c"], ModelConfig(trees=8, max_depth=3, learning_rate=0.2))
+    assert best_iteration(kept) == aucs.index(max(aucs)) + 1 > 1
+
+
+@pytest.mark.parametrize("aucs, patience, want", [
+    ([0.5, 0.7, 0.6, 0.9], 50, 4), ([0.5, 0.7, 0.6, 0.65, 0.9], 2, 2), ([0.7, 0.7], 5, 1), ([None, None], 5, 0), ([None, 0.6], 5, 2), ([], 5, 0)])
+def test_best_prefix(aucs, patience, want):
+    assert best_prefix(aucs, patience) == want
+
+
 def test_stream_aggregates_equal_batch(spark, tmp_path):
     schema = "chain string, ts timestamp, is_whale boolean, value_usd double, from_address string"
     base = dt.datetime(2024, 1, 1)

@@ -90,12 +90,10 @@ def finite_vectors(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.where(reduce(Column.__and__, [finite_or_null(n).isNotNull() for n in names]))
 
 
-def signal_violations(signals: DataFrame, as_of: dt.date) -> DataFrame:
-    """Reasons a signal row must not be stored."""
-    found = [
-        F.when(~F.coalesce(known_chain("chain"), F.lit(False)), _violation("unknown_chain", "chain", "error")),
-        F.when(F.col("date") > F.lit(as_of), _violation("future_date", "date", "error")),
-    ]
+def _signal_rules(as_of: dt.date | None) -> list[Column]:
+    found = [F.when(~F.coalesce(known_chain("chain"), F.lit(False)), _violation("unknown_chain", "chain", "error"))]
+    if as_of is not None:
+        found.append(F.when(F.col("date") > F.lit(as_of), _violation("future_date", "date", "error")))
     for name in ("risk_score", "whale_index", "stress_index", "momentum_score"):
         value = finite_or_null(name)
         found.append(F.when(value.isNull(), _violation("not_finite", name, "error")))
@@ -103,47 +101,79 @@ def signal_violations(signals: DataFrame, as_of: dt.date) -> DataFrame:
     for name, allowed in (("regime", spec.REGIMES), ("risk_state", spec.RISK_STATES)):
         known = F.coalesce(F.col(name).isin(*allowed), F.lit(False))
         found.append(F.when(~known, _violation("unknown_value", name, "error")))
-    return _explode_violations(signals, found)
+    return found
+
+
+def signal_violations(signals: DataFrame, as_of: dt.date) -> DataFrame:
+    """Reasons a signal row must not be stored."""
+    return _explode_violations(signals, _signal_rules(as_of))
+
+
+def broken_rules(table: str, as_of: dt.date | None = None) -> Column:
+    """Whether a row of a stored table breaks a rule of its table."""
+    rules = {
+        "daily_signals": lambda: [F.when(~_sound_signal(as_of) | F.col("date").isNull(), F.lit("signal"))],
+        "performance_summary": lambda: [*_performance_rules(), *[F.when(F.col(n).isNull(), F.lit(n)) for n in ("chain", "model_version")]],
+        "alerts": _alert_rules,
+    }[table]()
+    return reduce(Column.__or__, [rule.isNotNull() for rule in rules])
 
 
 def valid_signals(signals: DataFrame, as_of: dt.date) -> DataFrame:
-    broken = signal_violations(signals, as_of).select(*KEY).distinct()
-    return signals.join(broken, [signals.chain.eqNullSafe(broken.chain), signals.date.eqNullSafe(broken.date)],
-                        "left_anti")
+    """Rows that keep every rule of ``signal_violations``."""
+    return signals.where(_sound_signal(as_of))
+
+
+def _sound_signal(as_of: dt.date | None) -> Column:
+    kept = [known_chain("chain"), *[F.col(n).between(0.0, 100.0) for n in ("risk_score", "whale_index", "stress_index", "momentum_score")]]
+    kept += [F.col("regime").isin(*spec.REGIMES), F.col("risk_state").isin(*spec.RISK_STATES)]
+    if as_of is not None:
+        kept.append(F.col("date").isNull() | (F.col("date") <= F.lit(as_of)))
+    return F.coalesce(reduce(Column.__and__, kept), F.lit(False))
+
+
+def _performance_rules() -> list[Column]:
+    return [F.when(F.isnan(n) | ~F.col(n).between(0.0, 1.0), F.lit(n)) for n in ("auc", "hitrate")]
 
 
 def performance_violations(perf: DataFrame) -> DataFrame:
     """Metric rows whose auc or hitrate is a number outside [0, 1]."""
-    bad = [
-        F.when(F.isnan(n) | ~F.col(n).between(0.0, 1.0), F.lit(n)) for n in ("auc", "hitrate")
-    ]
     return perf.select(
-        "chain", "model_version", F.explode(F.array_compact(F.array(*bad))).alias("column_name")
+        "chain", "model_version", F.explode(F.array_compact(F.array(*_performance_rules()))).alias("column_name")
     )
 
 
-def alert_violations(alerts: DataFrame) -> DataFrame:
-    """Alert rows that lack a field or hold a value outside its allowed set."""
+def _alert_rules() -> list[Column]:
     found = [
         F.when(F.col(n).isNull(), _violation("missing_value", n, "error"))
         for n in ("id", "chain", "date", "alert_type", "message", "created_at")
     ]
     found.append(F.when(~known_chain("chain"), _violation("unknown_value", "chain", "error")))
     found.append(F.when(~F.col("alert_type").isin(*spec.ALERT_TYPES), _violation("unknown_value", "alert_type", "error")))
-    return _explode_violations(alerts, found)
+    return found
+
+
+def alert_violations(alerts: DataFrame) -> DataFrame:
+    """Alert rows that lack a field or hold a value outside its allowed set."""
+    return _explode_violations(alerts, _alert_rules())
+
+
+def input_problems(label: str, score: str) -> dict[str, Column]:
+    """Aggregates: rows of a group that make a metric undefined, by what is wrong with them."""
+    y, p = finite_or_null(label), finite_or_null(score)
+    return {
+        "bad_label": F.count_if(y.isNull()),
+        "non_binary_label": F.count_if(~y.isin(0.0, 1.0)),
+        "bad_score": F.count_if(p.isNull()),
+        "score_out_of_range": F.count_if(~p.between(0.0, 1.0)),
+    }
 
 
 def metric_input_problems(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Counts of rows that make a metric undefined; all zero and n_rows > 0 means usable."""
-    y, p = finite_or_null(label), finite_or_null(score)
-    out = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(y.isNull()).alias("bad_label"),
-        F.count_if(~y.isin(0.0, 1.0)).alias("non_binary_label"),
-        F.count_if(p.isNull()).alias("bad_score"),
-        F.count_if(~p.between(0.0, 1.0)).alias("score_out_of_range"),
-    )
-    problems = sum((F.col(c) for c in ("bad_label", "non_binary_label", "bad_score", "score_out_of_range")), F.lit(0))
+    found = input_problems(label, score)
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[c.alias(n) for n, c in found.items()])
+    problems = sum((F.col(c) for c in found), F.lit(0))
     return out.withColumn("is_usable", (F.col("n_rows") > 0) & (problems == 0))
 
 

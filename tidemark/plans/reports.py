@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import spec
@@ -57,6 +57,18 @@ def signal_response(signals: DataFrame, alerts: DataFrame, as_of: dt.datetime) -
     return attach_alerts(signals.withColumns(known), alerts).withColumn("updated_at", updated).drop("created_at")
 
 
+def latest_response(signals: DataFrame, alerts: DataFrame, as_of: dt.datetime, chain: str) -> DataFrame:
+    """The newest signal of a chain in response form, with the alerts of its day."""
+    return signal_response(latest_signals(signals, chain), alerts, as_of)
+
+
+def history_response(signals: DataFrame, alerts: DataFrame, start: dt.date, end: dt.date, as_of: dt.datetime, chain: str) -> DataFrame:
+    """Signals of a chain and range in response form, oldest first, each with its alerts and ``n_signals``, the rows of the range."""
+    rows = signal_history(signals, start, end, as_of.date(), chain)
+    rows = rows.withColumn("n_signals", F.count(F.lit(1)).over(Window.partitionBy("chain")))
+    return signal_response(rows, alerts, as_of).orderBy("chain", "date")
+
+
 def _filtered(alerts: DataFrame, chain: str | None, alert_type: str | None) -> DataFrame:
     if chain is not None:
         alerts = alerts.where(F.col("chain") == check_chain(chain))
@@ -75,12 +87,12 @@ def alerts_for_date(alerts: DataFrame, date: dt.date, as_of: dt.datetime, chain:
 
 
 def recent_alerts(alerts: DataFrame, as_of: dt.datetime, days: int = spec.DEFAULT_ALERT_DAYS, chain: str | None = None,
-                  alert_type: str | None = None, limit: int | None = spec.DEFAULT_ALERT_ROWS) -> DataFrame:
-    """Alerts of the last calendar days, today included, newest first."""
+                  alert_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Alerts of the last calendar days, today included, newest first; all of them, or the first ``limit``."""
     if not 1 <= days <= spec.MAX_ALERT_HISTORY_DAYS:
         raise ValueError(f"days must be in 1..{spec.MAX_ALERT_HISTORY_DAYS}")
-    if limit is not None and not 1 <= limit <= spec.MAX_ALERT_ROWS:
-        raise ValueError(f"limit must be in 1..{spec.MAX_ALERT_ROWS}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     today = as_of.date()
     window = F.col("date").between(F.lit(today - dt.timedelta(days=days - 1)), F.lit(today))
     out = _filtered(alerts, chain, alert_type).where(window)

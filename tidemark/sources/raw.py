@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from tidemark import spec
 from tidemark.functions.values import check_chain, check_date
 from tidemark.operators.features import KEY
+from tidemark.sources.worklist import spine_between
 
 RAW_TABLES = ("blocks", "transactions")
 _SALTS = 1024
@@ -34,15 +35,19 @@ def scan_raw(
 ) -> DataFrame:
     """Raw rows of one chain with ``chain`` and ``date`` columns, pruned to [start, end].
 
-    Without a schema the columns of all files are united by name, which reads every footer;
-    give the schema for large trees. ``limit`` is for one day: any n rows, 0 the schema only;
+    Without a schema the columns of all files of the range are united by name, which reads their
+    footers; give the schema for large ranges. ``limit`` is for one day: any n rows, 0 the schema only;
     ``limit_per_day`` does the same for many days.
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     path = raw_path(root, chain, table)
-    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
-    df = reader.parquet(path).withColumn("date", F.col("date").cast("date"))
+    if schema is not None:
+        df = spark.read.schema(schema).parquet(path)
+    else:
+        days = _days_between(spark, path, start, end)
+        df = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*(days or [path]))
+    df = df.withColumn("date", F.col("date").cast("date"))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(check_date(start, "start")))
     if end is not None:
@@ -52,6 +57,17 @@ def scan_raw(
     return df.withColumn("chain", F.lit(check_chain(chain)))
 
 
+def _days_between(spark: SparkSession, path: str, start: dt.date | None, end: dt.date | None) -> list[str]:
+    """Folders of the days in the range, so that no other footer is opened."""
+    if start is None and end is None:
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName().removeprefix("date="), s.getPath().toString()) for s in fs.globStatus(folder(f"{path}/date=*")) or []]
+    low, high = str(start or "0000-00-00"), str(end or "9999-99-99")
+    return [where for day, where in sorted(found) if low <= day <= high]
+
+
 def limit_per_day(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
     """First n rows of each (chain, date); None keeps all, 0 keeps the schema only.
 
@@ -96,13 +112,22 @@ def has_data(blocks: DataFrame, chain: str, date: dt.date) -> bool:
     return not blocks.where(day).limit(1).isEmpty()
 
 
-def raw_readiness(spine: DataFrame, blocks: DataFrame, tx: DataFrame) -> DataFrame:
-    """Row counts of both raw tables per expected day; one missing table is still usable."""
+def raw_readiness(spine: DataFrame | None, blocks: DataFrame, tx: DataFrame) -> DataFrame:
+    """Row counts of both raw tables per expected day; one missing table is still usable.
+
+    Without a spine the days expected are those between a chain's first and last in either table.
+    """
 
     def counts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
 
-    out = spine.join(counts(blocks, "n_blocks"), KEY, "left").join(counts(tx, "n_tx"), KEY, "left")
+    if spine is None:
+        n_blocks = counts(blocks, "n_blocks").withColumn("n_tx", F.lit(0).cast("long"))
+        n_tx = counts(tx, "n_tx").withColumn("n_blocks", F.lit(0).cast("long"))
+        both = n_blocks.unionByName(n_tx).groupBy(*KEY).agg(F.sum("n_blocks").alias("n_blocks"), F.sum("n_tx").alias("n_tx"))
+        out = spine_between(both).join(both, KEY, "left")
+    else:
+        out = spine.join(counts(blocks, "n_blocks"), KEY, "left").join(counts(tx, "n_tx"), KEY, "left")
     out = out.fillna(0, ["n_blocks", "n_tx"])
     both = (F.col("n_blocks") == 0) & (F.col("n_tx") == 0)
     one = (F.col("n_blocks") == 0) | (F.col("n_tx") == 0)

@@ -17,6 +17,7 @@ from pyspark.sql.types import (
 )
 
 from tidemark.functions.values import number
+from tidemark.operators.quality import broken_rules
 
 
 def _schema(*fields: tuple) -> StructType:
@@ -146,15 +147,22 @@ def _write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> No
     )
 
 
-def write_rows(spark: SparkSession, root: str, table: str, new: DataFrame) -> None:
-    """Stores validated rows: upsert by key, except alerts, which are only added once.
+def accepted(table: str, new: DataFrame, as_of: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch that keep their table's rules, and the others."""
+    broken = F.coalesce(broken_rules(table, as_of), F.lit(True))
+    return new.where(~broken), new.where(broken)
 
-    Stored rows are read for the partitions of the new rows only (partition pruning at run time
+
+def write_rows(spark: SparkSession, root: str, table: str, new: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+    """Stores the valid rows: upsert by key, except alerts, which are only added once.
+
+    Returns the rows that were refused because they break a rule of the table (``quality``); with
+    ``as_of`` also signals of later days. Stored rows are read for the partitions of the new rows only (partition pruning at run time
     through the join), merged with them and written back.
     """
     partitions = _partitions(table)
     columns = [f.name for f in SCHEMAS[table].fields]
-    new = new.select(*columns)
+    new, refused = accepted(table, new.select(*columns), as_of)
     touched = new.withColumn("month", _month(table)).select(*partitions).distinct()
     existing = _read_with_month(spark, root, table).join(touched, partitions, "left_semi").select(*columns)
     merge = insert_new if table == "alerts" else upsert
@@ -162,20 +170,20 @@ def write_rows(spark: SparkSession, root: str, table: str, new: DataFrame) -> No
     if "month" in partitions:
         merged = merged.withColumn("month", _month(table))
     _write_partitions(merged, _path(root, table), partitions)
+    return refused
 
 
 def write_features(days: DataFrame, path: str) -> None:
-    """Daily aggregates by chain and month; a re-run replaces the months it covers.
+    """Stores days of features: replaces days stored before, keeps the others, starts the table if need be.
 
-    Give whole months, or rows already merged with the stored ones (``upsert``).
+    A day that a batch holds more than once is stored once (the row with the greatest values).
     """
-    _write_partitions(days.withColumn("month", F.date_format("date", "yyyy-MM")), path, ["chain", "month"])
-
-
-def upsert_features(spark: SparkSession, days: DataFrame, path: str) -> None:
-    """Stores days of features, replacing days stored before and keeping the others."""
-    keys = ["chain", "date"]
+    spark, keys = days.sparkSession, ["chain", "date"]
+    days = latest_per_key(days.withColumn("_same", F.lit(0)), keys, "_same").drop("_same")
     days = days.withColumn("month", F.date_format("date", "yyyy-MM"))
+    if not _exists(spark, path):
+        _write_partitions(days, path, ["chain", "month"])
+        return
     touched = days.select("chain", "month").distinct()
     fields = [f for f in days.schema.fields if f.name not in ("chain", "month")]
     schema = StructType([*fields, StructField("chain", StringType()), StructField("month", StringType())])
@@ -184,6 +192,27 @@ def upsert_features(spark: SparkSession, days: DataFrame, path: str) -> None:
     _write_partitions(kept.unionByName(days), path, ["chain", "month"])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def drop_before(spark: SparkSession, path: str, cutoff: dt.date) -> list[str]:
+    """Retention: drops the stored partitions of months that end before the cutoff; returns their names.
+
+    Months are dropped as a whole, so days of the cutoff's own month stay.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    dropped = []
+    for found in fs.globStatus(folder(f"{path.rstrip('/')}/chain=*/month=*")) or []:
+        month = found.getPath().getName().removeprefix("month=")
+        if month < cutoff.strftime("%Y-%m"):
+            fs.delete(found.getPath(), True)
+            dropped.append(f"{found.getPath().getParent().getName()}/month={month}")
+    return sorted(dropped)
+
+
 def load_features(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Stored daily aggregates; values that are no numbers read as missing."""
     df = spark.read.parquet(path)
@@ -196,10 +225,6 @@ def keep_since(df: DataFrame, cutoff: dt.date) -> DataFrame:
     return df.where(F.col("date") >= F.lit(cutoff))
 
 
-def dropped_before(df: DataFrame, cutoff: dt.date) -> DataFrame:
-    return df.where(F.col("date") < F.lit(cutoff))
-
-
 def last_rows(df: DataFrame, n: int) -> DataFrame:
     """Newest n days of each chain; a chain has one row per day, so the sort is by calendar."""
     if n < 1:
@@ -207,8 +232,3 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("date")))
     return df.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 
-
-def check_metric_row(auc: float | None, hitrate: float | None) -> None:
-    for name, value in (("auc", auc), ("hitrate", hitrate)):
-        if value is not None and not 0.0 <= value <= 1.0:
-            raise ValueError(f"{name} must be in [0, 1] or missing")

@@ -74,9 +74,7 @@ WHALE_SPIKE_POINTS = 20.0
 STRESS_LEVEL = 80.0
 MOMENTUM_DROP_POINTS = 25.0
 MAX_ALERT_HISTORY_DAYS = 90
-MAX_ALERT_ROWS = 1000
 DEFAULT_ALERT_DAYS = 7
-DEFAULT_ALERT_ROWS = 50
 READY_HOUR_UTC = 2
 
 # quality
