@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import finite_or_null
+
 
 def _names(keys: Sequence[str]) -> str:
     return "".join(f"`{k}`, " for k in keys)
@@ -76,19 +78,19 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: Column, out: str,
 
 _AUC = """
 WITH d4 AS (
-  SELECT {k} d1, d2, floor(r2 * 65536D) AS d3, r2 * 65536D - floor(r2 * 65536D) AS d4, pos, neg FROM (
-    SELECT {k} d1, floor(r1 * 65536D) AS d2, r1 * 65536D - floor(r1 * 65536D) AS r2, pos, neg FROM (
-      SELECT {k} floor(p * 65536D) AS d1, p * 65536D - floor(p * 65536D) AS r1, pos, neg FROM (
-        SELECT {k} p, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM {{rows}} GROUP BY {k} p)))
+  SELECT {k} d1, d2, floor(r2 * 65536D) AS d3, r2 * 65536D - floor(r2 * 65536D) AS d4, pos, neg, bad FROM (
+    SELECT {k} d1, floor(r1 * 65536D) AS d2, r1 * 65536D - floor(r1 * 65536D) AS r2, pos, neg, bad FROM (
+      SELECT {k} floor(p * 65536D) AS d1, p * 65536D - floor(p * 65536D) AS r1, pos, neg, bad FROM (
+        SELECT {k} p, count_if(y = 1) AS pos, count_if(y = 0) AS neg, count_if(bad) AS bad FROM {{rows}} GROUP BY {k} p)))
 ),
-d3 AS (SELECT {k} d1, d2, d3, sum(pos) AS pos, sum(neg) AS neg FROM d4 GROUP BY {k} d1, d2, d3),
-d2 AS (SELECT {k} d1, d2, sum(pos) AS pos, sum(neg) AS neg FROM d3 GROUP BY {k} d1, d2),
-d1 AS (SELECT {k} d1, sum(pos) AS pos, sum(neg) AS neg FROM d2 GROUP BY {k} d1),
+d3 AS (SELECT {k} d1, d2, d3, sum(pos) AS pos, sum(neg) AS neg, sum(bad) AS bad FROM d4 GROUP BY {k} d1, d2, d3),
+d2 AS (SELECT {k} d1, d2, sum(pos) AS pos, sum(neg) AS neg, sum(bad) AS bad FROM d3 GROUP BY {k} d1, d2),
+d1 AS (SELECT {k} d1, sum(pos) AS pos, sum(neg) AS neg, sum(bad) AS bad FROM d2 GROUP BY {k} d1),
 nodes AS (
-  SELECT {k} 4 AS depth, d1 AS p1, d2 AS p2, d3 AS p3, d4 AS digit, pos, neg FROM d4
-  UNION ALL SELECT {k} 3, d1, d2, NULL, CAST(d3 AS DOUBLE), pos, neg FROM d3
-  UNION ALL SELECT {k} 2, d1, NULL, NULL, CAST(d2 AS DOUBLE), pos, neg FROM d2
-  UNION ALL SELECT {k} 1, NULL, NULL, NULL, CAST(d1 AS DOUBLE), pos, neg FROM d1
+  SELECT {k} 4 AS depth, d1 AS p1, d2 AS p2, d3 AS p3, d4 AS digit, pos, neg, bad FROM d4
+  UNION ALL SELECT {k} 3, d1, d2, NULL, CAST(d3 AS DOUBLE), pos, neg, bad FROM d3
+  UNION ALL SELECT {k} 2, d1, NULL, NULL, CAST(d2 AS DOUBLE), pos, neg, bad FROM d2
+  UNION ALL SELECT {k} 1, NULL, NULL, NULL, CAST(d1 AS DOUBLE), pos, neg, bad FROM d1
 ),
 ranked AS (
   SELECT *, CAST(pos AS DECIMAL(19,0)) AS pos_d,
@@ -97,10 +99,11 @@ ranked AS (
     CAST(CASE WHEN depth = 4 THEN neg ELSE 0 END AS DECIMAL(19,0)) AS tied
   FROM nodes
 )
-SELECT {k} try_divide(pairs, 2D * p * q) AS `{out}`
+SELECT {k} CASE WHEN bad = 0 THEN try_divide(pairs, 2D * p * q) END AS `{out}`
 FROM (SELECT {k} CAST(sum(pos_d * (2 * lower + tied)) AS DOUBLE) AS pairs,
         CAST(sum(CASE WHEN depth = 1 THEN pos END) AS DOUBLE) AS p,
-        CAST(sum(CASE WHEN depth = 1 THEN neg END) AS DOUBLE) AS q
+        CAST(sum(CASE WHEN depth = 1 THEN neg END) AS DOUBLE) AS q,
+        sum(CASE WHEN depth = 1 THEN bad END) AS bad
       FROM ranked {group})"""
 
 
@@ -110,9 +113,12 @@ def rank_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: st
     The pairs (positive, lower negative) are counted digit by digit: scores in [0, 1] are read
     as base-65536 fractions, and two scores are compared at the first digit they differ in.
     Summed over all digits that gives the exact pair count from windows of at most 65,537
-    siblings (the last one holds what is left after 48 bits). Label and score must be non-null.
+    siblings (the last one holds what is left after 48 bits). A group that holds
+    a label other than 0 and 1, or a score that is no number in [0, 1], has no AUC: NULL.
     """
-    rows = df.select(*keys, F.col(label).alias("y"), F.col(score).cast("double").alias("p"))
+    y, p = finite_or_null(label), finite_or_null(score)
+    good = F.coalesce(y.isin(0.0, 1.0) & p.between(0.0, 1.0), F.lit(False))
+    rows = df.select(*keys, F.when(good, y).alias("y"), F.when(good, p).otherwise(0.0).alias("p"), (~good).alias("bad"))
     text = _AUC.format(k=_names(keys), out=out, group=f"GROUP BY {_same(keys)}" if keys else "")
     return df.sparkSession.sql(text, rows=rows)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.ranks import count_distinct_values, exact_quantile
-from tidemark.functions.values import missing, number
+from tidemark.functions.values import finite_or_null, missing, number
 from tidemark.operators.features import KEY, Aggregates, FeatureSet
 
 
@@ -121,7 +121,7 @@ def _medians(columns: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
     """Exact medians of columns of several tables in one walk down the buckets."""
     if not columns:
         return []
-    rows = [df.select(*KEY, F.lit(out).alias("_of"), number(name).alias("_x")) for df, name, out in columns]
+    rows = [df.select(*KEY, F.lit(out).alias("_of"), finite_or_null(name).alias("_x")) for df, name, out in columns]
     found = exact_quantile(reduce(DataFrame.unionByName, rows), [*KEY, "_of"], F.col("_x"), "_median")
     return [found.select(*KEY, *[F.when(F.col("_of") == out, F.col("_median")).alias(out) for _, _, out in columns])]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import spec
 from tidemark.functions.ranks import rank_auc
 from tidemark.functions.values import finite_or_null
+from tidemark.operators.quality import input_problems
 
 Y, P = "y", "p"
 
@@ -19,7 +21,8 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = Y, score: str
 
 
 def predicted_class(score: str = P, threshold: float = spec.CLASS_THRESHOLD) -> Column:
-    return (F.col(score) >= F.lit(threshold)).cast("int")
+    """1 or 0; NULL for a score that is missing or no finite number."""
+    return (finite_or_null(score) >= F.lit(threshold)).cast("int")
 
 
 def _counts(label: str, score: str, threshold: float) -> dict[str, Column]:
@@ -94,8 +97,12 @@ def return_ratios(df: DataFrame, keys: Sequence[str] = (), ret: str = "ret", bas
 
 
 def evaluation_report(df: DataFrame, keys: Sequence[str], label: str = Y, score: str = P,
-                      ret: str | None = None) -> DataFrame:
-    """All metrics per group: counts and ratios from one aggregation, AUC joined to it."""
+                      ret: str | None = None, with_reason: bool = False) -> DataFrame:
+    """All metrics per group: counts and ratios from one aggregation, AUC joined to it.
+
+    A group with a missing or non-finite label or score, a label other than 0 and 1 or a score
+    outside [0, 1] has NULL metrics; ``with_reason`` adds which of that it is (NULL when usable).
+    """
     keys = list(keys)
     counts = [c.alias(n) for n, c in _counts(label, score, spec.CLASS_THRESHOLD).items()]
     ratios = [sharpe_column(ret).alias("sharpe"), sortino_column(ret).alias("sortino")] if ret else []
@@ -103,5 +110,14 @@ def evaluation_report(df: DataFrame, keys: Sequence[str], label: str = Y, score:
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     else:
         by = keys
-    report = with_rates(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *counts, *ratios))
-    return report.join(rank_auc(df, by, label, score), by).drop("_all")
+    problems = [c.alias(f"_{n}") for n, c in input_problems(label, score).items()]
+    report = with_rates(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *counts, *ratios, *problems))
+    report = report.join(rank_auc(df, by, label, score), by)
+    names = list(input_problems(label, score))
+    usable = reduce(Column.__and__, [F.col(f"_{n}") == 0 for n in names])
+    measured = [c for c in report.columns if c not in [*by, "n_rows"] and not c.startswith("_")]
+    report = report.withColumns({c: F.when(usable, F.col(c)) for c in measured})
+    if with_reason:
+        found = F.concat_ws(",", *[F.when(F.col(f"_{n}") > 0, F.lit(n)) for n in names])
+        report = report.withColumn("reason", F.when(~usable, found))
+    return report.drop("_all", *[f"_{n}" for n in names])

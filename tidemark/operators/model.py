@@ -5,60 +5,133 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassifier
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import spec
+from tidemark.functions.ranks import rank_auc
 from tidemark.functions.values import check_chain, clamp, finite_or_null
 from tidemark.sources.store import latest_per_key
 
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Defaults of the classifier; ``max_depth`` -1 (no limit) becomes Spark's limit of 30."""
+    """Defaults of the classifier; ``max_depth`` -1 (no limit) becomes Spark's limit of 30.
+
+    ``patience``: trees without a better AUC on the validation rows after which the rest is cut; None keeps all.
+    """
 
     trees: int = 500
     max_depth: int = 6
     learning_rate: float = 0.05
     row_share: float = 0.8
     column_share: float = 0.8
-    early_stopping_tolerance: float | None = 0.01
+    patience: int | None = 50
     seed: int = 42
 
 
-def _classifier(config: ModelConfig, validation_col: str | None) -> GBTClassifier:
-    early = {}
-    if validation_col is not None and config.early_stopping_tolerance is not None:
-        early = {"validationIndicatorCol": validation_col, "validationTol": config.early_stopping_tolerance}
+def _classifier(config: ModelConfig) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=config.trees,
         maxDepth=30 if config.max_depth < 0 else config.max_depth, stepSize=config.learning_rate,
         subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share), seed=config.seed,
-        **early,
     )
 
 
 def train(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig(), split: str | None = "split",
           label: str = "target") -> PipelineModel:
-    """Fits on the train rows; with a split column the validation rows stop it early.
+    """Fits on the train rows; with a split column the validation rows decide how many trees stay.
 
     Features must be scaled and without missing values.
     """
     rows = df.withColumn("label", F.col(label).cast("double"))
-    validation = None
-    if split is not None:
-        validation = "_validation"
-        rows = rows.withColumn(validation, F.col(split) == "validation")
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
-    return Pipeline(stages=[assembler, _classifier(config, validation)]).fit(rows)
+    mine = rows if split is None else rows.where(F.col(split) != "validation")
+    model = Pipeline(stages=[assembler, _classifier(config)]).fit(mine)
+    if split is None or config.patience is None:
+        return model
+    aucs = staged_auc(model, rows.where(F.col(split) == "validation"), "label").orderBy("trees").collect()
+    keep = best_prefix([r["auc"] for r in aucs], config.patience)
+    return first_trees(model, keep) if keep else model
+
+
+def _tree_arrays(node, arrays: list[list]) -> int:
+    """Adds a tree's nodes to parallel lists (feature, limit, left, right, value); returns its place."""
+    feature, limit, left, right, value = arrays
+    place = len(feature)
+    for column, item in zip(arrays, (-1, 0.0, -1, -1, node.prediction())):
+        column.append(item)
+    if node.subtreeDepth() > 0:
+        split = node.split()
+        feature[place], limit[place] = split.featureIndex(), split.threshold()
+        left[place] = _tree_arrays(node.leftChild(), arrays)
+        right[place] = _tree_arrays(node.rightChild(), arrays)
+    return place
+
+
+def staged_auc(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
+    """(trees, auc) on the rows for every number of leading trees, from one plan."""
+    boosted = model.stages[-1]
+    weights = list(boosted.treeWeights)
+    trees = []
+    for tree in boosted._java_obj.trees():
+        arrays: list[list] = [[], [], [], [], []]
+        _tree_arrays(tree.rootNode(), arrays)
+        trees.append(tuple(arrays))
+
+    @F.pandas_udf("array<double>")
+    def margins(features: pd.Series) -> pd.Series:
+        x = np.array(features.tolist(), dtype=float).reshape(len(features), -1)
+        total, out = np.zeros(len(x)), []
+        for weight, arrays in zip(weights, trees):
+            feature, limit, left, right, value = (np.array(a) for a in arrays)
+            at = np.zeros(len(x), dtype=int)
+            while (feature[at] >= 0).any():
+                inner = feature[at] >= 0
+                go_left = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= limit[at]
+                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+            total = total + weight * value[at]
+            out.append(total)
+        return pd.Series(list(np.stack(out, axis=1)))
+
+    vectors = model.stages[0].transform(rows).select(label, vector_to_array("features").alias("_x"))
+    staged = vectors.select(label, F.posexplode(margins("_x")).alias("_k", "_m"))
+    staged = staged.select(label, (F.col("_k") + 1).alias("trees"), (1.0 / (1.0 + F.exp(-2.0 * F.col("_m")))).alias("_p"))
+    return rank_auc(staged, ["trees"], label, "_p")
+
+
+def best_prefix(aucs: Sequence[float | None], patience: int) -> int:
+    """Leading trees with the best AUC, looking no further than ``patience`` trees past the best so far; 0 if there is none."""
+    best = 0
+    for k, auc in enumerate(aucs, 1):
+        if auc is not None and (not best or auc > aucs[best - 1]):
+            best = k
+        elif k - best >= patience:
+            break
+    return best
+
+
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model with its first n trees only."""
+    boosted = model.stages[-1]
+    java = boosted._java_obj
+    gateway = SparkSession.getActiveSession().sparkContext._gateway
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], boosted.treeWeights)):
+        kept[i], weights[i] = tree, float(weight)
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights)
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(cut)])
 
 
 def best_iteration(model: PipelineModel) -> int:
-    """Number of trees the early stop left."""
+    """Number of trees that were kept."""
     return model.stages[-1].getNumTrees
 
 

@@ -61,13 +61,21 @@ def _scaled(name: str, degenerate_null: str) -> str:
     )
 
 
+def check_params(params: DataFrame, names: Sequence[str], chain: str | None = None) -> DataFrame:
+    """The parameters, or an error when they hold none of the names (for the chain)."""
+    mine = params.where(F.col("feature").isin(*names))
+    if mine.where(F.lit(True) if chain is None else F.col("chain") == chain).isEmpty():
+        raise ValueError("no scaling parameters for the features" + (f" of {chain}" if chain else ""))
+    return params
+
+
 def transform(df: DataFrame, params: DataFrame, names: Sequence[str]) -> DataFrame:
     """Scales the named columns that have parameters; every other column is left as it is.
 
-    A missing value stays missing; with a standard deviation of 0 every value becomes 0.
+    A chain without any parameters has no scaled values: NULL (see ``check_params``). A missing value stays missing; with a standard deviation of 0 every value becomes 0.
     """
     out = {
-        n: F.expr(f"CASE WHEN _params['{n}'] IS NULL THEN CAST(`{n}` AS DOUBLE) ELSE {_scaled(n, 'NULL')} END")
+        n: F.expr(f"CASE WHEN _params IS NULL THEN NULL WHEN _params['{n}'] IS NULL THEN CAST(`{n}` AS DOUBLE) ELSE {_scaled(n, 'NULL')} END")
         for n in names if n in df.columns
     }
     return _with_params(df, params).withColumns(out).drop("_params").select(*df.columns)

@@ -10,7 +10,6 @@ import datetime as dt
 from collections import deque
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +175,6 @@ def signal_step(
     )
 
 
-_FOLDED = "chain string, date date, risk_score double, regime string"
-
 Entry = tuple[dt.date, int, str, float]  # day, stored at (epoch seconds), regime, smoothed score
 _EPOCH = dt.date(1970, 1, 1)
 
@@ -205,17 +202,40 @@ def next_entry(past: deque[Entry], day: dt.date, raw: float, rules: SignalRules,
     return past[-1]
 
 
-def _fold(rules: SignalRules, created_after_hours: float | None):
-    """Series of one chain in date order."""
-    stored_after = int((created_after_hours or 0.0) * 3600)
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(days: Column, rules: SignalRules, stored_after: int) -> Column:
+    """Entries (day, ts, regime, score) of a series of (date, score) in date order, each from the look-back before it."""
+    entry = "array<struct<day:date,ts:bigint,regime:string,score:double>>"
+
+    def step(past: Column, x: Column) -> Column:
+        midnight = F.unix_date(x["date"]).cast("long") * 86400
+
+        def entry_of(score: Column, name: Column) -> Column:
+            return F.struct(x["date"].alias("day"), (midnight + stored_after).alias("ts"), name.alias("regime"), score.alias("score"))
+
+        def following(last: Column) -> Column:
+            def named(score: Column) -> Column:
+                held = F.abs(score - last["score"]) < F.lit(rules.hysteresis_points)
+                other = F.filter(past, lambda h: h["regime"] != last["regime"])
+                changed = F.when(F.size(other) > 0, F.element_at(other, -1)["ts"]).otherwise(F.element_at(past, 1)["ts"])
+                too_soon = (midnight - changed) / F.lit(3600.0) < F.lit(rules.change_hours)
+                return entry_of(score, F.when(held | too_soon, last["regime"]).otherwise(regime(score)))
+
+            return _let(clamp_0_100(F.lit(rules.alpha) * x["score"] + F.lit(1.0 - rules.alpha) * last["score"]), named)
+
+        return F.when(F.size(past) == 0, entry_of(x["score"], regime(x["score"]))).otherwise(_let(F.element_at(past, -1), following))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        past: deque[Entry] = deque()
-        days = [next_entry(past, day, raw, rules, stored_after) for day, raw in zip(pdf["date"], pdf["score"])]
-        return pdf[["chain", "date"]].assign(risk_score=[e[3] for e in days], regime=[e[2] for e in days])
+    def merge(acc: Column, x: Column) -> Column:
+        # entries are in date order: those of the look-back are at the end
+        recent = F.slice(acc, F.greatest(F.lit(1), F.size(acc) - F.lit(rules.history_days)), F.lit(rules.history_days + 1))
+        past = F.filter(recent, lambda h: F.datediff(x["date"], h["day"]) <= F.lit(rules.history_days))
+        return F.concat(acc, F.array(_let(past, lambda p: step(p, x))))
 
-    return fold
+    return F.aggregate(days, F.array().cast(entry), merge)
 
 
 def backfill_scores(
@@ -225,11 +245,14 @@ def backfill_scores(
     """Smoothed score and regime of whole series, exactly as day after day of ``signal_step``.
 
     ``created_after_hours`` is the time from a signal's midnight to its storing, None when only
-    dates are known. The state of a day depends on the day before, so a chain is one task; it
-    holds one row per calendar day.
+    dates are known. The state of a day depends on the day before, so a chain is one array of its
+    calendar days, folded by ``aggregate``.
     """
     rows = scores.select("chain", "date", score_or_neutral(score).alias("score"))
-    return rows.groupBy("chain").applyInPandas(_fold(rules, created_after_hours), _FOLDED)
+    series = rows.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("date", "score"))).alias("days"))
+    entries = _folded(F.col("days"), rules, int((created_after_hours or 0.0) * 3600))
+    return series.select("chain", F.explode(entries).alias("e")).select(
+        "chain", F.col("e.day").alias("date"), F.col("e.score").alias("risk_score"), F.col("e.regime").alias("regime"))
 
 
 def backfill(
