@@ -19,7 +19,7 @@ HEADLINE = (
     "raw_readiness", "placeholder_days", "tx_scan_limited", "btc_features", "btc_min_features", "eth_features",
     "features_all_chains", "norm_params", "zscore", "clean_training_rows", "drawdown_label", "netflow_7d", "auc",
     "evaluation_report", "sharpe_improvement", "signal_step", "signals_backfill", "alerts", "violations_daily",
-    "upsert_signals", "signals_with_alerts", "recent_alerts", "chain_status",
+    "upsert_signals", "signals_with_alerts", "recent_alerts", "chain_status", "train_score",
 )
 
 

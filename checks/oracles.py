@@ -291,7 +291,7 @@ FROM eth_tx GROUP BY chain, date""")
 oracle("eth_features", f"SELECT chain, date, {Rs(ETH, 2)} FROM eth_day")
 oracle("features_all_chains", f"SELECT chain, date, {Rs(ALL, 2)} FROM all_day")
 _valid = f"SELECT chain, date, {Rs([*ALL, 'close'], 2)}, TRUE AS is_valid FROM checked_day WHERE invalid_reason IS NULL AND "
-oracle("features_date_range", _valid + "date BETWEEN DATE '1996-01-01' AND DATE '2024-01-15'")
+oracle("features_date_range", _valid + "date BETWEEN DATE '1996-01-01' AND DATE '2024-01-07'")
 oracle("features_of_day", _valid + "date = DATE '1997-06-02'")
 
 # ------------------------------------------------------------------ normalisation, training data
@@ -299,6 +299,12 @@ oracle("features_of_day", _valid + "date = DATE '1997-06-02'")
 oracle("norm_params", f"SELECT chain, feature, {Rs(['mean', 'std'], 3)} FROM fitted")
 oracle("params_cleaned", f"SELECT chain, feature, {Rs(['mean', 'std'], 3)} FROM fitted WHERE feature <> 'fee_pressure'")
 oracle("zscore", f"SELECT chain, date, {Rs(ALL)} FROM scaled")
+oracle("zscore_one_chain", "SELECT d.chain, d.date, " + ", ".join(
+    R(f"CASE WHEN d.chain = 'BTC' THEN s.{n} END", n) for n in ALL) + " FROM all_day d JOIN scaled s ON s.chain = d.chain AND s.date = d.date")
+oracle("bad_params", "SELECT chain, feature FROM fitted WHERE feature = 'fee_pressure' OR std = 0")
+oracle("finite_vectors", f"""
+SELECT chain, date FROM all_day WHERE CASE chain WHEN 'BTC' THEN {" AND ".join(f"{n} IS NOT NULL" for n in BTC)}
+  ELSE {" AND ".join(f"{n} IS NOT NULL" for n in ETH)} END""")
 _zi = ", ".join(
     R(f"CASE WHEN s_{n} = 0 THEN 0.0E0 WHEN s_{n} IS NOT NULL THEN CAST(CAST(({n} - m_{n}) / s_{n} AS FLOAT) AS DOUBLE) END", n, 4)
     for n in ALL
@@ -322,17 +328,26 @@ oracle("train_val_split", f"""
 SELECT d.chain, d.date, CASE WHEN d.date <= DATE '1999-12-31' THEN 'train' ELSE 'validation' END AS split, l.target,
   {R("d.whale_flow_1d", "whale_flow_1d", 4)}
 FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
-WHERE l.target IS NOT NULL AND d.date BETWEEN DATE '1995-01-01' AND DATE '2001-06-30'""")
+WHERE l.target IS NOT NULL AND d.chain = 'BTC' AND d.date BETWEEN DATE '1995-01-01' AND DATE '2001-06-30'
+UNION ALL
+SELECT d.chain, d.date, CASE WHEN d.date <= DATE '2024-01-06' THEN 'train' ELSE 'validation' END, l.target, {R("d.whale_flow_1d", "whale_flow_1d", 4)}
+FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
+WHERE l.target IS NOT NULL AND d.chain = 'ETH' AND d.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'""")
 oracle("drawdown_label", f"SELECT chain, date, {R('close', 'close', 4)}, target FROM labelled")
 oracle("daily_returns", f"SELECT chain, date, {R('ret', 'ret')} FROM returned")
 oracle("netflow_7d", f"""
 SELECT chain, date, {R("SUM(exchange_netflow_7d) OVER (PARTITION BY chain ORDER BY date "
                        "RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)", "netflow_7d", 3)} FROM btc_day""")
 oracle("training_input_check", f"""
-SELECT CASE WHEN d.date <= DATE '1999-12-31' THEN 'train' ELSE 'validation' END AS split, COUNT(*) AS n_rows,
+SELECT d.chain, CASE WHEN d.date <= DATE '1999-12-31' THEN 'train' ELSE 'validation' END AS split, COUNT(*) AS n_rows,
   COUNT(*) FILTER ({" AND ".join(f"d.{n} IS NOT NULL" for n in BTC)}) AS n_complete, 7::INTEGER AS n_features
 FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
-WHERE l.target IS NOT NULL AND d.chain = 'BTC' AND d.date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY 1""")
+WHERE l.target IS NOT NULL AND d.chain = 'BTC' AND d.date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY ALL
+UNION ALL
+SELECT d.chain, CASE WHEN d.date <= DATE '2024-01-06' THEN 'train' ELSE 'validation' END AS split, COUNT(*) AS n_rows,
+  COUNT(*) FILTER ({" AND ".join(f"d.{n} IS NOT NULL" for n in ETH)}) AS n_complete, 6::INTEGER AS n_features
+FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
+WHERE l.target IS NOT NULL AND d.chain = 'ETH' AND d.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL""")
 
 # ------------------------------------------------------------------ metrics
 
@@ -364,6 +379,12 @@ SELECT chain, {R(sharpe("ret"), "sharpe", 5)}, {R(SORTINO, "sortino", 5)}, {R(sh
 oracle("evaluation_report", f"""
 SELECT r.chain, r.model_version, n_rows, tn, fp, fn, tp, {R('"precision"', '"precision"')}, {Rs(["recall", "f1", "hitrate"])},
   {R("a.auc", "auc")} FROM rates r JOIN auc_by_model a ON a.chain = r.chain AND a.model_version = r.model_version""")
+_BAD = "split_part(r.model_version, '.', 3)::INTEGER IN (2, 4)"
+oracle("evaluation_report_checked", f"""
+SELECT r.chain, r.model_version, n_rows, {", ".join(f"CASE WHEN NOT {_BAD} THEN {n} END AS {n}" for n in ("tn", "fp", "fn", "tp"))},
+  {", ".join(R(f"CASE WHEN NOT {_BAD} THEN {n} END", n) for n in ('"precision"', "recall", "f1", "hitrate", "auc"))},
+  CASE split_part(r.model_version, '.', 3) WHEN '2' THEN 'bad_score' WHEN '4' THEN 'non_binary_label,score_out_of_range' END AS reason
+FROM rates r JOIN auc_by_model a ON a.chain = r.chain AND a.model_version = r.model_version""")
 oracle("metric_input_check", """
 SELECT chain, model_version, COUNT(*) AS n_rows, 0::BIGINT AS bad_label, 0::BIGINT AS non_binary_label, 0::BIGINT AS bad_score,
   COUNT(*) FILTER (p > 1) AS score_out_of_range, COUNT(*) FILTER (p > 1) = 0 AS is_usable
@@ -558,6 +579,11 @@ oracle("latest_all", f"""
 SELECT {_sig_s}, s.created_at, {_nested} FROM newest s LEFT JOIN alert_list a ON a.chain = s.chain AND a.date = s.date""")
 oracle("signal_history", f"""
 SELECT {_sig_out} FROM stored_signal WHERE chain = 'BTC' AND date BETWEEN DATE '1997-03-01' AND DATE '1999-03-01'""")
+_response = f"""
+SELECT {_sig_s}, s.created_at AS updated_at, {_nested} FROM {{rows}} s LEFT JOIN alert_list a ON a.chain = s.chain AND a.date = s.date"""
+oracle("latest_signal_with_alerts", _response.format(rows="newest") + " WHERE s.chain = 'ETH'")
+_range = "(SELECT * FROM stored_signal WHERE chain = 'BTC' AND date BETWEEN DATE '1997-03-01' AND DATE '1999-03-01')"
+oracle("signal_history_with_alerts", f"SELECT *, COUNT(*) OVER () AS n_signals FROM ({_response.format(rows=_range)})")
 oracle("last_n_signals", f"""
 SELECT {_sig_out} FROM stored_signal QUALIFY ROW_NUMBER() OVER (PARTITION BY chain ORDER BY date DESC) <= 30""")
 oracle("signals_with_alerts", f"""
@@ -573,6 +599,9 @@ oracle("alerts_today", f"SELECT {_alert_out} FROM stored_alert WHERE date = DATE
 oracle("recent_alerts", f"""
 SELECT {_alert_out} FROM stored_alert WHERE chain = 'ETH' AND date BETWEEN DATE '2024-01-02' AND DATE '2024-01-31'
 ORDER BY date DESC, created_at DESC, chain, alert_type LIMIT 20""")
+oracle("recent_alerts_cut", f"""
+SELECT {_alert_out} FROM stored_alert WHERE date BETWEEN DATE '2024-01-02' AND DATE '2024-01-31'
+ORDER BY date DESC, created_at DESC, chain, alert_type LIMIT 5""")
 oracle("alert_readiness", """
 SELECT DISTINCT date, CASE WHEN date > DATE '2024-01-29' THEN 'future'
   WHEN date = DATE '2024-01-29' AND date NOT IN (SELECT date FROM stored_alert) THEN 'not_processed' ELSE 'ready' END AS readiness
@@ -602,3 +631,7 @@ FROM newest n JOIN best_known b ON b.chain = n.chain""")
 oracle("chain_list", f"SELECT n.chain, n.date AS latest_signal_date, {status(age(1706659200))} AS status FROM newest n")
 oracle("freshness", f"""
 SELECT {age(1706670000)} AS latest_signal_age_hours, {status(age(1706670000))} AS status FROM newest n WHERE chain = 'ETH'""")
+oracle("train_score", """
+SELECT d.chain, d.date, l.target::INTEGER AS y, TRUE AS score_ok FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
+WHERE l.target IS NOT NULL AND (d.chain = 'BTC' AND d.date BETWEEN DATE '2000-01-01' AND DATE '2001-12-31'
+  OR d.chain = 'ETH' AND d.date BETWEEN DATE '2024-01-07' AND DATE '2024-01-31')""")
