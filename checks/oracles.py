@@ -379,12 +379,17 @@ SELECT chain, {R(sharpe("ret"), "sharpe", 5)}, {R(SORTINO, "sortino", 5)}, {R(sh
 oracle("evaluation_report", f"""
 SELECT r.chain, r.model_version, n_rows, tn, fp, fn, tp, {R('"precision"', '"precision"')}, {Rs(["recall", "f1", "hitrate"])},
   {R("a.auc", "auc")} FROM rates r JOIN auc_by_model a ON a.chain = r.chain AND a.model_version = r.model_version""")
-_BAD = "split_part(r.model_version, '.', 3)::INTEGER IN (2, 4)"
+_patch = "split_part(model_version, '.', 3)"
+_cell = "CASE WHEN reason IS NULL THEN {n} END"
 oracle("evaluation_report_checked", f"""
-SELECT r.chain, r.model_version, n_rows, {", ".join(f"CASE WHEN NOT {_BAD} THEN {n} END AS {n}" for n in ("tn", "fp", "fn", "tp"))},
-  {", ".join(R(f"CASE WHEN NOT {_BAD} THEN {n} END", n) for n in ('"precision"', "recall", "f1", "hitrate", "auc"))},
-  CASE split_part(r.model_version, '.', 3) WHEN '2' THEN 'bad_score' WHEN '4' THEN 'non_binary_label,score_out_of_range' END AS reason
-FROM rates r JOIN auc_by_model a ON a.chain = r.chain AND a.model_version = r.model_version""")
+SELECT r.chain, r.model_version, n_rows, {", ".join(f"{_cell.format(n=n)} AS {n}" for n in ("tn", "fp", "fn", "tp"))},
+  {", ".join(R(_cell.format(n=n), n) for n in ('"precision"', "recall", "f1", "hitrate", "auc"))}, reason
+FROM rates r JOIN auc_by_model a ON a.chain = r.chain AND a.model_version = r.model_version
+JOIN (SELECT chain, model_version, NULLIF(concat_ws(',',
+          CASE WHEN bool_or({_patch} = '4' AND id % 7 = 1) THEN 'non_binary_label' END,
+          CASE WHEN bool_or({_patch} = '2' AND id % 7 = 0) THEN 'bad_score' END,
+          CASE WHEN bool_or({_patch} = '4' AND id % 3 = 0 AND p > 0) THEN 'score_out_of_range' END), '') AS reason
+      FROM predictions GROUP BY chain, model_version) c ON c.chain = r.chain AND c.model_version = r.model_version""")
 oracle("metric_input_check", """
 SELECT chain, model_version, COUNT(*) AS n_rows, 0::BIGINT AS bad_label, 0::BIGINT AS non_binary_label, 0::BIGINT AS bad_score,
   COUNT(*) FILTER (p > 1) AS score_out_of_range, COUNT(*) FILTER (p > 1) = 0 AS is_usable
