@@ -164,9 +164,22 @@ def joined_dtype(slot: np.dtype, entry: np.dtype) -> np.dtype:
     return np.dtype([(n, d.fields[n][0]) for d in (slot, entry) for n in d.names])
 
 
-def _squeezed(*parts: bytes) -> bytes:
+def _squeezed(*parts: bytes, level: int = 1) -> bytes:
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
+
+
+def _planes(name: str, values: np.ndarray) -> bytes:
+    """A column byte by byte, places (at) as differences: what is small or alike compresses well."""
+    if name == "at":
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(name: str, dtype: np.dtype, raw: bytes, n: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+    values = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(values, dtype=dtype) if name == "at" else values
 
 
 def _unsqueezed(rows: bytes) -> bytes:
@@ -184,7 +197,7 @@ def encode(bucket: np.ndarray, entries: np.ndarray, slots: np.ndarray, slot: np.
         table, part = slots[used], entries[i:j]
         rows.append(_squeezed(
             np.array([len(used), j - i], "<i8").tobytes(), *[table[n].tobytes() for n in slots.dtype.names],
-            counts.astype("<u4").tobytes(), *[part[n].tobytes() for n in entries.dtype.names]))
+            counts.astype("<u4").tobytes(), *[_planes(n, part[n]) for n in entries.dtype.names]))
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
 
@@ -204,7 +217,7 @@ def decoder(slot: np.dtype, entry: np.dtype) -> Callable[[bytes | None], np.ndar
         counts = np.frombuffer(raw, "<u4", n_slots, at)
         at += counts.nbytes
         for name in entry.names:
-            out[name] = np.frombuffer(raw, entry[name], n, at)
+            out[name] = _from_planes(name, entry[name], raw, n, at)
             at += n * entry[name].itemsize
         for name in slot.names:
             out[name] = np.repeat(table[name], counts)
@@ -232,7 +245,7 @@ def doc_bucket(th: np.ndarray, buckets: int) -> np.ndarray:
 
 def with_texts(
     docs: DataFrame, packed: DataFrame, buckets: int, decode: Callable[[bytes], np.ndarray],
-    fn: Callable[[np.ndarray, np.ndarray, Texts], Iterator[pa.RecordBatch]], schema: str,
+    fn: Callable[[np.ndarray, np.ndarray, Texts], Iterator[pa.RecordBatch]], schema: str, block_bytes: int = 2 * BLOCK_BYTES,
 ) -> DataFrame:
     """Brings packed rows to the texts of their documents.
 
@@ -244,10 +257,18 @@ def with_texts(
     both = texts.unionByName(replies).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows = None, [], None
+        now, held, rows, blocks = None, [], None, []
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            block = _joined(blocks)
+            blocks.clear()
+            yield from fn(*_of_block(rows, block), block)
+
         for batch in batches:
             for bucket, kind, row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "rows")), strict=True):
                 if bucket != now:
+                    if blocks:
+                        yield from judged()
                     now, held, rows = bucket, [], None
                 if kind == 0:
                     held.append(decode(row))
@@ -256,8 +277,11 @@ def with_texts(
                     rows = np.concatenate(held) if held else decode(None)
                     rows, held = rows[np.lexsort((rows["th"], rows["did"]))], []
                 for block in _blocks_of(_unsqueezed(row)):
-                    found, place = _of_block(rows, block)
-                    yield from fn(found, place, block)
+                    blocks.append(block)
+                    if sum(len(b.data) for b in blocks) >= block_bytes:
+                        yield from judged()
+        if blocks:
+            yield from judged()
 
     return both.mapInArrow(read, schema)
 
@@ -273,7 +297,7 @@ def _text_rows(buckets: int):
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 mine = order[i:j]
                 data = texts.data[ranges(texts.starts[mine], sizes[mine])]
-                packed.append(_squeezed(*[x.tobytes() for x in (np.int64(len(mine)), texts.did[mine], texts.th[mine], sizes[mine], data)]))
+                packed.append(_squeezed(*[x.tobytes() for x in (np.int64(len(mine)), texts.did[mine], texts.th[mine], sizes[mine], data)], level=3))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.astype(np.int32)), pa.array(np.ones(len(found), np.int32)), pa.array(packed, pa.binary())], names=["bucket", "kind", "rows"])
 
@@ -292,6 +316,12 @@ def _blocks_of(raw: bytes) -> Iterator[Texts]:
         i = j
 
 
+def _joined(blocks: list[Texts]) -> Texts:
+    did, th, data = (np.concatenate([getattr(b, n) for b in blocks]) for n in ("did", "th", "data"))
+    sizes = np.concatenate([np.diff(b.starts) for b in blocks])
+    return Texts(did, th, data, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]))
+
+
 def _of_block(rows: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The rows (ordered by did and th) of the block's documents and each one's place in the block."""
     lo, hi = np.searchsorted(rows["did"], texts.did, "left"), np.searchsorted(rows["did"], texts.did, "right")

@@ -34,7 +34,7 @@ GRAM = 8
 AROUND = 29  # bytes of the surroundings, the trigger's own 8 included
 BLOCK = 1 << 20
 #: Windows at .. at+more have the trigger at at+off. asks: 0 known to be in two documents, 1 to be settled, 2 a witness only.
-PHRASE = np.dtype([("key", "<u8"), ("at", "<u4"), ("more", "u1"), ("off", "u1"), ("asks", "u1")])
+PHRASE = np.dtype([("low", "<u4"), ("high", "u1"), ("at", "<u4"), ("more", "u1"), ("off", "u1"), ("asks", "u1")])
 SHARED = np.dtype([("at", "<u4"), ("more", "u1"), ("off", "u1")])
 COVERED = np.dtype([("at", "<u4"), ("more", "u1")])
 #: A phrase as it stands in a document; its bytes follow the entries, in their order.
@@ -79,10 +79,10 @@ def phrases_of(texts: Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray,
 
 
 def surroundings(data: np.ndarray, at: np.ndarray, trigger: np.ndarray) -> np.ndarray:
-    """48-bit keys of the 29 bytes before or after the trigger that windows of this phrase share."""
+    """40-bit keys of the 29 bytes before or after the trigger that windows of this phrase share."""
     before = (trigger - at) >= AROUND - GRAM
     lo = np.where(before, trigger - (AROUND - GRAM), trigger)
-    return (span_hashes(data, lo, lo + AROUND) ^ before.astype(U)) >> U(16)
+    return (span_hashes(data, lo, lo + AROUND) ^ before.astype(U)) >> U(24)
 
 
 def _docs(texts: Texts) -> np.ndarray:
@@ -115,10 +115,11 @@ def _phrase_rows(buckets: int, size: int):
             asks = np.concatenate([np.where(known, 0, 1), np.full(len(witness), 2)])
             pick = np.concatenate([np.arange(len(key)), witness])
             entries = np.empty(len(pick), PHRASE)
-            entries["key"], entries["at"], entries["more"], entries["asks"] = key[pick], (at - texts.starts[doc])[pick], more[pick], asks
+            told = np.where(asks == 0, U(0), key[pick])
+            entries["low"], entries["high"] = told & U(0xFFFFFFFF), told >> U(32)
+            entries["at"], entries["more"], entries["asks"] = (at - texts.starts[doc])[pick], more[pick], asks
             entries["off"] = (trigger - at)[pick]
             docs = _docs(texts)
-            entries["key"][asks == 0] = 0
             bucket = np.where(asks == 0, docs["th"][doc[pick]].view(U) % U(buckets), mix(key[pick]) % U(buckets)).astype(np.int64)
             yield encode(bucket, entries, docs, doc[pick])
 
@@ -130,8 +131,9 @@ def _shared_phrases(buckets: int):
         known = rows[rows["asks"] == 0]
         rows = rows[rows["asks"] > 0]
         # a witness stands for two documents
-        two, _ = _two_docs(rows["key"], rows["did"])
-        seen = np.isin(rows["key"], rows["key"][rows["asks"] == 2])
+        key = rows["low"].astype(U) | rows["high"].astype(U) << U(32)
+        two, _ = _two_docs(key, rows["did"])
+        seen = np.isin(key, key[rows["asks"] == 2])
         out = np.concatenate([known, rows[(two | seen) & (rows["asks"] == 1)]])
         if len(out):
             yield encode_by_doc(out, SHARED, buckets)
@@ -172,14 +174,15 @@ def _doc_buckets(th: np.ndarray, buckets: int) -> np.ndarray:
 
 def _unit_batch(bucket: np.ndarray, units: np.ndarray, data: np.ndarray | None, at, length) -> pa.RecordBatch:
     """One row for each bucket: units and their bytes; without bytes for units that are covered as a whole."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((units["at"], units["th"], units["did"], bucket))
     found, first = np.unique(bucket[order], return_index=True)
     rows = []
     for i, j in zip(first, np.append(first[1:], len(order)), strict=True):
         mine = order[i:j]
         text = data[ranges(at[mine], length[mine])].tobytes() if data is not None else b""
-        raw = b"".join((np.array([len(mine), data is not None], "<i8").tobytes(), units[mine].tobytes(), text))
-        rows.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True))
+        columns = [np.ascontiguousarray(units[n][mine]).tobytes() for n in UNIT.names]
+        raw = b"".join((np.array([len(mine), data is not None], "<i8").tobytes(), *columns, text))
+        rows.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True))
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
 
@@ -221,7 +224,10 @@ def _covered_windows(buckets: int, size: int):
         for row in held:
             raw = pa.Codec("zstd").decompress(row[8:], int.from_bytes(row[:8], "little"), asbytes=True)
             n, has_text = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-            part = np.frombuffer(raw, UNIT, n, 16)
+            part, place = np.empty(n, UNIT), 16
+            for name in UNIT.names:
+                part[name] = np.frombuffer(raw, UNIT[name], n, place)
+                place += n * UNIT[name].itemsize
             if has_text:
                 units.append(part)
                 texts.append(np.frombuffer(raw, np.uint8, -1, 16 + n * UNIT.itemsize))
@@ -309,8 +315,8 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     keyed = docs.select(*doc_key(), F.coalesce("text", F.lit("")).alias("text"))
     phrases = keyed.mapInArrow(_phrase_rows(buckets, size), BUCKET_ROWS)
     shared = reduce_buckets(phrases, buckets, decoder(DOC, PHRASE), _shared_phrases(buckets), BUCKET_ROWS)
-    fine = 4 * buckets
-    units = with_texts(keyed, shared, buckets, decoder(DOC, SHARED), _unit_rows(fine, size), BUCKET_ROWS)
+    fine = 2 * buckets
+    units = with_texts(keyed, shared, buckets, decoder(DOC, SHARED), _unit_rows(fine, size), BUCKET_ROWS, 4 * BLOCK)
     covered = reduce_buckets(units, fine, _unit_parts, _covered_windows(buckets, size), BUCKET_ROWS)
     schema = "_did long, n_bytes long, n_removed long, n_spans long, kept binary"
     kept = with_texts(keyed, covered, buckets, decoder(DOC, COVERED), _kept(size), schema)
