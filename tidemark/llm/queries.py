@@ -113,5 +113,3 @@ QUERIES: dict[str, QueryFn] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
 }
-
-ORACLES: dict[str, str] = {}
