@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,28 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, plans that start hand fewer rows at a time to Python: for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made of them has been written itself."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,34 +94,36 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every node: the smallest node that links reach, itself included.
 
     nodes: column node (long); edges: columns a, b (long), in any direction. Nodes without edges
-    stay out of the rounds. Each round hooks a node's label to the smallest label around it and then
-    follows labels once more, so the number of rounds grows with the logarithm of the longest chain.
+    stay out of the rounds. Each round merges every node into its smallest neighbour, and that one's
+    smallest, and goes on with the edges between what is left; a star is done after one round, a
+    chain after a number that grows with the logarithm of its length.
     """
-    both = written(
+    left = written(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         .where("a <> b").distinct()
     )
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = written(labels)
-    while True:
-        around = (
-            both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("around"))
-        )
-        hooked = labels.join(around, "node").select("node", F.least("label", "around").alias("label"), F.col("label").alias("old"))
-        # the smallest label seen by any member of a label's tree goes to all of them
-        roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("best"))
-        hooked = hooked.join(roots, hooked["old"] == roots["root"]).select("node", F.least("label", "best").alias("label"), "old")
-        jumped = hooked.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        new = written(
-            hooked.join(jumped, hooked["label"] == jumped["to"], "left")
-            .select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        )
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    labels = None
+    while not left.isEmpty():
+        least = left.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        further = least.select(F.col("node").alias("to"), F.col("label").alias("further"))
+        merged = written(least.join(further, F.col("label") == F.col("to")).select("node", F.col("further").alias("label")))
+        new = merged.select(F.col("node").alias("was"), F.col("label").alias("now"))
+        before, done = labels, left
+        if labels is None:
+            labels = written(merged)
+        else:
+            labels = written(labels.join(new, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")))
+            forget(before)
+        ends = done.join(new, F.col("a") == F.col("was")).select(F.col("now").alias("a"), "b")
+        ends = ends.join(new, F.col("b") == F.col("was")).select("a", F.col("now").alias("b"))
+        left = written(ends.where("a <> b").distinct())
+        forget(done, merged)
+    forget(left)
+    if labels is None:
+        return written(nodes.select("node", F.col("node").alias("component")))
+    out = written(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component")))
+    forget(labels)
+    return out
 
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

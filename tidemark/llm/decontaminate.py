@@ -134,4 +134,5 @@ def contaminated(docs: DataFrame, items: DataFrame, least_share: tuple[int, int]
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that contain no test item. A row with a null doc_id goes with the others of that id."""
     bad = contaminated(docs, items).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_bad"), "left_anti")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"))
+    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select("row.*")

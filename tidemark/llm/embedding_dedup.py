@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, connected_components, written
-from tidemark.llm.packed import U, mix, ranges
+from tidemark.llm.common import NO_ID, connected_components, forget, written
+from tidemark.llm.packed import U, mix
+from tidemark.llm.tiles import by_tiles, pairs_of_tiles, tile_starts, tiled
 
 TILE = 1000
+TILE_KEY = ("dims", "band", "key", "lo", "hi")
 #: Pairs that a task looks at together.
 PAIRS = 50_000
 #: Standard deviations of the estimate between it and its upper bound.
@@ -101,54 +104,17 @@ def _band_rows(bits: int, bands: int):
     return rows
 
 
-def _tiled(members: DataFrame, tile: int) -> DataFrame:
-    """Rows (band, key, dims, ...) of groups of two and more, with the tiles (lo, hi) in which each takes part."""
-    group = ["band", "key", "dims"]
-    sizes = members.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / tile).cast("int")
-    cut = members.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("parts", parts)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cut = cut.drop("size").select("*", other)
-    # a part's pairs with itself are in the tile with the next part (or the only one)
-    return cut.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).where("parts = 1 OR part <> other").drop("other")
-
-
-def _pairs_of_groups(start: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one tile that this tile is for, a bounded number at a time. start: where tiles begin (one more at the end).
-
-    A tile is for the pairs across its two parts; within part p for those of p in tile (p, p + 1) and
-    of the last part in tile (0, last).
-    """
-    size = np.diff(start)
-    end = np.repeat(start[1:], size)
-    row = np.arange(len(part))
-    count = end - row - 1  # partners behind a row
-    begin = 0
-    total = np.cumsum(count)
-    while begin < len(row):
-        done = total[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(total, done + PAIRS, "right")))
-        mine = row[begin:stop]
-        a, b = np.repeat(mine, count[mine]), ranges(mine + 1, count[mine])
-        same = part[a] == part[b]
-        own = (parts[a] <= 2) | ((part[a] == lo[a]) & (hi[a] == lo[a] + 1)) | ((part[a] == parts[a] - 1) & (lo[a] == 0) & (hi[a] == parts[a] - 1))
-        keep = ~same | own
-        yield a[keep], b[keep]
-        begin = stop
-
-
 def _judged(table: pa.Table, threshold: float, bands: int) -> pa.RecordBatch:
     """Links, and an edge to the least member reached, of each row of whole tiles of one vector length."""
-    ids, size, band, part, parts, lo, hi, key = (table.column(c).to_numpy() for c in ("cls", "n", "band", "part", "parts", "lo", "hi", "key"))
+    ids, size, band, part, parts, lo, hi = (table.column(c).to_numpy() for c in ("cls", "n", "band", "part", "parts", "lo", "hi"))
     dims = table.column("dims")[0].as_py()
     x = unit_vectors(table.column("embedding").combine_chunks(), dims)
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(ids), bands)
     codes = Codes.of(x @ rotation(dims, 0).T, ids)
-    tiles = np.stack([band, key, lo, hi])
-    start = np.append(np.flatnonzero(np.append(True, (tiles[:, 1:] != tiles[:, :-1]).any(axis=0))), len(ids))
+    start = tile_starts(table, TILE_KEY)
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     earlier = np.arange(bands)[None, :]
-    for a, b in _pairs_of_groups(start, part, lo, hi, parts):
+    for a, b in pairs_of_tiles(start, part, lo, hi, parts, PAIRS):
         possible = (codes.upper(a, b) >= threshold) & (codes.upper(b, a) >= threshold)
         a, b = a[possible], b[possible]
         near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold  # exact
@@ -172,30 +138,6 @@ def _judged(table: pa.Table, threshold: float, bands: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label][keep]), pa.array(links[keep])], names=["a", "b", "links"])
 
 
-def _links(threshold: float, bands: int):
-    """Over rows sorted by tile: whole tiles at a time, however batches cut them."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            group = np.stack([held.column(c).to_numpy() for c in ("dims", "band", "key", "lo", "hi")])
-            last = np.flatnonzero((group != group[:, -1:]).any(axis=0))
-            edge = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on
-            dims = group[0, :edge]
-            cuts = np.append(np.flatnonzero(np.append(True, dims[1:] != dims[:-1])), edge) if edge else []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                yield _judged(held.slice(i, j - i), threshold, bands)
-            held = held.slice(edge)
-        if held is not None and held.num_rows:
-            yield _judged(held, threshold, bands)
-
-    return rows
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, missed: float = 1e-3) -> DataFrame:
     """For every row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -215,12 +157,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, missed: float =
     bits, bands = band_plan(classes.count(), threshold, missed)
     banded = classes.select("cls", "embedding").mapInArrow(_band_rows(bits, bands), "band int, key long, dims int, cls long, keys binary")
     banded = written(banded)
-    tiles = _tiled(banded, TILE).join(classes.select("cls", "embedding", "n"), "cls")
-    tile = ["dims", "band", "key", "lo", "hi"]
-    found = written(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_links(threshold, bands), "a long, b long, links long"))
+    tiles = tiled(banded, ["band", "key", "dims"], "cls", TILE).join(classes.select("cls", "embedding", "n"), "cls")
+    judge = partial(_judged, threshold=threshold, bands=bands)
+    found = written(by_tiles(tiles, TILE_KEY, judge, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(classes.select(F.col("cls").alias("node")), found.where("a <> b").select("a", "b"))
     placed = classes.join(groups, F.col("cls") == F.col("node")).select("cls", "least", "n", "component", "embedding")
+    forget(banded)
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.join(smallest, "component").join(counts, "cls", "left").select(
         F.col("embedding").alias("_e"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

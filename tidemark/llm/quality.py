@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import forget, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = "#$%&*!|<>{}[]=+^~@_\\"
@@ -131,21 +131,19 @@ def fit_rules(docs: DataFrame, labels: DataFrame, config: RuleConfig = RuleConfi
     held = rows.select("label", array_to_vector(F.array(*[F.when(r.holds(), 1.0).otherwise(0.0) for r in candidates])).alias("features"))
     held = written(held)
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=config.penalty, standardization=False, maxIter=100).fit(held)
+    forget(rows, held)
     weights = [float(w) for w in lasso.coefficients.toArray()]
     rules = tuple(Rule(r.tests, w) for r, w in zip(candidates, weights, strict=True) if w)
     return RuleModel(float(lasso.intercept), rules)
 
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """Every row of docs with all its columns but those of the same names, plus held_out, score and predicted.
+    """Every row of docs with all its columns (but for those named like the new ones), held_out, score and predicted.
 
-    One scan without exchange. Null and empty texts get the score of an empty text.
+    One scan without exchange. Null and empty texts get the score of an empty text. A null doc_id is
+    not held out.
     """
-    names = list(statistics(F.col("text")))
-    scored = docs.drop("held_out", "score", "predicted", *names)
-    kept = scored.columns
-    scored = scored.withColumns(statistics(F.col("text"))).withColumn("score", model.score())
-    return scored.select(
-        *[F.col(f"`{c}`") for c in kept], held_out().alias("held_out"), "score",
-        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
-    )
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    scored = docs.select(F.struct(*kept).alias("row"), held_out().alias("held_out"), *[c.alias(k) for k, c in statistics(F.col("text")).items()])
+    scored = scored.select("row", "held_out", model.score().alias("score"))
+    return scored.select("row.*", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

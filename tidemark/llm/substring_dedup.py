@@ -322,6 +322,9 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     changed = dedup_substrings(docs, size).where("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), "_th", "kept_text").dropDuplicates(["_did", "_th"])
-    joined = docs.select("*", *doc_key()).join(changed, ["_did", "_th"], "left").where("kept_text IS NULL OR kept_text <> ''")
-    new = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    joined = docs.select(F.struct("*").alias("row"), *doc_key()).join(changed, ["_did", "_th"], "left").where("kept_text IS NULL OR kept_text <> ''")
+    new = {
+        "text": F.coalesce("kept_text", "row.text"),
+        "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None,
+    }
+    return joined.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import forget, written
 from tidemark.llm.quality import held_out
 
 MARKS = ".,;:!?\"'()[]{}<>#$%&*|/\\-_\n\t\r"
@@ -74,9 +74,9 @@ def fit_chain(docs: DataFrame, categories: DataFrame, names: Sequence[str], conf
         return Chain(None, ())
     vectorizer = CountVectorizer(inputCol="words", outputCol="word_counts", vocabSize=config.vocabulary, minDF=min(config.least_docs, counts[0]), binary=True)
     words = vectorizer.fit(rows)
-    rows = words.transform(rows).drop("words")
+    texts, rows = rows, written(words.transform(rows).drop("words"))
+    forget(texts)
     models, earlier = [], []
-    rows = written(rows)
     for c, name in enumerate(names):
         featured = _features(rows, [f"p_{e}" for e in earlier])
         learner = LogisticRegression(labelCol=name, elasticNetParam=1.0, regParam=config.penalty, maxIter=config.iterations, standardization=False)
@@ -90,8 +90,10 @@ def fit_chain(docs: DataFrame, categories: DataFrame, names: Sequence[str], conf
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part)
-            rows = written(out.drop("features"))
+            before, rows = rows, written(out.drop("features"))
+            forget(before)
         earlier.append(name)
+    forget(rows)
     return Chain(words, tuple(models))
 
 

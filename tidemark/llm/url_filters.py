@@ -126,8 +126,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, how:
         ("allowed", "trust", edges),
         ("blocked", "distrust", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")),
     ):
-        whole = per_host.agg(F.sum(kind).alias("whole"))
-        seeds = per_host.where(F.col(kind) > 0).join(F.broadcast(whole)).select("host", (F.col(kind) / F.col("whole")).alias("seed"))
+        whole = per_host.agg(F.sum(kind)).first()[0] or 1
+        seeds = per_host.where(F.col(kind) > 0).select("host", (F.col(kind) / whole).alias("seed"))
         spread_to = spread(graph, written(seeds), how)
         scores = scores.join(spread_to.withColumnRenamed("score", score), "host", "left").fillna(0.0, [score])
     by_method = F.when(F.coalesce("distrust", F.lit(0.0)) > how.factor * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
