@@ -10,31 +10,38 @@ sets (in one order for all sets the first shared signature is among the first k
 passage that many texts share therefore makes no candidates unless it is most of a text. A set with
 at most k ranges that are not empty also takes every shingle as a range of its own.
 
-Texts with equal sets are one class. Candidates are compared on their whole sets.
+Texts with equal sets are one class. Candidates are compared on their whole sets, in three steps, as
+what is linked already needs no second link: a class with one partner; pairs that may connect the
+components that still share a signature; all pairs across components that are left. The last two
+look at pairs inside tasks first, by bitmaps whose distance is a lower bound of the sets' distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_count, connected_components, doc_key, written
+from tidemark.llm.common import bucket_count, connected_components, doc_key, forget, small_batches, written
 from tidemark.llm.packed import (
     BUCKET_ROWS, Texts, U, bucket_batch, decoder, encode, joined_dtype, lowered, mix, ranges, reduce_buckets, span_hashes, text_blocks, text_column,
     window_hashes, words_of,
 )
+from tidemark.llm.tiles import by_tiles, pairs_of_tiles, tile_starts, tiled
 
 GRAM = 5
+TILE = 1000
+TILE_KEY = ("band", "sig", "lo", "hi")
 #: What a set's signatures of one kind have in common. drop: how many of the most frequent it does without.
 SLOT = np.dtype([("cls", "<i8"), ("drop", "<i4"), ("kind", "u1")])
 SIG = np.dtype([("sig", "<i8")])
 ENTRY = joined_dtype(SLOT, SIG)
 COUNTED = joined_dtype(ENTRY, np.dtype([("sets", "<i8")]))
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def shingle_sequence(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -182,15 +189,15 @@ def _rarest(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(start, len(rows)))
     group = np.repeat(np.arange(len(start)), size)
     kept = rows[np.arange(len(rows)) - start[group] < size[group] - rows["drop"]]
-    yield pa.RecordBatch.from_arrays([pa.array(kept["sig"]), pa.array(kept["cls"])], names=["sig", "cls"])
+    yield pa.RecordBatch.from_arrays([pa.array(kept["sig"]), pa.array(kept["cls"]), pa.array(kept["kind"].astype(np.int32) // 2)], names=["sig", "cls", "band"])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(sig, cls): classes of sets and the signatures by which they may have partners."""
-    buckets = bucket_count(docs, mb=8)
+    """(sig, cls, band): classes of sets and the signatures by which they may have partners."""
+    buckets = bucket_count(docs, mb=5)
     rows = docs.select(*doc_key(), "text").mapInArrow(_signature_rows(buckets), BUCKET_ROWS)
     counted = reduce_buckets(rows, buckets, decoder(SLOT, SIG), _count_sets(buckets), BUCKET_ROWS)
-    return reduce_buckets(counted, buckets, COUNTED, _rarest, "sig long, cls long")
+    return reduce_buckets(counted, buckets, COUNTED, _rarest, "sig long, cls long, band int")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +230,83 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long")
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class, for the band of its size and the next: a bitmap in which every shingle turns one bit.
+
+    Two sets' bitmaps differ in at most as many bits as the sets in elements, and in nearly as many.
+    """
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            data, offsets = text_column(part.column("text"))
+            cls = part.column("cls").to_numpy()
+            hashes, cut = shingle_sets(Texts(cls, cls, data, offsets))
+            n = np.diff(cut)
+            own = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
+            out = []
+            for i in range(len(cls)):
+                h = mix(hashes[cut[i] : cut[i + 1]])
+                for band in (int(own[i]), int(own[i]) + 1):
+                    bits = max(64, 4 << band)
+                    turned = np.bincount((h % U(bits)).astype(np.int64), minlength=bits) & 1
+                    out.append((cls[i], band, int(n[i]), np.packbits(turned.astype(np.uint8)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+                    names=["cls", "band", "n", "bits"])
+
+
+def _crossing(table: pa.Table, every: bool) -> pa.RecordBatch:
+    """Pairs of a group in different components that their bitmaps do not rule out.
+
+    All of them, or no more than it takes to connect a tile's components if every pair is a link.
+    """
+    cls, n, component, part, parts, lo, hi = (table.column(c).to_numpy() for c in ("cls", "n", "component", "part", "parts", "lo", "hi"))
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(cls), -1)
+    start = tile_starts(table, TILE_KEY)
+    tile = np.searchsorted(start, np.arange(len(cls)), "right")
+    _, group = np.unique(np.stack([tile, component]), axis=1, return_inverse=True)
+    group = group.ravel()
+    root = np.arange(group.max() + 1)
+    found = []
+    for a, b in pairs_of_tiles(start, part, lo, hi, parts, max(1000, 2_000_000 // bits.shape[1])):
+        able = (root[group[a]] != root[group[b]]) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
+        a, b = a[able], b[able]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        able = 7 * apart <= n[a] + n[b]
+        a, b = a[able], b[able]
+        while not every and len(a):
+            high = np.maximum(root[group[a]], root[group[b]])
+            _, one = np.unique(high, return_index=True)  # each root hooks to a smaller one, by one pair
+            found.append((cls[a[one]], cls[b[one]]))
+            root[high[one]] = np.minimum(root[group[a[one]]], root[group[b[one]]])
+            while (root[root] != root).any():
+                root = root[root]
+            open_ = root[group[a]] != root[group[b]]
+            a, b = a[open_], b[open_]
+        if every and len(a):
+            found.append((cls[a], cls[b]))
+    ends = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1)]
+    pairs = np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def _without_repeats(members: DataFrame) -> DataFrame:
+    """One signature of those that the same two or more classes have: similar sets share many."""
+    x, y = (F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(n) for k, n in ((1, "x"), (2, "y")))
+    groups = members.groupBy("sig").agg(F.count("*").alias("size"), x, y).where("size > 1")
+    kept = groups.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    return members.join(kept, "sig", "left_semi")
+
+
+def _across(members: DataFrame, components: DataFrame, parities: DataFrame, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) that share a signature and are in different components so far."""
+    placed = members.join(components, F.col("cls") == F.col("node")).select("sig", "cls", "band", "component")
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    tiles = tiled(placed.join(mixed, "sig"), ["band", "sig"], "cls", TILE).join(parities, ["cls", "band"])
+    return by_tiles(tiles, TILE_KEY, partial(_crossing, every=every), "a long, b long").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """For every row of docs (doc_id, text): _did, _th (its key), n (size of its set) and first, the key of its group's first text.
 
@@ -237,25 +321,34 @@ def grouped(docs: DataFrame) -> DataFrame:
     sets = written(docs.select(*doc_key(), "text").mapInArrow(_set_table, "_did long, _th long, cls long, check long, n long"))
     classes = sets.where("n > 0").groupBy("cls", "check", "n").agg(F.min(F.struct("_did", "_th")).alias("rep"))
     classes = written(classes.select("cls", "n", "rep._did", "rep._th"))
-    members = written(candidates(docs))
-    groups = members.groupBy("sig").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1")
-    star = written(members.join(groups, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    wanted = star.select(F.col("a").alias("cls")).union(members.select("cls")).distinct()
-    texts = classes.join(wanted, "cls", "left_semi").join(keyed.select("_did", "_th", "text").dropDuplicates(["_did", "_th"]), ["_did", "_th"])
-    texts = written(texts.select("cls", "n", "text"))
-    links = written(_similar(star, texts))
-    # what a group still holds in several components is compared across them
-    found = written(connected_components(members.select(F.col("cls").alias("node")).distinct(), links))
-    placed = members.join(found, F.col("cls") == F.col("node")).select("sig", "cls", "component")
-    open_groups = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    placed = written(placed.join(open_groups.select("sig"), "sig"))
-    left, right = (placed.select("sig", F.col("cls").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    across = left.join(right, "sig").where("c_a < c_b").select("a", "b").distinct()
-    more = _similar(written(across.join(star, ["a", "b"], "left_anti")), texts)
-    all_links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more)
-    found = connected_components(members.select(F.col("cls").alias("node")).distinct(), all_links)
+    found = written(candidates(docs))
+    members = written(_without_repeats(found))
+    forget(found)
+    nodes = written(members.select(F.col("cls").alias("node")).distinct())
+    texts = classes.join(nodes, F.col("cls") == F.col("node"), "left_semi").join(keyed.select("_did", "_th", "text"), ["_did", "_th"])
+    texts = written(texts.dropDuplicates(["cls", "_did", "_th"]).select("cls", "n", "text"))
+    with small_batches(docs.sparkSession):
+        parities = written(texts.select("cls", "text").mapInArrow(_parities, "cls long, band int, n long, bits binary"))
+    # first one pair for each class, with the least class that it shares a signature with
+    groups = members.groupBy("sig").agg(F.min("cls").alias("a"))
+    first = members.join(groups, "sig").groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a")).where("a <> b").select("a", "b")
+    with small_batches(docs.sparkSession):
+        links = written(_similar(first, texts))
+    # then pairs that may connect the components that a group still has, then all that are left
+    for every in (False, True):
+        found = connected_components(nodes, links)
+        forget(links)
+        pairs = written(_across(members, found, parities, every))
+        more = _similar(pairs, texts)
+        so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+        with small_batches(docs.sparkSession):
+            links = written(so_far.unionByName(more))
+        forget(found, pairs)
+    found = connected_components(nodes, links)
+    forget(members, nodes, texts, parities, links)
     of_class = written(classes.join(found, F.col("cls") == F.col("node"), "left").select(
         "cls", F.struct("_did", "_th").alias("rep"), F.coalesce("component", "cls").alias("component")))
+    forget(found, classes)
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("first"))
     by_class = of_class.join(smallest, "component").groupBy("cls").agg(F.min("first").alias("first"))
     alone = F.struct("_did", "_th")
@@ -280,5 +373,5 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     Repeated rows of one doc_id and text are one document. Texts without words are in no group and stay.
     """
     first = grouped(docs).where("_did = first._did AND _th = first._th").select("_did", "_th").distinct()
-    keyed = docs.select("*", *doc_key()).join(first, ["_did", "_th"], "left_semi")
-    return keyed.dropDuplicates(["_did", "_th"]).select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("row"), *doc_key()).join(first, ["_did", "_th"], "left_semi")
+    return keyed.dropDuplicates(["_did", "_th"]).select("row.*")
