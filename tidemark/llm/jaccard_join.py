@@ -247,7 +247,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(cls)):
                 h = mix(hashes[cut[i] : cut[i + 1]])
                 for band in (int(own[i]), int(own[i]) + 1):
-                    bits = max(64, 4 << band)
+                    bits = max(64, 2 << band)
                     turned = np.bincount((h % U(bits)).astype(np.int64), minlength=bits) & 1
                     out.append((cls[i], band, int(n[i]), np.packbits(turned.astype(np.uint8)).tobytes()))
             if out:
