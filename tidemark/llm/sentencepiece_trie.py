@@ -28,9 +28,9 @@ from tidemark.llm.packed import ranges
 MARK = "▁"
 #: What a byte piece costs on top of the least score of the vocabulary.
 BYTE_COST = 10.0
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: A task stops remembering words beyond so many; they are then searched again in each batch.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,16 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ids, tails, tuple(byte_ids[b] for b in range(256)), least - BYTE_COST)
 
 
+def piece_bytes(path: str) -> dict[int, bytes]:
+    """What each piece stands for: all that decoding needs."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    text = {i: model.id_to_piece(i) for i in ids}
+    return {i: bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace(MARK, " ").encode() for i, t in text.items()}
+
+
 def encode_sorted(words: list[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
     """Piece ids of each word: a depth-first walk of the trie, as words come in order.
 
@@ -181,16 +191,14 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     names = encoded.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(model_path)
-        pieces = {i: piece.replace(MARK, " ").encode() for piece, i in vocabulary.ids.items()}
-        pieces |= {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
+        pieces = piece_bytes(model_path)
         table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         data = np.frombuffer(b"".join(table), np.uint8)
         size = np.array([len(x) for x in table], np.int64)
         first = np.cumsum(size) - size
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 ids = part.column("piece_ids")
                 count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
