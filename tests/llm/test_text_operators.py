@@ -1,9 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import plain
-from tidemark.llm import decontaminate, jaccard_join, sentencepiece_trie, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, jaccard_join, packed, sentencepiece_trie, substring_dedup, suffix_dedup
+from tidemark.llm.common import doc_key
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, text string, _did string, _th string, bucket int, cls int, rows binary"
@@ -106,6 +110,56 @@ def test_null_and_repeated_ids(spark):
     assert cut == [(-1, len(text)), (-1, len(text)), (5, 0), (5, 0), (7, 0), (7, 0)]
 
 
+HOT = " ".join(f"h{i}" for i in range(70))
+
+
+def bucket_sizes(spark, rows, buckets=24):
+    """Rows that come back from each bucket when texts meet their replies, and the texts that were sent for them."""
+    texts = frame(spark, rows).select(*doc_key(), "text")
+    sent = []
+    for batch in packed._text_rows(buckets)(iter(texts.toArrow().to_batches())):
+        sent += [len(b) for raw in batch.column("rows").to_pylist() for b in packed._blocks_of(packed._unsqueezed(raw))]
+
+    def back(found, place, block):
+        yield packed.rows_again(block, pa.RecordBatch.from_arrays([pa.array(block.did)], names=["_did"]))
+
+    none = spark.createDataFrame([], packed.BUCKET_ROWS)
+    out = packed.with_texts(texts, none, buckets, packed.decoder(packed.DOC, suffix_dedup.COVERED), back, "_did long")
+    return [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()], sum(sent)
+
+
+def test_copies_of_a_text_are_spread_over_the_buckets(spark):
+    got, _ = bucket_sizes(spark, [(i, HOT) for i in range(1200)])
+    assert sum(got) == 1200 and max(got) < 200
+
+
+def test_rows_that_repeat_id_and_text_are_sent_once_by_a_task(spark):
+    got, sent = bucket_sizes(spark, [(7, HOT)] * 900 + [(i, f"text {i}") for i in range(30)])
+    assert sum(got) == 930 and sent <= 40
+
+
+def test_replies_are_looked_up_by_id_and_text():
+    ids = np.full(4, 7, np.int64)
+    rows = np.zeros(4, packed.joined_dtype(packed.DOC, suffix_dedup.COVERED))
+    rows["did"], rows["th"], rows["at"] = 7, [1, 2, 3, 3], [10, 20, 30, 31]
+    keys = packed.doc_hash(rows["did"], rows["th"])
+    order = np.argsort(keys, kind="stable")
+    block = packed.Texts(ids, np.array([3, 9, 1, 2]), np.zeros(0, np.uint8), np.zeros(5, np.int64))
+    found, place = packed._of_block(rows[order], keys[order], block)
+    assert sorted(zip(place.tolist(), found["at"].tolist())) == [(0, 30), (0, 31), (2, 10), (3, 20)]
+
+
+def test_a_large_group_of_copies_loses_all_but_the_first(spark, tmp_path):
+    rows = [(i, HOT) for i in range(400)] + [(1000 + i, f"own{i} " * 3 + HOT) for i in range(50)] + [(3, HOT)] * 40 + [(None, HOT)] * 60
+    frame(spark, rows).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    kept = [(r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(df).where("doc_id > 0 OR doc_id IS NULL").collect()]
+    assert sorted(kept) == [(70, 70)] * 499 + [(73, 70)] * 50
+    cut = [r.n_removed for r in suffix_dedup.dedup_bytes(df).where("doc_id > 0 OR doc_id IS NULL").collect()]
+    # " h0 h1" and on: the blank in front is in a string of document 1001 and later only where it ends alike
+    assert len(cut) == 549 and min(cut) >= len(HOT) and sum(c == len(HOT) for c in cut) >= 500
+
+
 def test_empty_tables(spark):
     df = frame(spark, [])
     assert jaccard_join.jaccard_groups(df).count() == 0

@@ -31,10 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """A block of whole texts: keys did and th, bytes, and where each text starts (one more at the end)."""
+    """A block of whole texts: keys did and th, bytes, where each text starts (one more at the end), and how many rows it stands for."""
 
-    def __init__(self, did: np.ndarray, th: np.ndarray, data: np.ndarray, starts: np.ndarray):
+    def __init__(self, did: np.ndarray, th: np.ndarray, data: np.ndarray, starts: np.ndarray, times: np.ndarray | None = None):
         self.did, self.th, self.data, self.starts = did, th, data, starts
+        self.times = np.ones(len(did), np.int64) if times is None else times
 
     def __len__(self) -> int:
         return len(self.did)
@@ -65,6 +66,27 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             i = j
 
 
+def once_each(texts: Texts) -> Texts:
+    """The block with rows that repeat did and th as one text that stands for all of them."""
+    order = np.lexsort((texts.th, texts.did))
+    did, th = texts.did[order], texts.th[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1])
+    if new.all():
+        return texts
+    head = np.flatnonzero(new)
+    times = np.add.reduceat(texts.times[order], head)
+    one = order[head]
+    sizes = np.diff(texts.starts)[one]
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    return Texts(texts.did[one], texts.th[one], texts.data[ranges(texts.starts[one], sizes)], starts, times)
+
+
+def rows_again(texts: Texts, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch with one row for each text of the block as one with a row for each row that the texts stand for."""
+    return batch if (texts.times == 1).all() else batch.take(pa.array(np.repeat(np.arange(len(texts)), texts.times)))
+
+
 def words_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words between ASCII white space, and for each text its first word (one more at the end)."""
     blank = (texts.data == 32) | ((texts.data >= 9) & (texts.data <= 13))
@@ -236,11 +258,16 @@ def encode_by_doc(rows: np.ndarray, entry: np.dtype, buckets: int) -> pa.RecordB
     entries = np.empty(len(rows), entry)
     for name in entry.names:
         entries[name] = rows[name]
-    return encode(doc_bucket(rows["th"], buckets), entries, slots, np.cumsum(new) - 1)
+    return encode(doc_bucket(rows["did"], rows["th"], buckets), entries, slots, np.cumsum(new) - 1)
+
+
+def doc_hash(did: np.ndarray, th: np.ndarray) -> np.ndarray:
+    return mix(mix(did) + th.astype(U))
 
 
-def doc_bucket(th: np.ndarray, buckets: int) -> np.ndarray:
-    return (th.view(U) % U(buckets)).astype(np.int64) if len(th) else np.zeros(0, np.int64)
+def doc_bucket(did: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of documents by id and text: the copies of one text are spread over all of them."""
+    return (doc_hash(did, th) % U(buckets)).astype(np.int64)
 
 
 def with_texts(
@@ -250,19 +277,20 @@ def with_texts(
     """Brings packed rows to the texts of their documents.
 
     docs: _did, _th, text; packed: rows by the bucket of the document. fn gets, for a block of texts,
-    the bucket's rows of these documents, the place in the block of each, and the block.
+    the bucket's rows of these documents, the place in the block of each, and the block. Rows that
+    repeat _did and _th may be one text of the block (rows_again).
     """
     texts = docs.select("_did", "_th", "text").mapInArrow(_text_rows(buckets), "bucket int, kind int, rows binary")
     replies = packed.select("bucket", F.lit(0).alias("kind"), "rows")
     both = texts.unionByName(replies).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows, blocks = None, [], None, []
+        now, held, rows, keys, blocks = None, [], None, None, []
 
         def judged() -> Iterator[pa.RecordBatch]:
-            block = _joined(blocks)
+            block = once_each(_joined(blocks))
             blocks.clear()
-            yield from fn(*_of_block(rows, block), block)
+            yield from fn(*_of_block(rows, keys, block), block)
 
         for batch in batches:
             for bucket, kind, row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "rows")), strict=True):
@@ -275,10 +303,12 @@ def with_texts(
                     continue
                 if rows is None:
                     rows = np.concatenate(held) if held else decode(None)
-                    rows, held = rows[np.lexsort((rows["th"], rows["did"]))], []
+                    keys, held = doc_hash(rows["did"], rows["th"]), []
+                    order = np.argsort(keys, kind="stable")
+                    rows, keys = rows[order], keys[order]
                 for block in _blocks_of(_unsqueezed(row)):
                     blocks.append(block)
-                    if sum(len(b.data) for b in blocks) >= block_bytes:
+                    if sum(int((np.diff(b.starts) * b.times).sum()) for b in blocks) >= block_bytes:
                         yield from judged()
         if blocks:
             yield from judged()
@@ -290,14 +320,14 @@ def _text_rows(buckets: int):
     """Compressed texts of each bucket: one row for each bucket of some MB of texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in text_blocks(batches, 8 * BLOCK_BYTES):
-            order, found, cut = by_bucket(doc_bucket(texts.th, buckets))
+        for texts in map(once_each, text_blocks(batches, 8 * BLOCK_BYTES)):
+            order, found, cut = by_bucket(doc_bucket(texts.did, texts.th, buckets))
             sizes = np.diff(texts.starts)
             packed = []
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 mine = order[i:j]
                 data = texts.data[ranges(texts.starts[mine], sizes[mine])]
-                packed.append(_squeezed(*[x.tobytes() for x in (np.int64(len(mine)), texts.did[mine], texts.th[mine], sizes[mine], data)], level=3))
+                packed.append(_squeezed(*[x.tobytes() for x in (np.int64(len(mine)), texts.did[mine], texts.th[mine], sizes[mine], texts.times[mine], data)], level=3))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.astype(np.int32)), pa.array(np.ones(len(found), np.int32)), pa.array(packed, pa.binary())], names=["bucket", "kind", "rows"])
 
@@ -306,25 +336,26 @@ def _text_rows(buckets: int):
 
 def _blocks_of(raw: bytes) -> Iterator[Texts]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    did, th, sizes = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
+    did, th, sizes, times = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(4))
     starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-    data = np.frombuffer(raw, np.uint8, -1, 8 + 24 * n)
+    data = np.frombuffer(raw, np.uint8, -1, 8 + 32 * n)
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_BYTES, side="right")) - 1)
-        yield Texts(did[i:j], th[i:j], data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+        yield Texts(did[i:j], th[i:j], data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], times[i:j])
         i = j
 
 
 def _joined(blocks: list[Texts]) -> Texts:
-    did, th, data = (np.concatenate([getattr(b, n) for b in blocks]) for n in ("did", "th", "data"))
+    did, th, data, times = (np.concatenate([getattr(b, n) for b in blocks]) for n in ("did", "th", "data", "times"))
     sizes = np.concatenate([np.diff(b.starts) for b in blocks])
-    return Texts(did, th, data, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]))
+    return Texts(did, th, data, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), times)
 
 
-def _of_block(rows: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The rows (ordered by did and th) of the block's documents and each one's place in the block."""
-    lo, hi = np.searchsorted(rows["did"], texts.did, "left"), np.searchsorted(rows["did"], texts.did, "right")
+def _of_block(rows: np.ndarray, keys: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (ordered by keys, the hashes of did and th) of the block's documents and each one's place in the block."""
+    key = doc_hash(texts.did, texts.th)
+    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
     at, place = ranges(lo, hi - lo), np.repeat(np.arange(len(texts)), hi - lo)
-    same = rows["th"][at] == texts.th[place]
+    same = (rows["did"][at] == texts.did[place]) & (rows["th"][at] == texts.th[place])
     return rows[at[same]], place[same]

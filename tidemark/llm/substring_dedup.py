@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NO_ID, bucket_count, doc_key
 from tidemark.llm.packed import (
-    BUCKET_ROWS, DOC, Texts, U, decoder, encode, encode_by_doc, mix, ranges, reduce_buckets, span_hashes, text_blocks,
-    window_hashes, with_texts, words_of,
+    BUCKET_ROWS, DOC, Texts, U, decoder, doc_bucket, encode, encode_by_doc, mix, once_each, ranges, reduce_buckets, rows_again,
+    span_hashes, text_blocks, window_hashes, with_texts, words_of,
 )
 
 WINDOW = 20
@@ -190,13 +190,13 @@ def _entry_batch(dtype: np.dtype, docs: np.ndarray, doc: np.ndarray, to_doc: np.
     entries = np.empty(len(doc), dtype)
     for name, values in columns.items():
         entries[name] = values
-    bucket = np.where(to_doc, docs["th"][doc].view(U) % U(buckets), mix(entries["key"]) % U(buckets)).astype(np.int64)
+    bucket = np.where(to_doc, doc_bucket(docs["did"], docs["th"], buckets)[doc], (mix(entries["key"]) % U(buckets)).astype(np.int64))
     return encode(bucket, entries, docs, doc)
 
 
 def _anchor_rows(buckets: int, size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in text_blocks(batches, BLOCK):
+        for texts in map(once_each, text_blocks(batches, BLOCK)):
             words, first = _words(texts)
             doc, at, more, key = anchors_of(words, first, size)
             at = at - first[doc]
@@ -285,9 +285,9 @@ def _kept_texts(size: int):
                 kept.append(b" ".join(words))
                 gone.append(0)
             counts.append(len(words))
-        yield pa.RecordBatch.from_arrays(
+        yield rows_again(texts, pa.RecordBatch.from_arrays(
             [pa.array(texts.did), pa.array(texts.th), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["_did", "_th", "n_words", "n_removed", "kept_text"])
+            names=["_did", "_th", "n_words", "n_removed", "kept_text"]))
 
     return rows
 

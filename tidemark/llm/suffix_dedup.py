@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NO_ID, bucket_count, doc_key
 from tidemark.llm.packed import (
-    BUCKET_ROWS, DOC, Texts, U, decoder, encode, encode_by_doc, mix, ranges, reduce_buckets, span_hashes, text_blocks, with_texts,
+    BUCKET_ROWS, DOC, Texts, U, decoder, doc_bucket, encode, encode_by_doc, mix, once_each, ranges, reduce_buckets, rows_again,
+    span_hashes, text_blocks, with_texts,
 )
 
 SIZE = 50
@@ -105,7 +106,7 @@ def _two_docs(key: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _phrase_rows(buckets: int, size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in text_blocks(batches, BLOCK):
+        for texts in map(once_each, text_blocks(batches, BLOCK)):
             doc, at, more, trigger = phrases_of(texts, size)
             if not len(doc):
                 continue
@@ -120,7 +121,7 @@ def _phrase_rows(buckets: int, size: int):
             entries["at"], entries["more"], entries["asks"] = (at - texts.starts[doc])[pick], more[pick], asks
             entries["off"] = (trigger - at)[pick]
             docs = _docs(texts)
-            bucket = np.where(asks == 0, docs["th"][doc[pick]].view(U) % U(buckets), mix(key[pick]) % U(buckets)).astype(np.int64)
+            bucket = np.where(asks == 0, doc_bucket(docs["did"], docs["th"], buckets)[doc[pick]], (mix(key[pick]) % U(buckets)).astype(np.int64))
             yield encode(bucket, entries, docs, doc[pick])
 
     return rows
@@ -161,17 +162,13 @@ def _unit_rows(buckets: int, size: int):
         units = np.empty(len(found), UNIT)
         units["did"], units["th"], units["at"], units["more"] = found["did"], found["th"], found["at"], found["more"]
         if covered.any():
-            yield _unit_batch(_doc_buckets(units["th"][covered], buckets), units[covered], None, None, None)
+            yield _unit_batch(doc_bucket(units["did"][covered], units["th"][covered], buckets), units[covered], None, None, None)
         left = ~covered
         yield _unit_batch((mix(key[left]) % U(buckets)).astype(np.int64), units[left], texts.data, at[left], length[left])
 
     return rows
 
 
-def _doc_buckets(th: np.ndarray, buckets: int) -> np.ndarray:
-    return (th.view(U) % U(buckets)).astype(np.int64)
-
-
 def _unit_batch(bucket: np.ndarray, units: np.ndarray, data: np.ndarray | None, at, length) -> pa.RecordBatch:
     """One row for each bucket: units and their bytes; without bytes for units that are covered as a whole."""
     order = np.lexsort((units["at"], units["th"], units["did"], bucket))
@@ -293,9 +290,9 @@ def _kept(size: int):
         for i in range(len(texts)):
             lo, hi = int(texts.starts[i]), int(texts.starts[i + 1])
             kept.append(texts.data[lo:hi][~gone[lo:hi]].tobytes() if touched[i] else data[lo:hi])
-        yield pa.RecordBatch.from_arrays([
+        yield rows_again(texts, pa.RecordBatch.from_arrays([
             pa.array(texts.did), pa.array(np.diff(texts.starts)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)),
-            pa.array(kept, pa.binary())], names=["_did", "n_bytes", "n_removed", "n_spans", "kept"])
+            pa.array(kept, pa.binary())], names=["_did", "n_bytes", "n_removed", "n_spans", "kept"]))
 
     return rows
 
