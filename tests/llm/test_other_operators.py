@@ -161,6 +161,27 @@ def test_counts_of_words_bytes_and_pieces(spark):
     assert [r[3] for r in rows][:2] == [0, 0] and rows[4][3] == 2
 
 
+def test_registered_totals_are_those_of_the_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["plain words here", "中文没有空格的一段很长的文字", None, "", "<|endoftext|> x", "plain words here", "long " * 200_000]
+    rows = [(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.tokenizer_version): (r.docs, r.tokens) for r in queries.QUERIES["op6_tokenizer_counts"](spark, str(tmp_path)).collect()}
+    count = {"words-1": lambda t: len(t.split()), "bytes-1": lambda t: len(t.encode())}
+    for version, path in queries.TOKENIZERS.items():
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        count[version] = lambda t, k=tokenizer: len(k.encode(t, add_special_tokens=False).ids)
+    want = {}
+    for i, t, lang, *_ in rows:
+        for version, n in count.items():
+            if t is None or texts.index(t) == i:  # a later copy is deleted
+                docs, tokens = want.get((lang, version), (0, 0))
+                want[lang, version] = docs + 1, tokens + n(t or "")
+    assert got == want and len(want) == 8
+
+
 # ------------------------------------------------------------------ quality, toxicity
 
 

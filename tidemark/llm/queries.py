@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
-from tidemark.llm.common import QueryFn, shared_folder, table, written
+from tidemark.llm.common import QueryFn, shared_folder, small_batches, table, written
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Tokenizer versions by their files, and those that need none.
+TOKENIZERS = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.json", "word-bpe-49k": "/opt/tokenizers/word_bpe_49k.json"}
+COUNTERS = {"words-1": token_counts.word_count, "bytes-1": token_counts.byte_count}
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,21 +52,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> Da
     return scored.select("doc_id", F.when(F.col("p_toxic") >= threshold, 1).otherwise(0).alias("toxic"), *[f"p_{c}" for c in TOXIC])
 
 
+def op6_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals as of op6_token_counts, with exact token counts of whole texts by two tokenizer files as versions besides words and bytes."""
+    return _token_totals(spark, sf_dir, COUNTERS | {v: token_counts.tokenizer_count(path) for v, path in TOKENIZERS.items()})
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup with the two versions that SQL can count, words and bytes; op6_tokenizer_counts has those of tokenizers too."""
+    return _token_totals(spark, sf_dir, COUNTERS)
+
+
+def _token_totals(spark: SparkSession, sf_dir: str, counters: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Totals after three batches: estimated counts come in, exact counts revise them (that batch is
-    delivered twice), and later copies of a text are deleted. Two tokenizer versions."""
+    delivered twice), and later copies of a text are deleted. A tokenizer version for each counter."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "text", F.coalesce(F.ceil(F.col("n_chars") / 6), F.lit(0)).cast("long").alias("guess"))
     counted = docs.select(
-        "doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
-        F.explode(F.array(
-            F.struct(F.lit("words-1").alias("tokenizer_version"), F.col("guess").alias("guess"),
-                     token_counts.word_count(F.col("text")).alias("exact")),
-            F.struct(F.lit("bytes-1").alias("tokenizer_version"), F.col("guess").alias("guess"),
-                     token_counts.byte_count(F.col("text")).alias("exact")),
-        )).alias("c"),
-    ).select("doc_id", "source", "lang", "h1", "h2", "c.*")
-    counted = written(counted)
+        "doc_id", "source", "lang", "guess", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
+        *[count(F.col("text")).alias(f"exact_{i}") for i, count in enumerate(counters.values())])
+    counted = counted.select("doc_id", "source", "lang", "h1", "h2", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("tokenizer_version"), F.col("guess").alias("guess"), F.col(f"exact_{i}").alias("exact"))
+        for i, v in enumerate(counters)])).alias("c")).select("doc_id", "source", "lang", "h1", "h2", "c.*")
+    with small_batches(spark):
+        counted = written(counted)
     first = counted.groupBy("h1", "h2", "tokenizer_version").agg(F.min("doc_id").alias("first_id"))
     copies = counted.join(first, ["h1", "h2", "tokenizer_version"]).where("doc_id > first_id")
     keys = ["source", "lang", "tokenizer_version"]
@@ -107,6 +120,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_tokenizer_counts": op6_tokenizer_counts,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import path_exists, rename
 
 KEYS = ("source", "lang", "tokenizer_version")
+PART = 1 << 18  # characters that are encoded at a time
 DELTA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
@@ -42,8 +43,15 @@ def tokenizer_count(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for texts in batches:
-            codes = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-            yield pd.Series([len(c.ids) for c in codes], dtype="int64")
+            texts, counts = texts.fillna("").tolist(), []
+            part, chars = [], 0
+            for i, text in enumerate(texts):
+                part.append(text)
+                chars += len(text)
+                if chars >= PART or i == len(texts) - 1:  # encodings are far larger than texts
+                    counts += [len(c) for c in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                    part, chars = [], 0
+            yield pd.Series(counts, dtype="int64")
 
     return count
 
