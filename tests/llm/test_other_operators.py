@@ -155,12 +155,26 @@ def test_batches_count_once_and_deltas_add_up(spark):
 def test_counts_of_words_bytes_and_pieces(spark):
     texts = [None, "", " a\tb\nc ", "é é", "plain words"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    count = token_counts.tokenizer_count("/opt/tokenizers/byte_bpe_50k.json")
-    rows = df.select("i", token_counts.word_count(F.col("text")), token_counts.byte_count(F.col("text")), count("text")).sort("i").collect()
+    counted = df.select("i", token_counts.word_count(F.col("text")).alias("w"), token_counts.byte_count(F.col("text")).alias("b"), F.lit("x").alias("t"), "text")
+    rows = token_counts.tokenizer_counts(counted, {"t": "/opt/tokenizers/byte_bpe_50k.json"}).sort("i").collect()
     assert [tuple(r)[1:3] for r in rows] == [(0, 0), (0, 0), (3, 7), (2, 5), (2, 11)]
     assert [r[3] for r in rows][:2] == [0, 0] and rows[4][3] == 2
 
 
+def test_counts_of_pieces_add_up_to_those_of_whole_texts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "KNOWN", 500)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
+    texts += ["a  b", " lead", "trail ", "x \u0301y", "a\u00a0b c\x85d", "don't  'tis it's", "\n\n a\n b \n", "<|endoftext|> <|startoftext|>", "e\u0301 \u2003z 12 3.5 \u00b2x", " ", "日本 語\x1c x"]
+    paths = list(queries.TOKENIZERS.values())
+    got = token_counts.piece_counter(paths)(texts)
+    for k, path in enumerate(paths):
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        assert [g[k] for g in got] == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_registered_totals_are_those_of_the_tokenizers(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -226,7 +240,7 @@ def test_quality_without_two_labels_is_constant(spark, ones, score):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/check_h"
+    sf = "/root/testdata/sf0.1"
     scored = queries.op5_toxicity(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("toxic", "y")
     rows = scored.join(labels, "doc_id").where(quality.held_out()).groupBy("y", "toxic").count().collect()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
-from tidemark.llm.common import QueryFn, shared_folder, small_batches, table, written
+from tidemark.llm.common import QueryFn, forget, shared_folder, small_batches, table, written
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -52,41 +52,42 @@ def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> Da
     return scored.select("doc_id", F.when(F.col("p_toxic") >= threshold, 1).otherwise(0).alias("toxic"), *[f"p_{c}" for c in TOXIC])
 
 
-def op6_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals as of op6_token_counts, with exact token counts of whole texts by two tokenizer files as versions besides words and bytes."""
-    return _token_totals(spark, sf_dir, COUNTERS | {v: token_counts.tokenizer_count(path) for v, path in TOKENIZERS.items()})
+def op6_tokenizer_counts(spark: SparkSession, sf_dir: str, tokenizers: Mapping[str, str] = TOKENIZERS) -> DataFrame:
+    """Totals as of op6_token_counts, with exact token counts of whole texts by tokenizer files as versions besides words and bytes."""
+    return _token_totals(spark, sf_dir, tokenizers)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup with the two versions that SQL can count, words and bytes; op6_tokenizer_counts has those of tokenizers too."""
-    return _token_totals(spark, sf_dir, COUNTERS)
+    return _token_totals(spark, sf_dir, {})
 
 
-def _token_totals(spark: SparkSession, sf_dir: str, counters: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _token_totals(spark: SparkSession, sf_dir: str, tokenizers: Mapping[str, str]) -> DataFrame:
     """Totals after three batches: estimated counts come in, exact counts revise them (that batch is
-    delivered twice), and later copies of a text are deleted. A tokenizer version for each counter."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", "text", F.coalesce(F.ceil(F.col("n_chars") / 6), F.lit(0)).cast("long").alias("guess"))
+    delivered twice), and later copies of a text are deleted. A version for each counter and tokenizer."""
+    docs = table(spark, sf_dir, "documents")
     counted = docs.select(
-        "doc_id", "source", "lang", "guess", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
-        *[count(F.col("text")).alias(f"exact_{i}") for i, count in enumerate(counters.values())])
-    counted = counted.select("doc_id", "source", "lang", "h1", "h2", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("tokenizer_version"), F.col("guess").alias("guess"), F.col(f"exact_{i}").alias("exact"))
-        for i, v in enumerate(counters)])).alias("c")).select("doc_id", "source", "lang", "h1", "h2", "c.*")
+        "doc_id", "source", "lang", F.coalesce(F.ceil(F.col("n_chars") / 6), F.lit(0)).cast("long").alias("guess"),
+        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), *[count(F.col("text")).alias(v) for v, count in COUNTERS.items()], "text")
     with small_batches(spark):
-        counted = written(counted)
-    first = counted.groupBy("h1", "h2", "tokenizer_version").agg(F.min("doc_id").alias("first_id"))
-    copies = counted.join(first, ["h1", "h2", "tokenizer_version"]).where("doc_id > first_id")
+        counted = written(token_counts.tokenizer_counts(counted, tokenizers) if tokenizers else counted.drop("text"))
+    # the id is part of the key, so that copies of one text are spread
+    first = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    copies = counted.where("doc_id IS NOT NULL").join(first, ["h1", "h2", "doc_id"], "left_anti")
+    versions = F.explode(F.array(*[
+        F.struct(F.lit(v).alias("tokenizer_version"), F.col(f"`{v}`").alias("exact")) for v in (*COUNTERS, *tokenizers)])).alias("c")
     keys = ["source", "lang", "tokenizer_version"]
+    each = lambda df: df.select("source", "lang", "guess", versions).select("source", "lang", "guess", "c.*")
     nothing = F.lit(None).cast("long")
     store = shared_folder(spark)
-    token_counts.commit(spark, store, "0-insert", counted.select(
+    token_counts.commit(spark, store, "0-insert", each(counted).select(
         F.lit("insert").alias("op"), *keys, nothing.alias("old_tokens"), F.col("guess").alias("new_tokens")))
     for _ in range(2):
-        token_counts.commit(spark, store, "1-revise", counted.select(
+        token_counts.commit(spark, store, "1-revise", each(counted).select(
             F.lit("revise").alias("op"), *keys, F.col("guess").alias("old_tokens"), F.col("exact").alias("new_tokens")))
-    token_counts.commit(spark, store, "2-delete", copies.select(
+    token_counts.commit(spark, store, "2-delete", each(copies).select(
         F.lit("delete").alias("op"), *keys, F.col("exact").alias("old_tokens"), nothing.alias("new_tokens")))
+    forget(counted)
     return token_counts.totals(spark, store)
 
 
@@ -99,10 +100,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
     """Piece ids of every text, and whether decoding returns the text (null: empty)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, model_path), model_path)
-    return decoded.select(
-        "doc_id", "piece_ids", sentencepiece_trie.piece_count().alias("n_pieces"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+    return sentencepiece_trie.round_trip(docs, model_path).select(
+        "doc_id", "piece_ids", sentencepiece_trie.piece_count().alias("n_pieces"), "same")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

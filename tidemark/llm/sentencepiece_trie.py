@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import give_back
 from tidemark.llm.packed import ranges
 
 MARK = "▁"
 #: What a byte piece costs on top of the least score of the vocabulary.
 BYTE_COST = 10.0
-BATCH_BYTES = 2 << 20
-#: A task stops remembering words beyond so many; they are then searched again in each batch.
-KNOWN_WORDS = 100_000
+BATCH_BYTES = 1 << 20
+#: A task stops remembering words beyond so many; they are then searched again in each batch. Longer words are not remembered.
+KNOWN_WORDS, KNOWN_CHARS = 100_000, 40
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ def _encoded(path: str, names: list[str]):
                 coded_new = {w: np.array(ids, np.int32).tobytes() for w, ids in zip(new, encode_words(new, vocabulary), strict=True)}
                 ids = [known.get(w) or coded_new[w] for w in words]
                 if len(known) < KNOWN_WORDS:
-                    known.update(coded_new)
+                    known.update((w, ids) for w, ids in coded_new.items() if len(w) <= KNOWN_CHARS)
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -173,6 +174,12 @@ def _encoded(path: str, names: list[str]):
     return rows
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """Every row of docs with all its columns (but one named piece_ids) and piece_ids, an array of ints.
 
@@ -188,8 +195,31 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Every row with all its columns (but one named decoded) and decoded, the text of piece_ids; null ids are an empty text."""
     encoded = encoded.drop("decoded")
-    names = encoded.columns
+    return encoded.mapInArrow(_decoded(model_path, encoded.columns), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """encode and then decode, by one Python worker for each task; the decoded text is compared, not returned.
+
+    Every row of docs with all its columns but text and those named like the new ones, piece_ids, and
+    same: whether decoding them gives the text (null: empty) back.
+    """
+    docs = docs.drop("piece_ids", "decoded", "same")
+    names = docs.columns
+    kept = [c for c in names if c != "text"]
+    encoded, decoded = _encoded(model_path, names), _decoded(model_path, [*names, "piece_ids"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in decoded(encoded(_slices(batches))):
+            same = pc.equal(part.column("decoded"), pc.fill_null(part.column("text"), ""))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), part.column("piece_ids"), same], names=[*kept, "piece_ids", "same"])
+        give_back()
+
+    fields = [docs.schema[c] for c in kept] + [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())]
+    return docs.mapInArrow(rows, T.StructType(fields))
+
+
+def _decoded(model_path: str, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_bytes(model_path)
         table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
@@ -211,7 +241,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 column = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(rows, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows
 
 
 def piece_count(ids: str = "piece_ids"):

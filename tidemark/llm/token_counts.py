@@ -8,17 +8,24 @@ one step, so a batch that comes again, or is tried again after a lost driver, co
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import path_exists, rename
+from tidemark.llm.common import give_back, path_exists, rename
 
 KEYS = ("source", "lang", "tokenizer_version")
-PART = 1 << 18  # characters that are encoded at a time
+#: Characters and pieces that are encoded at a time.
+PART, PART_PIECES = 1 << 16, 2000
+#: Pieces that a task remembers, and their greatest length.
+KNOWN, KNOWN_CHARS = 1 << 18, 40
 DELTA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
@@ -33,29 +40,76 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def tokenizer_count(path: str):
-    """A Column function that counts tokens with a tokenizers file (path must be readable by executors)."""
+def piece_counter(paths: Sequence[str]) -> Callable[[Sequence[str]], list[tuple[int, ...]]]:
+    """A function of texts that counts each one's tokens by every tokenizers file, exactly.
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        for texts in batches:
-            texts, counts = texts.fillna("").tolist(), []
-            part, chars = [], 0
-            for i, text in enumerate(texts):
-                part.append(text)
-                chars += len(text)
-                if chars >= PART or i == len(texts) - 1:  # encodings are far larger than texts
-                    counts += [len(c) for c in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                    part, chars = [], 0
-            yield pd.Series(counts, dtype="int64")
+    A text is cut before each blank between two other characters. The files' tokenizers cut there
+    themselves, so counts of pieces add up (tests compare with whole texts; a tokenizer whose tokens
+    cross blanks must not be used). What a piece has is remembered, up to KNOWN pieces of up to
+    KNOWN_CHARS characters; all others are counted each time. One thread, one tokenizer at a time.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizers = [Tokenizer.from_file(path) for path in paths]
+    for tokenizer in tokenizers:
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    cut = re.compile(r"(?<=\S)(?= \S)")
+    known: dict[str, tuple[int, ...]] = {}
+
+    def counted(pieces: list[str]) -> Iterator[tuple[int, ...]]:
+        """Counts of the pieces; encodings are far larger than texts, so a part at a time."""
+        first = 0
+        while first < len(pieces):
+            last, chars = first, 0
+            while last < len(pieces) and last - first < PART_PIECES and (chars < PART or last == first):
+                chars += len(pieces[last])
+                last += 1
+            part = pieces[first:last]
+            yield from zip(*([len(e) for e in t.encode_batch_fast(part, add_special_tokens=False)] for t in tokenizers), strict=True)
+            first = last
+
+    def count(texts: Sequence[str]) -> list[tuple[int, ...]]:
+        out = []
+        for text in texts:
+            many = Counter(cut.split(text)) if text else {}
+            new = [p for p in many if p not in known]
+            found = dict(zip(new, counted(new), strict=True))
+            total = [0] * len(tokenizers)
+            for piece, times in many.items():
+                for i, n in enumerate(found.get(piece) or known[piece]):
+                    total[i] += n * times
+            if len(known) < KNOWN:
+                known.update((p, n) for p, n in found.items() if len(p) <= KNOWN_CHARS)
+            out.append(tuple(total))
+        return out
 
     return count
 
 
+def tokenizer_counts(docs: DataFrame, paths: Mapping[str, str], text: str = "text") -> DataFrame:
+    """docs without its text column and with a long column for each name of paths: tokens by that tokenizers file.
+
+    Null and empty texts have none. paths must be readable by every executor. Columns of docs named
+    like a new one are replaced. One Python worker for each task counts by all tokenizers.
+    """
+    kept = [c for c in docs.columns if c not in (text, *paths)]
+    files = list(paths.values())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piece_counter(files)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                counts = count([t or "" for t in part.column(text).to_pylist()])
+                columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(files))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=[*kept, *paths])
+        give_back()
+
+    fields = [docs.schema[c] for c in kept] + [T.StructField(name, T.LongType()) for name in paths]
+    return docs.select(*kept, text).mapInArrow(rows, T.StructType(fields))
+
+
 def signed_deltas(changes: DataFrame) -> DataFrame:
     """Additive deltas of changes (op, source, lang, tokenizer_version, old_tokens, new_tokens).
 
