@@ -8,10 +8,9 @@ and tables are handled as the operators' docstrings say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, quality, sentencepiece_trie, substring_dedup
-from tidemark.llm.common import table, written
+from tidemark.llm.common import forget, table, written
 from tidemark.llm.queries import PIECES
 
 
@@ -38,10 +37,8 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = PIECES) -> DataFrame:
     """doc_id, lang, source, piece_ids, n_pieces, and whether the pieces give the text back."""
-    decoded = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, model_path), model_path)
-    return decoded.select(
-        "doc_id", "lang", "source", "piece_ids", sentencepiece_trie.piece_count().alias("n_pieces"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+    return sentencepiece_trie.round_trip(docs, model_path).select(
+        "doc_id", "lang", "source", "piece_ids", sentencepiece_trie.piece_count().alias("n_pieces"), "same")
 
 
 STAGES = [
@@ -57,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
