@@ -166,9 +166,9 @@ def test_counts_of_pieces_add_up_to_those_of_whole_texts(spark, monkeypatch):
 
     monkeypatch.setattr(token_counts, "KNOWN", 500)
     texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
-    texts += ["a  b", " lead", "trail ", "x \u0301y", "a\u00a0b c\x85d", "don't  'tis it's", "\n\n a\n b \n", "<|endoftext|> <|startoftext|>", "e\u0301 \u2003z 12 3.5 \u00b2x", " ", "日本 語\x1c x"]
+    texts += ["a  b", " lead", "trail ", "x \u0301y", "a\u00a0b c\x85d", "don't  'tis it's", "\n\n a\n b \n", "<|endoftext|> <|startoftext|>", "e\u0301 \u2003z 12 3.5 \u00b2x", " ", "日本 語\x1c x", "end.\nNext, don't!\nx. y", "\nlead\n", "a.\n\nb", "a.b.\tc", "...", "x...", "é! ²."]
     paths = list(queries.TOKENIZERS.values())
-    got = token_counts.piece_counter(paths)(texts)
+    got = token_counts.PieceCounter(paths)(texts)
     for k, path in enumerate(paths):
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True

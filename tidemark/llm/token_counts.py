@@ -12,7 +12,8 @@ import os
 import re
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,11 @@ KEYS = ("source", "lang", "tokenizer_version")
 #: Characters and pieces that are encoded at a time.
 PART, PART_PIECES = 1 << 16, 2000
 #: Pieces that a task remembers, and their greatest length.
-KNOWN, KNOWN_CHARS = 1 << 18, 40
+KNOWN, KNOWN_CHARS = 1 << 19, 40
+#: Bits of a tokenizer's count in a number that holds those of all.
+DIGITS = 48
+#: Whether white space follows white space, and the cut before each blank between two other characters.
+SPACES, CUT = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
 DELTA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
@@ -40,24 +45,52 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def piece_counter(paths: Sequence[str]) -> Callable[[Sequence[str]], list[tuple[int, ...]]]:
-    """A function of texts that counts each one's tokens by every tokenizers file, exactly.
+class PieceCounter:
+    """Counts texts' tokens by every tokenizers file, exactly, from the counts of pieces.
 
-    A text is cut before each blank between two other characters. The files' tokenizers cut there
-    themselves, so counts of pieces add up (tests compare with whole texts; a tokenizer whose tokens
-    cross blanks must not be used). What a piece has is remembered, up to KNOWN pieces of up to
-    KNOWN_CHARS characters; all others are counted each time. One thread, one tokenizer at a time.
+    A text is cut before each blank between two other characters, and what lies between is cut at single
+    line feeds and before a mark that ends it after a letter. The files' tokenizers cut there themselves,
+    so counts add up (tests compare with whole texts; a tokenizer whose tokens cross such places must not
+    be used). What a piece has is remembered, up to KNOWN pieces of up to KNOWN_CHARS characters; all
+    others are counted each time. One thread, one tokenizer at a time.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizers = [Tokenizer.from_file(path) for path in paths]
-    for tokenizer in tokenizers:
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    cut = re.compile(r"(?<=\S)(?= \S)")
-    known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, paths: Sequence[str]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizers = [Tokenizer.from_file(path) for path in paths]
+        for tokenizer in self.tokenizers:
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, int] = {}  # the counts by all tokenizers as digits of one number
+
+    @staticmethod
+    def pieces(text: str) -> Counter:
+        if SPACES(text) or text[:1].isspace() or text[-1:].isspace():
+            return Counter(CUT(text))
+        first, *rest = text.split(" ")
+        many = Counter({f" {p}": n for p, n in Counter(rest).items()})
+        many[first] += 1
+        return many
+
+    @staticmethod
+    def parts(piece: str) -> list[str]:
+        """Smaller pieces whose counts add up to the piece's."""
+        if piece[-1].isalpha() and "\n" not in piece:
+            return [piece]
+        if SPACES(piece) or piece[-1].isspace() or piece[0] == "\n":
+            return [piece]
+        out = []
+        for line in piece.split("\n"):
+            if out:
+                out.append("\n")
+            if len(line) > 1 and line[-1] in ".,;:!?" and line[-2].isalpha():
+                out += [line[:-1], line[-1]]
+            else:
+                out.append(line)
+        return out
 
-    def counted(pieces: list[str]) -> Iterator[tuple[int, ...]]:
+    def encoded(self, pieces: list[str]) -> Iterator[int]:
         """Counts of the pieces; encodings are far larger than texts, so a part at a time."""
         first = 0
         while first < len(pieces):
@@ -66,25 +99,27 @@ def piece_counter(paths: Sequence[str]) -> Callable[[Sequence[str]], list[tuple[
                 chars += len(pieces[last])
                 last += 1
             part = pieces[first:last]
-            yield from zip(*([len(e) for e in t.encode_batch_fast(part, add_special_tokens=False)] for t in tokenizers), strict=True)
+            counts = [0] * len(part)
+            for i, tokenizer in enumerate(self.tokenizers):
+                counts = [n + (len(e) << DIGITS * i) for n, e in zip(counts, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)]
+            yield from counts
             first = last
 
-    def count(texts: Sequence[str]) -> list[tuple[int, ...]]:
-        out = []
-        for text in texts:
-            many = Counter(cut.split(text)) if text else {}
-            new = [p for p in many if p not in known]
-            found = dict(zip(new, counted(new), strict=True))
-            total = [0] * len(tokenizers)
-            for piece, times in many.items():
-                for i, n in enumerate(found.get(piece) or known[piece]):
-                    total[i] += n * times
-            if len(known) < KNOWN:
-                known.update((p, n) for p, n in found.items() if len(p) <= KNOWN_CHARS)
-            out.append(tuple(total))
-        return out
-
-    return count
+    def __call__(self, texts: Sequence[str]) -> list[tuple[int, ...]]:
+        known, count_of = self.known, self.known.__getitem__
+        counted = [self.pieces(t) if t else Counter() for t in texts]
+        new = {p: self.parts(p) for many in counted for p in many if p not in known}
+        wanted = list({q for parts in new.values() for q in parts if q not in known})
+        known.update(zip(wanted, self.encoded(wanted), strict=True))
+        for piece, parts in new.items():
+            if len(parts) > 1:
+                known[piece] = sum(map(count_of, parts))
+        totals = [sum(map(mul, map(count_of, many), many.values())) for many in counted]
+        full = len(known) > KNOWN
+        for piece in (*new, *wanted):
+            if full or len(piece) > KNOWN_CHARS:
+                known.pop(piece, None)
+        return [tuple(n >> DIGITS * i & (1 << DIGITS) - 1 for i in range(len(self.tokenizers))) for n in totals]
 
 
 def tokenizer_counts(docs: DataFrame, paths: Mapping[str, str], text: str = "text") -> DataFrame:
@@ -97,10 +132,10 @@ def tokenizer_counts(docs: DataFrame, paths: Mapping[str, str], text: str = "tex
     files = list(paths.values())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piece_counter(files)
+        count = PieceCounter(files)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                part = batch.slice(lo, 100)
+            for lo in range(0, batch.num_rows, 50):
+                part = batch.slice(lo, 50)
                 counts = count([t or "" for t in part.column(text).to_pylist()])
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(files))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=[*kept, *paths])
