@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from tidemark.llm.license_scan import BASE, BASE_CONFIDENCE, CONFIDENCE, license_rules
 from tidemark.llm.url_filters import RULES, Spread
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,6 +126,74 @@ SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) A
 FROM nodes JOIN reach ON reach.a = id LEFT JOIN n ON n.doc_id = id GROUP BY id
 """
 
+
+
+def _op11(phrases: Sequence[tuple[str, str]] = BASE) -> str:
+    """Base places by position in the list of words; rules by the pieces between their matches."""
+    rules = ", ".join(f"({i}, '{r.label}', '{r.keyword}', '{r.pattern}', {r.priority})" for i, r in enumerate(license_rules()))
+    sure = "CASE priority " + " ".join(f"WHEN {p} THEN {c}" for p, c in CONFIDENCE.items()) + " END"
+    places = " UNION ALL ".join(
+        f"SELECT id, '{label}' AS label, p FROM (SELECT id, w, unnest(range(1, len(w) - {n - 2})) AS p FROM t WHERE len(w) >= {n}) "
+        f"WHERE w[p:p + {n - 1}] = [{', '.join(repr(x) for x in phrase.split())}]"
+        for phrase, label in phrases for n in [len(phrase.split())])
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_ascii_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS ({places}),
+base AS (SELECT id, count(*) AS n, min(p) - 1 AS first_word, max(p) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY id),
+rules(number, label, keyword, pattern, priority) AS (VALUES {rules}),
+lines AS (SELECT id, ' ' || array_to_string(w, '  ') || ' ' AS line, ' ' || array_to_string(w, ' ') || ' ' AS single FROM t WHERE len(w) > 0),
+ran AS (SELECT id, number, label, priority, regexp_extract_all(line, ' ' || replace(pattern, ' ', '  ') || ' ') AS found, string_split_regex(line, ' ' || replace(pattern, ' ', '  ') || ' ') AS rest
+        FROM lines JOIN rules ON contains(single, keyword)),
+hit AS (SELECT * FROM ran WHERE len(found) > 0),
+k AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM hit),
+d AS (SELECT id, number, label, priority, list_sum([length(x) FOR x IN rest[1:k]]) + coalesce(list_sum([length(x) FOR x IN found[1:k - 1]]), 0) AS s, length(found[k]) AS n FROM k),
+kept AS (SELECT * FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.id = a.id AND b.number <> a.number AND b.s <= a.s AND b.s + b.n >= a.s + a.n AND b.priority >= a.priority
+         AND (b.priority > a.priority OR b.n > a.n OR b.number < a.number))),
+more AS (SELECT id, list(DISTINCT label) AS labels, max({sure})::DOUBLE AS score FROM kept GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       greatest(CASE WHEN base.n > 0 THEN {BASE_CONFIDENCE} ELSE 0 END, coalesce(more.score, 0))::DOUBLE AS score
+FROM t LEFT JOIN base USING (id) LEFT JOIN more USING (id)
+"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ascii_lower("text")}, '{TERM}') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_ascii_lower("text")}, '{TERM}')) AS t FROM benchmark),
+f AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+g AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+      FROM q JOIN f USING (t) JOIN g USING (t), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+#: crc32 of a decimal number, bit by bit.
+CRC32 = """(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+  lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda b, i: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)))"""
+OP13 = f"""
+WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+                    md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS s, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS hub, xor({CRC32}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+again AS (SELECT c.conv_id, own.i, s, n, 0 AS mine FROM c JOIN own ON own.conv_id = c.hub AND own.i < h
+         UNION ALL SELECT conv_id, own.i, s, n, 1 FROM c JOIN own USING (conv_id) WHERE own.i >= h),
+t AS (SELECT conv_id, row_number() OVER w AS depth, n, md5(string_agg(s, '') OVER w) AS k FROM again WINDOW w AS (PARTITION BY conv_id ORDER BY mine, i)),
+p AS (SELECT conv_id, depth, n, k FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id),
+ends AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS x FROM e GROUP BY k),
+node AS (SELECT k, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(n) AS n, count(*) AS n_convs FROM p GROUP BY k),
+up AS (SELECT a.k, a.conv_id, a.depth, a.n_convs, a.n, b.k AS above FROM node a LEFT JOIN p b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1),
+kids AS (SELECT above AS k, count(*) AS n_children FROM up WHERE above IS NOT NULL GROUP BY above),
+sub AS (SELECT b.k AS top, sum((a.n_convs - 1) * a.n) AS saved, count(*) FILTER (kids.k IS NULL) AS n_leaves
+        FROM node a JOIN p b ON b.conv_id = a.conv_id AND b.depth <= a.depth LEFT JOIN kids ON kids.k = a.k GROUP BY b.k)
+SELECT u.conv_id, u.depth, parent.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens,
+       coalesce(ends.x, sha256('')) AS ends_sha256
+FROM up u LEFT JOIN node parent ON parent.k = u.above LEFT JOIN kids ON kids.k = u.k LEFT JOIN ends ON ends.k = u.k JOIN sub ON sub.top = u.k
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_url_filters": _op2(),
@@ -131,4 +202,7 @@ ORACLES: dict[str, str] = {
     "op6_token_counts": OP6,
     "op7_substring_dedup": OP7,
     "op10_jaccard_join": OP10,
+    "op11_license_scan": _op11(),
+    "op12_lexical_search": OP12,
+    "op13_prefix_trie": OP13,
 }

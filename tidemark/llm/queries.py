@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, quality, sentencepiece_trie, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
+from tidemark.llm import (
+    decontaminate, embedding_dedup, jaccard_join, lexical_search, license_scan, prefix_trie, quality, sentencepiece_trie, substring_dedup, suffix_dedup,
+    token_counts, toxicity, url_filters,
+)
 from tidemark.llm.common import QueryFn, forget, shared_folder, small_batches, table, written
 
 
@@ -113,6 +116,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases and all license labels of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
@@ -125,4 +143,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_quality": op8_quality,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_license_scan": op11_license_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
