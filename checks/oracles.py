@@ -292,6 +292,21 @@ oracle("eth_features", f"SELECT chain, date, {Rs(ETH, 2)} FROM eth_day")
 oracle("features_all_chains", f"SELECT chain, date, {Rs(ALL, 2)} FROM all_day")
 _valid = f"SELECT chain, date, {Rs([*ALL, 'close'], 2)}, TRUE AS is_valid FROM checked_day WHERE invalid_reason IS NULL AND "
 oracle("features_date_range", _valid + "date BETWEEN DATE '1996-01-01' AND DATE '2024-01-15'")
+oracle("incremental_build", f"""
+SELECT chain, date, {Rs([*ETH], 2)}, {R("CASE WHEN date = DATE '2024-01-05' THEN -1.0E0 ELSE close END", "close", 2)},
+  invalid_reason IS NULL AS is_valid, invalid_reason FROM checked_day WHERE chain = 'ETH'""")
+oracle("raw_folders_united", """
+SELECT chain, date, COUNT(*) AS n_rows, COUNT(CASE WHEN date < DATE '2024-01-11' THEN value END) AS n_value,
+  COUNT(CASE WHEN date >= DATE '2024-01-11' THEN gas_price END) AS n_gas_price,
+  COUNT(CASE WHEN date >= DATE '2024-01-11' THEN input END) AS n_input, COUNT(DISTINCT from_address) AS n_senders
+FROM eth_tx WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' GROUP BY chain, date""")
+oracle("retention_to_the_day", f"SELECT chain, date, {Rs(ALL, 2)} FROM all_day WHERE date >= DATE '2000-05-17'")
+_twice = ["whale_flow_1d * CASE WHEN date >= DATE '2000-01-01' THEN 2 ELSE 1 END", *ALL[1:]]
+oracle("atomic_replace", f"""
+SELECT chain, date, {Rs(ALL, 2)}, 1 AS version FROM all_day
+UNION ALL
+SELECT chain, date, {", ".join(R(e, n, 2) for e, n in zip(_twice, ALL))}, 2 FROM all_day
+WHERE date < DATE '2000-01-01' OR EXTRACT(DAY FROM date) <= 20""")
 oracle("features_of_day", _valid + "date = DATE '1997-06-02'")
 
 # ------------------------------------------------------------------ normalisation, training data
@@ -444,6 +459,8 @@ SELECT f.chain, f.date, {R("f.score", "risk_score")}, f.regime, {state("f.score"
   {", ".join(R("i." + n, n) for n in ("whale_index", "stress_index", "momentum_score"))}
 FROM folded f JOIN indexed i ON i.chain = f.chain AND i.date = f.date""", recursive=True)
 
+ORACLES["signals_rerun"] = ORACLES["signals_backfill"]
+
 
 def step_ctes(prefix: str, source: str) -> None:
     """Look-back of every target day over a table of stored signals."""
@@ -640,3 +657,7 @@ oracle("train_score", """
 SELECT d.chain, d.date, l.target::INTEGER AS y, TRUE AS score_ok FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date
 WHERE l.target IS NOT NULL AND (d.chain = 'BTC' AND d.date BETWEEN DATE '2000-01-01' AND DATE '2001-12-31'
   OR d.chain = 'ETH' AND d.date BETWEEN DATE '2024-01-07' AND DATE '2024-01-31')""")
+oracle("training_evidence", """
+SELECT d.chain, COUNT(*) FILTER (d.chain = 'BTC' AND d.date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' OR d.chain = 'ETH' AND d.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-06') AS n_train,
+  CASE d.chain WHEN 'BTC' THEN 7 ELSE 6 END::BIGINT AS n_params, TRUE AS learns, TRUE AS same_auc, TRUE AS keeps_best, TRUE AS stops
+FROM all_day d JOIN labelled l ON l.chain = d.chain AND l.date = d.date WHERE l.target IS NOT NULL GROUP BY d.chain""")

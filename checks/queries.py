@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from checks.inputs import load, table
 from tidemark import spec
-from tidemark.functions.lineage import cut_lineage
+from tidemark.functions.lineage import cut_lineage, work_folder
 from tidemark.functions.values import feature_or_neutral, known_chain, normal_chain, score_or_neutral, to_date
 from tidemark.operators import alerts as alert_ops
 from tidemark.operators import metrics, model, normalize, quality, signals, training_data
@@ -18,8 +20,8 @@ from tidemark.operators.btc import BtcFeatures, BtcMinimalFeatures, mean_block_s
 from tidemark.operators.eth import EthFeatures, whale_flow_unit
 from tidemark.operators.features import daily_features, select_expected
 from tidemark.plans import features as feature_plans
-from tidemark.plans import reports, training
-from tidemark.sources import raw, store, worklist
+from tidemark.plans import inference, reports, training
+from tidemark.sources import raw, snapshots, store, worklist
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,6 +312,47 @@ def features_date_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feature_plans.features_between(days, dt.date(1996, 1, 1), dt.date(2024, 1, 15), AS_OF.date()), 2).drop("invalid_reason")
 
 
+def raw_folders(spark: SparkSession, sf: str) -> tuple[str, dict[str, StructType]]:
+    """The ETH tables as day folders, and their schemas."""
+    root, schemas = work_folder(spark), {}
+    for name, rows in (("blocks", "eth_blocks"), ("transactions", "eth_tx")):
+        df = load(spark, sf, rows).drop("chain")
+        df.repartition("date").write.partitionBy("date").parquet(raw.raw_path(root, "ETH", name))
+        schemas[name] = StructType([f for f in df.schema.fields if f.name != "date"] + [StructField("date", DateType())])
+    return root, schemas
+
+
+@query
+def incremental_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Days are built up to the 20th and then up to the end; the second run reads and computes new days, and one stored as invalid, only."""
+    root, schemas = raw_folders(spark, sf)
+    path, prices = work_folder(spark), load(spark, sf, "prices")
+    spine = whole_spine(spark, sf).where("chain = 'ETH'")
+    run = partial(feature_plans.build_missing_days, spark, root, path, spine, prices, dt.date(2024, 1, 1), schemas={"ETH": schemas})
+    run(end=dt.date(2024, 1, 20))
+    schema = feature_plans.daily_schema(EthFeatures().names)
+    marked = snapshots.read_days(spark, path, schema, dt.date(2024, 1, 5), dt.date(2024, 1, 10)).where("day(date) IN (5, 10)")
+    marked = marked.withColumns({"close": F.lit(-1.0), "is_valid": F.dayofmonth("date") == 5})
+    snapshots.replace_days(marked, path)
+    run(end=dt.date(2024, 1, 31))
+    return rounded(snapshots.read_days(spark, path, schema), 2)
+
+
+@query
+def raw_folders_united(spark: SparkSession, sf: str) -> DataFrame:
+    """Day folders whose files lack columns or have others: columns are united by name, footers of the range only are read."""
+    root = work_folder(spark)
+    path, rows = raw.raw_path(root, "ETH", "transactions"), load(spark, sf, "eth_tx").drop("chain")
+    early = F.col("date") < F.lit(dt.date(2024, 1, 11))
+    for part, columns in ((early, ["date", "value", "from_address"]), (~early, ["date", "from_address", "gas_price", "input"])):
+        rows.where(part).select(*columns).repartition("date").write.mode("append").partitionBy("date").parquet(path)
+    spark.createDataFrame([("text",)], "from_address string").write.text(f"{path}/date=2023-12-01")  # outside the range: never opened
+    scan = raw.scan_raw(spark, root, "ETH", "transactions", dt.date(2024, 1, 3), dt.date(2024, 1, 25))
+    return scan.groupBy("chain", "date").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n_value"), F.count("gas_price").alias("n_gas_price"),
+        F.count("input").alias("n_input"), F.countDistinct("from_address").alias("n_senders"))
+
+
 @query
 def features_of_day(spark: SparkSession, sf: str) -> DataFrame:
     days = checked_days(spark, sf)
@@ -579,6 +622,23 @@ def signals_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(signals.backfill(scored_days(spark, sf), RULES, created_after_hours=27.0))
 
 
+#: Late days that are computed again, oldest first; between them all days of both chains.
+RERUNS = (dt.date(2000, 1, 1), dt.date(2024, 1, 20))
+
+
+@query
+def signals_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """The series is stored with wrong scores on late days, which then are computed again on top of what is stored before."""
+    targets, path = cut_lineage(scored_days(spark, sf)), work_folder(spark)
+    late = (F.col("chain") == "BTC") & (F.col("date") >= F.lit(RERUNS[0])) | (F.col("date") >= F.lit(RERUNS[1]))
+    wrong = targets.withColumn("raw_score", F.when(late, 100.0 - F.col("raw_score")).otherwise(F.col("raw_score")))
+    first = signals.backfill(wrong, RULES, created_after_hours=27.0).withColumn("created_at", stored_at())
+    snapshots.replace_days(first.select(*store.DAILY_SIGNALS.fieldNames()), path)
+    for since, chain in zip(RERUNS, ("BTC", "ETH"), strict=True):
+        inference.rerun_signals(spark, targets.where(F.col("chain") == chain), path, since, 27.0, RULES)
+    return rounded(snapshots.read_days(spark, path, store.DAILY_SIGNALS).drop("created_at"))
+
+
 @query
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return alert_ops.alert_rows(stored_signals(spark, sf), WHOLE_SERIES_GAP)
@@ -694,6 +754,28 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("chain").agg(F.count("*").alias("n_days"), F.min("date").alias("first_day"))
 
 
+@query
+def retention_to_the_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Days are stored, those before a day within a month are dropped, and the table is read back."""
+    path, days = work_folder(spark), select_expected(all_days(spark, sf), spec.ALL_FEATURES)
+    snapshots.replace_days(days, path)
+    snapshots.drop_before(spark, path, days.schema, dt.date(2000, 5, 17))
+    return rounded(snapshots.read_days(spark, path, days.schema), 2)
+
+
+@query
+def atomic_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of the stored days, read by number, beside a commit that was broken off."""
+    path, days = work_folder(spark), cut_lineage(select_expected(all_days(spark, sf), spec.ALL_FEATURES))
+    revised = _since(days, RERUN_FROM).withColumn("whale_flow_1d", F.col("whale_flow_1d") * 2)
+    first = snapshots.replace_days(days, path)
+    second = snapshots.replace_days(revised.where("day(date) <= 20"), path, RERUN_FROM)
+    snapshots.write_parts(days.withColumn("whale_flow_1d", F.lit(-1.0)), path)  # never published
+    both = [snapshots.read_days(spark, path, days.schema, version=v).withColumn("version", F.lit(n)) for n, v in ((1, first), (2, None))]
+    assert snapshots.versions(spark, path) == [first, second]
+    return rounded(both[0].unionByName(both[1]), 2)
+
+
 # ------------------------------------------------------------------ reports
 
 
@@ -836,15 +918,41 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ model
 
 
+TREES = model.ModelConfig(trees=8, max_depth=4, chunk=4)
+SIDES = {"BTC": SPLIT, "ETH": ETH_SPLIT}
+
+
 @query
 def train_score(spark: SparkSession, sf: str) -> DataFrame:
     """Fits on the train days of each chain and scores its validation days: a score is finite and in [0, 100]."""
-    config = model.ModelConfig(trees=8, max_depth=4)
     days = cut_lineage(labelled_days(spark, sf))
-    parts = [
-        training.train_chain(days, chain, spec.FEATURES_BY_CHAIN[chain], dates, config).validation
-        for chain, dates in (("BTC", SPLIT), ("ETH", ETH_SPLIT))
-    ]
+    done = training.at_once(lambda c: training.train_chain(days, c, spec.FEATURES_BY_CHAIN[c], SIDES[c], TREES).validation, list(SIDES))
     sound = F.coalesce(F.col("raw_score").between(0.0, 100.0), F.lit(False)) & ~F.isnan("raw_score")
-    picked = [p.select("chain", "date", F.col("y").cast("int").alias("y"), sound.alias("score_ok")) for p in parts]
-    return picked[0].unionByName(picked[1])
+    picked = [p.select("chain", "date", F.col("y").cast("int").alias("y"), sound.alias("score_ok")) for p in done.values()]
+    return raw.union_by_name(*picked)
+
+
+@query
+def training_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What the fits of both chains show: they separate their train days, stop in time and keep the best trees."""
+    days = cut_lineage(labelled_days(spark, sf))
+    config = model.ModelConfig(trees=12, max_depth=4, learning_rate=0.3, chunk=3, patience=3)
+
+    def shown(chain: str) -> DataFrame:
+        names, dates = spec.FEATURES_BY_CHAIN[chain], SIDES[chain]
+        split = cut_lineage(training_data.train_val_split(days.where(F.col("chain") == chain), dates))
+        fitted, params = training.prepare(split, names)
+        fitted = cut_lineage(fitted)
+        boosting = model.boost(fitted, names, config)
+        kept = model.best_iteration(boosting.model)
+        scored = model.risk_scores(boosting.model, fitted)
+        auc = metrics.roc_auc(scored.withColumns({"y": F.col("target"), "p": F.col("raw_score") / 100.0}), ["chain", "split"])
+        by_side = {r["split"]: r["auc"] for r in auc.collect()}
+        again = boosting.aucs[kept - 1]
+        row = (
+            chain, fitted.where("split = 'train'").count(), params.count(), by_side["train"] is not None and by_side["train"] > 0.65,
+            again is None or abs(again - by_side["validation"]) < 1e-9, kept == (model.best_prefix(boosting.aucs, 3) or boosting.fitted),
+            boosting.fitted <= kept + config.patience + config.chunk)
+        return spark.createDataFrame([row], "chain string, n_train long, n_params long, learns boolean, same_auc boolean, keeps_best boolean, stops boolean")
+
+    return raw.union_by_name(*training.at_once(shown, list(SIDES)).values())

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import random
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark import SparkContext
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import spec
+from tidemark.functions.lineage import Settled
 from tidemark.functions.ranks import rank_auc
 from tidemark.functions.values import check_chain, clamp, finite_or_null
 from tidemark.sources.store import latest_per_key
@@ -24,7 +27,8 @@ from tidemark.sources.store import latest_per_key
 class ModelConfig:
     """Defaults of the classifier; ``max_depth`` -1 (no limit) becomes Spark's limit of 30.
 
-    ``patience``: trees without a better AUC on the validation rows after which the rest is cut; None keeps all.
+    ``patience``: trees without a better AUC on the validation rows after which no more are fitted; None fits all.
+    ``chunk``: trees between two looks at that AUC. ``column_share``: of the features, drawn for each tree.
     """
 
     trees: int = 500
@@ -33,15 +37,23 @@ class ModelConfig:
     row_share: float = 0.8
     column_share: float = 0.8
     patience: int | None = 50
+    chunk: int = 10
     seed: int = 42
 
 
-def _classifier(config: ModelConfig) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=config.trees,
-        maxDepth=30 if config.max_depth < 0 else config.max_depth, stepSize=config.learning_rate,
-        subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share), seed=config.seed,
-    )
+@dataclass(frozen=True)
+class Boosting:
+    """A fitted model, the number of trees that were fitted for it, and the validation AUC after each of them."""
+
+    model: PipelineModel
+    fitted: int
+    aucs: tuple[float | None, ...]
+
+
+def tree_columns(config: ModelConfig, tree: int, n: int) -> list[int]:
+    """The features that a tree may split on, drawn once for the whole tree."""
+    k = max(1, round(config.column_share * n))
+    return sorted(random.Random(config.seed * 1_000_003 + tree).sample(range(n), k))
 
 
 def train(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig(), split: str | None = "split",
@@ -50,60 +62,75 @@ def train(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig
 
     Features must be scaled and without missing values.
     """
+    return boost(df, names, config, split, label).model
+
+
+def boost(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig(), split: str | None = "split",
+          label: str = "target") -> Boosting:
+    """Gradient boosting of regression trees on the logistic loss, a chunk of trees at a time.
+
+    Rows carry their margin. Each tree is fitted to the loss's gradient on a share of the train rows and
+    of the features, and only its own output is added to the margins. After a chunk the rows are written,
+    with one margin for each new tree for the validation rows, whose AUC then tells whether to go on:
+    once the best is ``patience`` trees back, no further chunk is fitted and the trees past it are cut.
+    """
+    n = len(names)
     rows = df.withColumn("label", F.col(label).cast("double"))
+    late = F.lit(False) if split is None else F.coalesce(F.col(split) == "validation", F.lit(False))
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
-    mine = rows if split is None else rows.where(F.col(split) != "validation")
-    model = Pipeline(stages=[assembler, _classifier(config)]).fit(mine)
-    if split is None or config.patience is None:
-        return model
-    aucs = staged_auc(model, rows.where(F.col(split) == "validation"), "label").orderBy("trees").collect()
-    keep = best_prefix([r["auc"] for r in aucs], config.patience)
-    return first_trees(model, keep) if keep else model
-
-
-def _tree_arrays(node, arrays: list[list]) -> int:
-    """Adds a tree's nodes to parallel lists (feature, limit, left, right, value); returns its place."""
-    feature, limit, left, right, value = arrays
-    place = len(feature)
-    for column, item in zip(arrays, (-1, 0.0, -1, -1, node.prediction())):
-        column.append(item)
-    if node.subtreeDepth() > 0:
-        split = node.split()
-        feature[place], limit[place] = split.featureIndex(), split.threshold()
-        left[place] = _tree_arrays(node.leftChild(), arrays)
-        right[place] = _tree_arrays(node.rightChild(), arrays)
-    return place
-
-
-def staged_auc(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
-    """(trees, auc) on the rows for every number of leading trees, from one plan."""
-    boosted = model.stages[-1]
-    weights = list(boosted.treeWeights)
-    trees = []
-    for tree in boosted._java_obj.trees():
-        arrays: list[list] = [[], [], [], [], []]
-        _tree_arrays(tree.rootNode(), arrays)
-        trees.append(tuple(arrays))
-
-    @F.pandas_udf("array<double>")
-    def margins(features: pd.Series) -> pd.Series:
-        x = np.array(features.tolist(), dtype=float).reshape(len(features), -1)
-        total, out = np.zeros(len(x)), []
-        for weight, arrays in zip(weights, trees):
-            feature, limit, left, right, value = (np.array(a) for a in arrays)
-            at = np.zeros(len(x), dtype=int)
-            while (feature[at] >= 0).any():
-                inner = feature[at] >= 0
-                go_left = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= limit[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total = total + weight * value[at]
-            out.append(total)
-        return pd.Series(list(np.stack(out, axis=1)))
-
-    vectors = model.stages[0].transform(rows).select(label, vector_to_array("features").alias("_x"))
-    staged = vectors.select(label, F.posexplode(margins("_x")).alias("_k", "_m"))
-    staged = staged.select(label, (F.col("_k") + 1).alias("trees"), (1.0 / (1.0 + F.exp(-2.0 * F.col("_m")))).alias("_p"))
-    return rank_auc(staged, ["trees"], label, "_p")
+    wide = assembler.transform(rows.select(*names, "label", late.alias("late"))).select("features", "label", "late")
+    none = F.array().cast("array<double>")
+    states = Settled(df.sparkSession)
+    state = states.write(wide.withColumns({"x": vector_to_array("features"), "margin": F.lit(0.0), "staged": none}))
+    watched = split is not None and config.patience is not None
+    trees, weights, aucs = [], [], []
+    y = 2.0 * F.col("label") - 1.0
+    while len(trees) < config.trees:
+        chunk = range(len(trees), min(len(trees) + config.chunk, config.trees))
+        for t in chunk:
+            weight = config.learning_rate if t else 1.0
+            gradient = 4.0 * y / (1.0 + F.exp(2.0 * y * F.col("margin"))) if t else y
+            mine = set(tree_columns(config, t, n))
+            seen = array_to_vector(F.array(*[F.col("x")[i] if i in mine else F.lit(0.0) for i in range(n)]))
+            share = F.pmod(F.xxhash64("x", "label", F.lit(config.seed + t)), F.lit(1 << 20)) < int(config.row_share * (1 << 20))
+            learner = DecisionTreeRegressor(
+                featuresCol="seen", labelCol="gradient", maxDepth=30 if config.max_depth < 0 else config.max_depth, seed=config.seed + t)
+            tree = learner.fit(state.where(~F.col("late") & share).select(seen.alias("seen"), gradient.alias("gradient")))
+            state = tree.setFeaturesCol("features").setPredictionCol("tree").transform(state)
+            state = state.withColumn("margin", F.col("margin") + weight * F.col("tree")).drop("tree")
+            if watched:
+                state = state.withColumn("staged", F.when(F.col("late"), F.concat("staged", F.array("margin"))).otherwise(F.col("staged")))
+            trees.append(tree._java_obj)
+            weights.append(weight)
+        state = states.write(state)
+        if watched:
+            aucs += _staged_aucs(state, len(chunk))
+            state = state.withColumn("staged", none)
+            best = best_prefix(aucs, config.patience)
+            if len(aucs) - best >= config.patience:
+                break
+    states.close()
+    keep = (best_prefix(aucs, config.patience) if watched else 0) or len(trees)
+    return Boosting(PipelineModel([assembler, _of_trees(trees[:keep], weights[:keep])]), len(trees), tuple(aucs))
+
+
+def _staged_aucs(state: DataFrame, n: int) -> list[float | None]:
+    """AUC on the validation rows after each tree of a chunk, from one plan."""
+    long = state.where("late").select("label", F.posexplode("staged").alias("k", "margin"))
+    found = rank_auc(long.withColumn("p", 1.0 / (1.0 + F.exp(-2.0 * F.col("margin")))), ["k"], "label", "p").collect()
+    by_tree = {r["k"]: r["auc"] for r in found}
+    return [by_tree.get(k) for k in range(n)]
+
+
+def _of_trees(trees: Sequence, weights: Sequence[float]) -> GBTClassificationModel:
+    """A boosted model of the given (JVM) trees."""
+    gateway = SparkContext.getOrCreate()._gateway
+    jvm = gateway.jvm.org.apache.spark.ml
+    kept = gateway.new_array(jvm.regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        kept[i], shares[i] = tree, float(weight)
+    return GBTClassificationModel(jvm.classification.GBTClassificationModel(f"GBTClassifier_{uuid.uuid4().hex[:12]}", kept, shares))
 
 
 def best_prefix(aucs: Sequence[float | None], patience: int) -> int:
@@ -120,14 +147,7 @@ def best_prefix(aucs: Sequence[float | None], patience: int) -> int:
 def first_trees(model: PipelineModel, n: int) -> PipelineModel:
     """The model with its first n trees only."""
     boosted = model.stages[-1]
-    java = boosted._java_obj
-    gateway = SparkSession.getActiveSession().sparkContext._gateway
-    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], boosted.treeWeights)):
-        kept[i], weights[i] = tree, float(weight)
-    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights)
-    return PipelineModel([*model.stages[:-1], GBTClassificationModel(cut)])
+    return PipelineModel([*model.stages[:-1], _of_trees(list(boosted._java_obj.trees())[:n], list(boosted.treeWeights)[:n])])
 
 
 def best_iteration(model: PipelineModel) -> int:

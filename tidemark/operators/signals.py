@@ -207,9 +207,14 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _folded(days: Column, rules: SignalRules, stored_after: int) -> Column:
-    """Entries (day, ts, regime, score) of a series of (date, score) in date order, each from the look-back before it."""
-    entry = "array<struct<day:date,ts:bigint,regime:string,score:double>>"
+ENTRIES = "array<struct<day:date,ts:bigint,regime:string,score:double>>"
+
+
+def _folded(days: Column, rules: SignalRules, stored_after: int, before: Column | None = None) -> Column:
+    """Entries (day, ts, regime, score) of a series of (date, score) in date order, each from the look-back before it.
+
+    ``before``: entries of earlier days, in date order; they stay in front.
+    """
 
     def step(past: Column, x: Column) -> Column:
         midnight = F.unix_date(x["date"]).cast("long") * 86400
@@ -235,7 +240,7 @@ def _folded(days: Column, rules: SignalRules, stored_after: int) -> Column:
         past = F.filter(recent, lambda h: F.datediff(x["date"], h["day"]) <= F.lit(rules.history_days))
         return F.concat(acc, F.array(_let(past, lambda p: step(p, x))))
 
-    return F.aggregate(days, F.array().cast(entry), merge)
+    return F.aggregate(days, F.array().cast(ENTRIES) if before is None else before, merge)
 
 
 def backfill_scores(
@@ -255,12 +260,49 @@ def backfill_scores(
         "chain", F.col("e.day").alias("date"), F.col("e.score").alias("risk_score"), F.col("e.regime").alias("regime"))
 
 
+def resumed_scores(
+    scores: DataFrame, stored: DataFrame, since: dt.date, rules: SignalRules = SignalRules(), score: str = "raw_score",
+    created_after_hours: float | None = None,
+) -> DataFrame:
+    """Smoothed score and regime of the days from ``since`` on, going on from stored signals.
+
+    ``stored`` has chain, date, risk_score, regime and, if known, created_at; of each chain only the
+    look-back before ``since`` is read, so a late re-run costs as much as the days it computes. The
+    result is that of the whole series if the stored days are. A chain without stored days starts anew.
+    """
+    first = F.date_sub(F.lit(since), rules.history_days)
+    known = finite_or_null("risk_score").isNotNull() & F.col("regime").isNotNull()
+    stored_at = midnight_epoch(F.col("date"))
+    if "created_at" in stored.columns:
+        stored_at = F.coalesce(F.unix_seconds(F.col("created_at").cast("timestamp")), stored_at)
+    past = stored.where((F.col("date") >= first) & (F.col("date") < F.lit(since)) & known).select("chain", F.struct(
+        F.col("date").alias("day"), stored_at.alias("ts"), "regime", F.col("risk_score").cast("double").alias("score")).alias("e"))
+    past = past.groupBy("chain").agg(F.sort_array(F.collect_list("e")).cast(ENTRIES).alias("before"))
+    rows = scores.where(F.col("date") >= F.lit(since)).select("chain", "date", score_or_neutral(score).alias("score"))
+    series = rows.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("date", "score"))).alias("days")).join(past, "chain", "left")
+    before = F.coalesce("before", F.array().cast(ENTRIES))
+    entries = _folded(F.col("days"), rules, int((created_after_hours or 0.0) * 3600), before)
+    return series.select("chain", F.explode(entries).alias("e")).where(F.col("e.day") >= F.lit(since)).select(
+        "chain", F.col("e.day").alias("date"), F.col("e.score").alias("risk_score"), F.col("e.regime").alias("regime"))
+
+
+def resumed(
+    targets: DataFrame, stored: DataFrame, since: dt.date, rules: SignalRules = SignalRules(), score: str = "raw_score",
+    created_after_hours: float | None = None,
+) -> DataFrame:
+    """Signals of the target days from ``since`` on, going on from stored ones (see ``resumed_scores``)."""
+    return _with_indices(resumed_scores(targets, stored, since, rules, score, created_after_hours), targets)
+
+
 def backfill(
     targets: DataFrame, rules: SignalRules = SignalRules(), score: str = "raw_score",
     created_after_hours: float | None = None,
 ) -> DataFrame:
     """Whole signal series from raw scores and features."""
-    folded = backfill_scores(targets, rules, score, created_after_hours)
+    return _with_indices(backfill_scores(targets, rules, score, created_after_hours), targets)
+
+
+def _with_indices(folded: DataFrame, targets: DataFrame) -> DataFrame:
     own = targets.select(*KEY, *[c.alias(n) for n, c in indices(targets).items()])
     return folded.join(own, KEY).select(
         *KEY, "risk_score", "regime", risk_state(F.col("risk_score")).alias("risk_state"),

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
-from tidemark.functions.values import check_chain, instant
+from tidemark.functions.values import check_chain, instant, midnight_epoch
 from tidemark.operators.alerts import with_alerts
 from tidemark.operators.model import active_models, load_model, risk_scores
 from tidemark.operators.normalize import load_params, transform_for_inference
 from tidemark.operators.quality import finite_vectors, valid_signals
-from tidemark.operators.signals import SignalRules, signal_step
-from tidemark.sources import store
+from tidemark.operators.signals import SignalRules, resumed, signal_step
+from tidemark.sources import snapshots, store
 from tidemark.sources.raw import union_by_name
 
 
@@ -91,3 +91,22 @@ def run_inference(
         store.write_rows(spark, root, "alerts", alerts)
     chains = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in models])).alias("chain"))
     return chains.withColumn("stored", F.col("chain").isin(*stored) if stored else F.lit(False))
+
+
+def rerun_signals(
+    spark: SparkSession, targets: DataFrame, path: str, since: dt.date, created_after_hours: float,
+    rules: SignalRules = SignalRules(), as_of: dt.date | None = None,
+) -> int:
+    """Computes the days from ``since`` on again, on top of the signals stored before, and replaces them.
+
+    ``targets``: chain, date, raw_score and features of the days to compute; ``path``: a table of
+    ``sources.snapshots``. All chains and days are one plan and one commit: a run that fails leaves the
+    stored version. Days stored after ``since`` that the run does not compute go. Returns the version.
+    """
+    lookback = since - dt.timedelta(days=rules.history_days)
+    stored = snapshots.read_days(spark, path, store.DAILY_SIGNALS, lookback, since - dt.timedelta(days=1))
+    days = resumed(targets, stored, since, rules, created_after_hours=created_after_hours)
+    stored_at = F.timestamp_seconds(midnight_epoch(F.col("date")) + F.lit(int(created_after_hours * 3600)))
+    rows = days.withColumn("created_at", stored_at).select(*store.DAILY_SIGNALS.fieldNames())
+    good, _ = store.accepted("daily_signals", rows, as_of)
+    return snapshots.replace_days(cut_lineage(good), path, since)

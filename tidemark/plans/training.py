@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+import threading
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +19,7 @@ from tidemark import spec
 from tidemark.functions.lineage import cut_lineage
 from tidemark.functions.values import instant, missing
 from tidemark.operators.metrics import evaluation_report
-from tidemark.operators.model import ModelConfig, next_versions, risk_scores, save_model, train
+from tidemark.operators.model import Boosting, ModelConfig, boost, next_versions, risk_scores, save_model
 from tidemark.operators.normalize import fit_params, save_params, transform
 from tidemark.operators.training_data import (
     SplitDates, clean_training_rows, feature_medians, impute, require_both_sides, require_training_columns,
@@ -23,6 +28,9 @@ from tidemark.operators.training_data import (
 from tidemark.sources import store
 
 
+T = TypeVar("T")
+
+
 @dataclass(frozen=True)
 class TrainedChain:
     chain: str
@@ -30,6 +38,7 @@ class TrainedChain:
     params: DataFrame
     validation: DataFrame  # y, p per validation day
     report: DataFrame
+    boosting: Boosting
 
 
 def prepare(split: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +64,12 @@ def train_chain(
     require_both_sides(split)
     scaled, params = prepare(split, names)
     scaled = cut_lineage(scaled)  # read by every boosting round
-    model = train(scaled, names, config)
+    boosting = boost(scaled, names, config)
+    model = boosting.model
     scored = risk_scores(model, scaled.where(F.col("split") == "validation"))
     validation = scored.withColumns({"y": F.col("target"), "p": F.col("raw_score") / 100.0})
     report = evaluation_report(validation, ["chain"], ret=returns)
-    return TrainedChain(chain, model, params, validation, report)
+    return TrainedChain(chain, model, params, validation, report, boosting)
 
 
 def run_training(
@@ -70,25 +80,44 @@ def run_training(
     """Trains and stores every chain; a chain that fails does not stop the others.
 
     Returns the outcome per chain: its new version or the error text. The fit of each chain is
-    distributed, only the few chains are looped over.
+    distributed, and chains are fitted at the same time.
     """
     store.create_table(spark, root, "performance_summary")
-    outcome = {}
-    for chain, own in names.items():
+    storing = threading.Lock()  # one writer per table
+
+    def run(chain: str) -> str:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", chain)
         try:
-            done = train_chain(data, chain, own, dates, config, returns=returns)
-            registry = store.read_table(spark, root, "performance_summary")
-            chains = spark.range(1).select(F.lit(chain).alias("chain"))
-            version = next_versions(registry, chains).first()["next_version"]
-            save_model(done.model, f"{root}/models", chain, version)
-            save_params(done.params, f"{root}/norm_params/{chain.lower()}", version)
-            row = done.report.select(
-                "chain", F.lit(version).alias("model_version"), "auc", "hitrate",
-                F.col("sharpe").alias("sharpe_ratio") if returns else missing().alias("sharpe_ratio"),
-                instant(trained_at).alias("trained_at"),
-            )
-            store.write_rows(spark, root, "performance_summary", row)
-            outcome[chain] = version
+            done = train_chain(data, chain, names[chain], dates, config, returns=returns)
+            with storing:
+                return _registered(spark, root, done, trained_at, returns)
         except Exception as error:  # noqa: BLE001 - reported per chain
-            outcome[chain] = f"failed: {error}"
-    return outcome
+            return f"failed: {error}"
+
+    return at_once(run, list(names))
+
+
+def at_once(run: Callable[[str], T], keys: Sequence[str], most: int = 8) -> dict[str, T]:
+    """run(key) for every key, some at the same time: small jobs of one fill the gaps that others leave.
+
+    With spark.scheduler.mode FAIR their jobs share the executors by pool, otherwise in order of arrival.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, min(most, len(keys)))) as pool:
+        started = {key: pool.submit(inheritable_thread_target(partial(run, key))) for key in keys}
+        return {key: future.result() for key, future in started.items()}
+
+
+def _registered(spark: SparkSession, root: str, done: TrainedChain, trained_at: dt.datetime, returns: str | None) -> str:
+    """Stores a trained chain's model, parameters and metrics under its next version."""
+    registry = store.read_table(spark, root, "performance_summary")
+    chains = spark.range(1).select(F.lit(done.chain).alias("chain"))
+    version = next_versions(registry, chains).first()["next_version"]
+    save_model(done.model, f"{root}/models", done.chain, version)
+    save_params(done.params, f"{root}/norm_params/{done.chain.lower()}", version)
+    row = done.report.select(
+        "chain", F.lit(version).alias("model_version"), "auc", "hitrate",
+        F.col("sharpe").alias("sharpe_ratio") if returns else missing().alias("sharpe_ratio"),
+        instant(trained_at).alias("trained_at"),
+    )
+    store.write_rows(spark, root, "performance_summary", row)
+    return version
