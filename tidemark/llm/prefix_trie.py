@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import forget, written
 from tidemark.llm.packed import U, mix
 
+#: Rows of a written table that one task writes, if its number of rows is known.
+FILE_ROWS = 50_000
 #: Turns of a conversation whose prefixes are one row.
 BLOCK_BITS = 9
 BLOCK = 1 << BLOCK_BITS
@@ -46,14 +48,19 @@ NODES = ("conv_id long, depth long, parent_conv_id long, n_convs long, n_childre
 NOBODY = hashlib.sha256(b"").hexdigest()
 
 
+def _written(df: DataFrame, rows: int) -> DataFrame:
+    """Writes a table of at most so many rows by as many tasks as that takes, not one for each partition of the last exchange."""
+    return written(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS + 1)))
+
+
 def in_order(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns numbered from 0 within their conversation: (conv_id, i, s1, s2, n), and (conv_id, n_own).
+    """Turns numbered from 0 within their conversation: (conv_id, i, s1, s2, n), and the parts of conversations (conv_id, part, k, shift).
 
     conversations: conv_id, turn, role, text. Null turns come first; equal ones are in an order that
     depends on their role and text only; repeated rows are repeated turns. Null roles and texts are
     empty. Rows without conv_id belong to no conversation and are left out. s1 and s2 are hashes of
     role and text, n counts the text's code points. Turns are sorted as a whole and numbered by the
-    counts of the parts before, so a long conversation is spread over tasks. The tables are written.
+    counts (k) of the parts before, so a long conversation is spread over tasks.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.where("conv_id IS NOT NULL").select(
@@ -64,11 +71,8 @@ def in_order(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(rows.select("conv_id", "s1", "s2", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     parts = rows.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("k"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("conv_id", "part", "k", (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    turns = written(rows.join(parts, ["conv_id", "part"]).select("conv_id", (F.col("at") + F.col("shift")).alias("i"), "s1", "s2", "n"))
-    sizes = written(parts.groupBy("conv_id").agg(F.sum("k").alias("n_own")))
-    forget(rows)
-    return turns, sizes
+    parts = written(parts.select("conv_id", "part", "k", (F.coalesce(F.sum("k").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    return rows.join(parts, ["conv_id", "part"]).select("conv_id", (F.col("at") + F.col("shift")).alias("i"), "s1", "s2", "n"), parts
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +232,17 @@ def member_digests(members: DataFrame) -> DataFrame:
     return lists.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_digests, "key binary, digest string")
 
 
-def _grown(members: DataFrame, blocks: DataFrame, root: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Owners of each batch (r, b, parent, L), the cuts (r, x) of their paths, and where classes end (r, x, n, key)."""
+def _grown(members: DataFrame, blocks: DataFrame, root: int, n: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Owners of each batch (r, b, parent, L), the cuts (r, x) of their paths, and where classes end (r, x, n, key); n: conversations."""
     classes = members.where("L > 0").groupBy("L", "key").agg(F.min("conv_id").alias("conv"), F.count("*").alias("n"))
-    pending = written(classes.select("conv", "L", F.lit(0).cast("long").alias("lo"), "n", "key"))
-    batches, cuts, ends, exits = [], None, None, []
+    pending = _written(classes.select("conv", "L", F.lit(0).cast("long").alias("lo"), "n", "key"), n)
+    first = pending
+    batches, cuts, ends, nodes = [], None, None, None
     while True:
         size, steps = pending.agg(F.count("*"), F.max(F.expr("length(bin(lo ^ L))"))).first()
+        if nodes is not None:
+            forget(nodes)
         if not size:
-            forget(pending)
             return batches, cuts, ends
         if not batches:
             left = pending.select("conv", "L", "n", "key", F.lit(root).cast("long").alias("r"), "lo").withColumnRenamed("lo", "x")
@@ -244,20 +250,22 @@ def _grown(members: DataFrame, blocks: DataFrame, root: int) -> tuple[list[DataF
             owners = batches[0]
             for more in batches[1:]:
                 owners = owners.unionByName(more)
-            nodes = written(_with_handles(_edges(owners, cuts), blocks))
+            nodes = _written(_with_handles(_edges(owners, cuts), blocks), 2 * n)
             left = _exits(_fat_search(pending, nodes, blocks, int(steps)), blocks)
-        left = written(left)
+        left = _written(left, size)
+        if not batches:
+            forget(first)
         on = _looked_up(left.where("x < L"), blocks, "conv", F.col("x") + 1, {"next": KEY})
-        first = on.groupBy("x", "next").agg(F.min(F.struct("conv", "L", "r", "n", "key")).alias("o"))
-        inserted = written(first.select(F.col("o.conv").alias("r"), F.col("x").alias("b"), F.col("o.r").alias("parent"), F.col("o.L").alias("L"), F.col("o.n").alias("n"), F.col("o.key").alias("key")))
+        chosen = on.groupBy("x", "next").agg(F.min(F.struct("conv", "L", "r", "n", "key")).alias("o"))
+        inserted = chosen.select(F.col("o.conv").alias("r"), F.col("x").alias("b"), F.col("o.r").alias("parent"), F.col("o.L").alias("L"), F.col("o.n").alias("n"), F.col("o.key").alias("key"))
+        inserted = _written(inserted, size)
         new_ends = left.where("x = L").select("r", "x", "n", "key").unionByName(inserted.select("r", F.col("L").alias("x"), "n", "key"))
-        new_cuts = left.where("x > 0").select("r", "x").unionByName(inserted.select("r", F.col("L").alias("x"))).distinct()
+        new_cuts = left.where("x > 0").select("r", "x").unionByName(inserted.select("r", F.col("L").alias("x")))
         ends = new_ends if ends is None else ends.unionByName(new_ends)
-        was, cuts = cuts, written(new_cuts if cuts is None else cuts.unionByName(new_cuts).distinct())
-        after = written(left.where("x < L").join(inserted.select(F.col("r").alias("conv")), "conv", "left_anti").select("conv", "L", F.col("x").alias("lo"), "n", "key"))
-        forget(pending, *([nodes, was] if batches else []))
+        cuts = (new_cuts if cuts is None else cuts.unionByName(new_cuts)).distinct()
         batches.append(inserted.drop("n", "key"))
-        pending = after
+        after = left.where("x < L").join(inserted.select(F.col("r").alias("conv")), "conv", "left_anti")
+        pending = after.select("conv", "L", F.col("x").alias("lo"), "n", "key")
 
 
 def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
@@ -271,16 +279,16 @@ def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
     that end here). Without conversations there is no row.
     """
     spark = ids.sparkSession
-    root = ids.agg(F.min("conv_id")).first()[0]
+    root, size = ids.agg(F.min("conv_id"), F.count("*")).first()
     if root is None:
         return spark.createDataFrame([], NODES)
-    blocks = written(prefix_blocks(turns))
+    blocks = _written(prefix_blocks(turns), size)
     length = F.col("block") * BLOCK + F.col("k")
     last = blocks.groupBy("conv_id").agg(F.max(F.struct(length.alias("L"), _part("packed", F.col("k") - 1, *KEY).alias("key"))).alias("t"))
     members = ids.select("conv_id").join(last, "conv_id", "left")
-    members = written(members.select("conv_id", F.coalesce("t.L", F.lit(0)).cast("long").alias("L"), F.coalesce("t.key", F.lit(b"")).alias("key")))
-    digests = written(member_digests(members.select("key", "conv_id")))
-    batches, cuts, ends = _grown(members, blocks, root)
+    members = _written(members.select("conv_id", F.coalesce("t.L", F.lit(0)).cast("long").alias("L"), F.coalesce("t.key", F.lit(b"")).alias("key")), size)
+    digests = _written(member_digests(members.select("key", "conv_id")), size)
+    batches, cuts, ends = _grown(members, blocks, root, size)
     done, totals = [], None
     if batches:
         ends = ends.join(digests, "key").select("r", F.col("x").alias("e"), F.col("n").alias("ending"), "digest")
@@ -291,7 +299,7 @@ def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
         nodes = _edges(owners, cuts).join(owners, "r").join(ends, ["r", "e"], "left").withColumn("ending", F.coalesce("ending", F.lit(0)))
         nodes = _looked_up(nodes, blocks, "r", F.col("e"), {"_after": AFTER})
         nodes = _looked_up(nodes, blocks, "r", F.col("f") + 1, {"_before": BEFORE})
-        nodes = written(nodes.withColumns({"upto": _number(F.col("_after")), "before": _number(F.col("_before"))}).drop("_after", "_before"))
+        nodes = _written(nodes.withColumns({"upto": _number(F.col("_after")), "before": _number(F.col("_before"))}).drop("_after", "_before"), 2 * size)
         below = Window.partitionBy("r").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         none = F.lit(0).cast("long")
         for number in reversed(range(len(batches))):
@@ -304,14 +312,13 @@ def prefix_trie(ids: DataFrame, turns: DataFrame) -> DataFrame:
             mine = mine.withColumns({"n_convs": F.sum(F.col("ending") + F.col("t_convs")).over(below), "n_leaves": F.sum(F.col("t_leaves") + leaf).over(below)})
             mine = mine.withColumn("own", (F.col("n_convs") - 1) * (F.col("upto") - F.col("before")))
             mine = mine.withColumn("saved", F.sum(F.col("own") + F.col("t_saved")).over(below))
-            mine = written(mine.select(
+            mine = _written(mine.select(
                 "r", "f", "e", "b", "parent", "n_convs", "n_leaves", "saved", (F.col("saved") - F.col("own")).alias("further"), "upto", "digest",
-                (F.col("t_branches") + (F.col("e") < F.col("L")).cast("long")).alias("n_children")))
+                (F.col("t_branches") + (F.col("e") < F.col("L")).cast("long")).alias("n_children")), 2 * size)
             done.append(mine)
             tops = mine.where("f = b").groupBy(F.col("parent").alias("r"), F.col("b").alias("e"))
             totals = tops.agg(F.sum("n_convs").alias("t_convs"), F.sum("n_leaves").alias("t_leaves"), F.sum("saved").alias("t_saved"), F.count("*").alias("t_branches"))
-        forget(nodes, cuts)
-    size = members.count()
+        forget(nodes)
     top = totals.first() if totals is not None else None
     nobody = digests.where(F.length("key") == 0).select("digest").first()
     answer = [(root, 0, None, size, top.t_branches if top else 0, top.t_leaves if top else 1, top.t_saved if top else 0, nobody[0] if nobody else NOBODY)]
@@ -348,7 +355,8 @@ def rebuilt(conversations: DataFrame, most: int = 5) -> tuple[DataFrame, DataFra
     its first h turns (all if it has fewer, none if it is not there); the own turns after the first h
     follow. See in_order for the order of turns and for nulls.
     """
-    turns, sizes = in_order(conversations)
+    turns, parts = in_order(conversations)
+    sizes = parts.groupBy("conv_id").agg(F.sum("k").alias("n_own"))
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)).cast("long")
     convs = sizes.select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("hub"))
     heads = sizes.select(F.col("conv_id").alias("hub"), F.col("n_own").alias("n_hub"))
