@@ -138,3 +138,27 @@ def test_stream_gives_the_backfill(spark, tmp_path):
     in_time = {r.date: r for r in got if not r.is_late}
     assert {d: (r.risk_score, r.regime) for d, r in in_time.items()} == {d: (r.risk_score, r.regime) for d, r in want.items()}
     assert [r.date for r in got if r.is_late] == [days[3][0]]
+
+
+def test_stream_of_shuffled_days_ends_as_the_batch_series(spark, tmp_path):
+    rnd = random.Random(12)
+    schema = "chain string, date date, raw_score double"
+    rows = [(c, START + dt.timedelta(days=d), rnd.uniform(0, 100)) for c in ("BTC", "ETH") for d in range(90) if c == "BTC" or d % 3]
+    order = sorted(rows, key=lambda r: r[1].toordinal() + rnd.uniform(0, 25))  # up to 25 days out of order
+    for i in range(0, len(order), 9):
+        spark.createDataFrame(order[i:i + 9], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = [("BTC", START + dt.timedelta(days=80), 1.0)]  # revised
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    q = (stream_signals(source, RULES).writeStream.foreachBatch(lambda df, n: seen.append((n, df.collect())))
+         .option("checkpointLocation", str(tmp_path / "cp")).start())
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame(again, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    last = {(r.chain, r.date): (r.risk_score, r.regime) for _, part in sorted(seen, key=lambda x: x[0]) for r in part if not r.is_late}
+    final = [r if r[:2] != again[0][:2] else again[0] for r in rows]
+    want = {(r.chain, r.date): (r.risk_score, r.regime) for r in backfill_scores(spark.createDataFrame(final, schema), RULES).collect()}
+    assert last == want and not any(r.is_late for _, part in seen for r in part)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from tidemark import spec
 from tidemark.operators import metrics, normalize, training_data
 from tidemark.operators.btc import BtcFeatures
 from tidemark.operators.model import (
-    ModelConfig, active_models, best_iteration, best_prefix, first_trees, next_versions, risk_scores, staged_auc, train,
+    ModelConfig, active_models, best_iteration, best_prefix, boost, first_trees, next_versions, risk_scores, train, tree_columns,
 )
 from tidemark.plans import inference, reports, training
 from tidemark.sources import store
-from tidemark.streaming.daily import stream_daily_aggregates
+from tidemark.streaming.daily import stream_daily_aggregates, stream_daily_distinct, stream_daily_medians
 
 T0 = dt.datetime(2024, 1, 2, 3)
 NAN, INF = float("nan"), float("inf")
@@ -255,21 +256,57 @@ def plain_auc(rows):
     return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros)
 
 
-def test_trees_stay_up_to_the_best_auc(spark):
+@pytest.fixture(scope="module")
+def boosting_rows(spark):
     rnd = random.Random(3)
     rows = []
     for i in range(400):
-        x = [rnd.gauss(0, 1) for _ in range(3)]
+        x = [rnd.gauss(0, 1) for _ in range(4)]
         rows.append((*x, int(x[0] + x[1] * x[2] + rnd.gauss(0, 0.3) > 0), "train" if i < 280 else "validation"))
-    data = spark.createDataFrame(rows, "a double, b double, c double, target int, split string")
-    whole = train(data, ["a", "b", "c"], ModelConfig(trees=8, max_depth=3, learning_rate=0.2, patience=None))
-    late = data.where("split = 'validation'")
-    aucs = [plain_auc([(r.target, r.raw_score) for r in risk_scores(first_trees(whole, k), late).collect()]) for k in range(1, 9)]
-    staged = staged_auc(whole, late, "target").orderBy("trees").collect()
-    assert [r.trees for r in staged] == list(range(1, 9))
-    assert [r.auc for r in staged] == pytest.approx(aucs)
-    kept = train(data, ["a", "b", "c"], ModelConfig(trees=8, max_depth=3, learning_rate=0.2))
-    assert best_iteration(kept) == aucs.index(max(aucs)) + 1 > 1
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, target int, split string")
+
+
+def test_boosting_stops_and_keeps_the_best_trees(spark, boosting_rows):
+    names, late = ["a", "b", "c", "d"], boosting_rows.where("split = 'validation'")
+    config = ModelConfig(trees=14, max_depth=3, learning_rate=0.2, patience=14, chunk=5)
+    whole = boost(boosting_rows, names, config)
+    assert whole.fitted == 14 and len(whole.aucs) == 14
+    all_trees = boost(boosting_rows, names, ModelConfig(trees=14, max_depth=3, learning_rate=0.2, patience=None, chunk=5)).model
+    assert best_iteration(all_trees) == 14
+    aucs = [plain_auc([(r.target, r.raw_score) for r in risk_scores(first_trees(all_trees, k), late).collect()]) for k in (1, 6, 14)]
+    assert aucs == pytest.approx([whole.aucs[k - 1] for k in (1, 6, 14)])
+    assert best_iteration(whole.model) == whole.aucs.index(max(whole.aucs)) + 1 and max(whole.aucs) > 0.75
+    early = boost(boosting_rows, names, ModelConfig(trees=14, max_depth=3, learning_rate=0.2, patience=2, chunk=2))
+    kept = best_iteration(early.model)
+    assert early.aucs == pytest.approx(whole.aucs[: early.fitted]) and early.fitted <= kept + 2 + 2 and kept == best_prefix(whole.aucs[: early.fitted], 2)
+
+
+def test_a_tree_splits_on_its_own_features_only(boosting_rows):
+    names, config = ["a", "b", "c", "d"], ModelConfig(trees=6, max_depth=3, column_share=0.5, patience=None, chunk=4)
+    model = boost(boosting_rows, names, config).model
+
+    def used(node):
+        return {node.split().featureIndex()} | used(node.leftChild()) | used(node.rightChild()) if node.subtreeDepth() else set()
+
+    trees = [used(t.rootNode()) for t in model.stages[-1]._java_obj.trees()]
+    drawn = [set(tree_columns(config, t, 4)) for t in range(6)]
+    assert all(u and u <= d and len(d) == 2 for u, d in zip(trees, drawn)) and len(set(map(frozenset, drawn))) > 1
+
+
+def test_chains_are_trained_at_the_same_time(spark):
+    both = threading.Barrier(2, timeout=60)
+
+    def run(chain):
+        if chain == "bad":
+            raise ValueError("no data")
+        both.wait()  # passes only while the other one runs too
+        n = spark.range(1000).groupBy(F.col("id") % 7).count().count()
+        both.wait()
+        return f"{chain} {n}"
+
+    assert training.at_once(run, ["a", "b"]) == {"a": "a 7", "b": "b 7"}
+    with pytest.raises(ValueError):
+        training.at_once(run, ["bad"])
 
 
 @pytest.mark.parametrize("aucs, patience, want", [
@@ -294,3 +331,30 @@ def test_stream_aggregates_equal_batch(spark, tmp_path):
     got = {r.date.day: (r.n_tx, r.whale, r.approx_from_address) for r in spark.table("agg").collect()}
     want = {d: (24, float(sum(h for h in range(24 * d - 24, 24 * d) if h % 3 == 0)), 7) for d in (1, 2)}
     assert got == want
+
+
+def test_stream_medians_and_exact_distinct_counts_equal_batch(spark, tmp_path):
+    rnd, base = random.Random(6), dt.datetime(2024, 1, 1)
+    schema = "chain string, ts timestamp, gas_price double, from_address string, to_address string"
+    rows = [(rnd.choice(["ETH", "BTC"]), base + dt.timedelta(minutes=10 * m), rnd.choice([None, NAN, rnd.uniform(1, 90), rnd.uniform(1, 90)]), f"a{rnd.randrange(60)}",
+             rnd.choice([None, f"a{rnd.randrange(60)}"])) for m in range(144 * 5)]
+    path = str(tmp_path / "tx")
+    for i in range(0, len(rows), 200):
+        spark.createDataFrame(rows[i:i + 200], schema).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = []
+    for name, df in (("medians", stream_daily_medians(source, "gas_price")), ("senders", stream_daily_distinct(source, ["from_address", "to_address"]))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        got.append({(r.chain, r.date.day): tuple(r)[2:] for r in spark.table(name).collect()})
+    for day in (1, 2, 3):
+        for chain in ("BTC", "ETH"):
+            mine = [r for r in rows if r[0] == chain and r[1].day == day]
+            values = sorted(r[2] for r in mine if r[2] is not None and r[2] == r[2])
+            assert got[0][chain, day][0] == len(values) and got[0][chain, day][1] in values[(len(values) - 1) // 2 - 1 : len(values) // 2 + 2]
+            assert got[1][chain, day] == (len({a for r in mine for a in r[3:] if a}),)
+    with pytest.raises(ValueError):
+        stream_daily_distinct(source, ["from_address"], lateness="2 hours")

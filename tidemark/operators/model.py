@@ -100,7 +100,7 @@ def boost(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig
             state = state.withColumn("margin", F.col("margin") + weight * F.col("tree")).drop("tree")
             if watched:
                 state = state.withColumn("staged", F.when(F.col("late"), F.concat("staged", F.array("margin"))).otherwise(F.col("staged")))
-            trees.append(tree._java_obj)
+            trees.append(tree)  # whose JVM side lives as long as it does
             weights.append(weight)
         state = states.write(state)
         if watched:
@@ -111,7 +111,7 @@ def boost(df: DataFrame, names: Sequence[str], config: ModelConfig = ModelConfig
                 break
     states.close()
     keep = (best_prefix(aucs, config.patience) if watched else 0) or len(trees)
-    return Boosting(PipelineModel([assembler, _of_trees(trees[:keep], weights[:keep])]), len(trees), tuple(aucs))
+    return Boosting(PipelineModel([assembler, _of_trees([t._java_obj for t in trees[:keep]], weights[:keep])]), len(trees), tuple(aucs))
 
 
 def _staged_aucs(state: DataFrame, n: int) -> list[float | None]:
