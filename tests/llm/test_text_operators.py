@@ -203,6 +203,22 @@ def test_decontamination_equals_brute_force(spark, docs, block_mb, monkeypatch):
     assert got == plain.contained(hidden, items)
 
 
+def test_small_items_and_recall_of_larger_ones(spark):
+    """Every item of 5 to 12 words at any place is found; of larger ones with just 3/4 of their shingles nearly all."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    items, rows, k = [], [], 0
+    for n in [5, 6, 7, 8, 10, 12] * 60 + [13, 20, 40, 90] * 60:
+        text = [word() for _ in range(n)]
+        lost = 0 if n < 13 else (n - 4) // 4  # the shingles behind the cut
+        around = [[word() for _ in range(rnd.choice([0, 1, 2, 30, 200]))] for _ in range(2)]
+        items.append((k, " ".join(text)))
+        rows.append((k, " ".join([*around[0], *text[: n - lost], *around[1]])))
+        k += 1
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i in range(360)} <= got and len(got) >= k - 2 and all(a == b for a, b in got)
+
+
 def test_items_in_several_blocks(spark):
     words = [[f"i{k}w{j}" for j in range(40)] for k in range(60)]
     items = spark.createDataFrame([(k, " ".join(w) + " " + "pad " * 6000) for k, w in enumerate(words)], "item_id long, text string")

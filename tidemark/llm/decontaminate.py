@@ -6,8 +6,16 @@ windows of 2 L shingles that start every L, so that an item lies within one wind
 length of the document, and the Jaccard similarity that its containment implies stays above a bound
 (3/17 at a containment of 3/4). A MinHash signature has one least hash for each of 64 bins of the
 hash domain; one equal bin makes a candidate. Only windows that contain some item's least hash get a
-signature. Candidates are verified by the exact share of the item's shingles that the whole document
-has.
+signature. For partitions of up to SMALL shingles every shared shingle makes a candidate, since their
+signatures are too thin. Candidates are verified by the exact share of the item's shingles that the
+whole document has.
+
+What can be missed: an item of more than SMALL shingles of which 3/4 stand in one window. It has 7 shared
+shingles at least, and each fails to be its bin's least with a chance of at most 1/4 (a window of 32
+shingles over 64 bins), so all fail with less than 1 in 10,000; larger items have more bins, each of which
+agrees with a chance of 3/17 or more, 1 in 100,000 that none does. An item that is spread in single
+shingles over more than a window is not proposed for its sake, though the share that is returned counts
+the whole document.
 
 Items are the query set: they are read in blocks of bounded size, each sent to all tasks.
 """
@@ -27,6 +35,8 @@ from tidemark.llm.jaccard_join import shingle_sequence, shingle_sets
 from tidemark.llm.packed import Texts, U, ranges, text_blocks
 
 BINS = 64
+#: Items of size partitions up to so many shingles are proposed by each of their shingles.
+SMALL = 8
 SCHEMA = "_did long, item long, shared long, item_shingles long"
 
 
@@ -42,7 +52,8 @@ class Items:
         self.size = np.int64(1) << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
         owner = np.repeat(ids, n)
         slot = owner * BINS + bin_of(self.hashes)
-        least = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)  # sorted by hash
+        # sorted by hash, so a bin's first is its least
+        least = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]) | (self.size[owner] <= SMALL)) if len(slot) else np.zeros(0, np.int64)
         order = np.argsort(self.hashes[least], kind="stable")
         self.sig, self.sig_item = self.hashes[least][order], owner[least][order]
 
@@ -53,7 +64,7 @@ def bin_of(h: np.ndarray) -> np.ndarray:
 
 
 def candidate_pairs(hashes: np.ndarray, cut: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(text, item) whose signatures agree in a bin for some window."""
+    """(text, item) whose signatures agree in a bin for some window, or that share a shingle if the item is small."""
     lo, hi = np.searchsorted(items.sig, hashes, "left"), np.searchsorted(items.sig, hashes, "right")
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
@@ -62,6 +73,11 @@ def candidate_pairs(hashes: np.ndarray, cut: np.ndarray, items: Items) -> tuple[
     at, item = np.repeat(hit, count), items.sig_item[ranges(lo[hit], count)]
     text = np.searchsorted(cut, at, "right") - 1
     size = items.size[item]
+    small = size <= SMALL
+    proposed = np.unique(np.stack([text[small], item[small]]), axis=1)
+    at, text, item, size = at[~small], text[~small], item[~small], size[~small]
+    if not len(at):
+        return proposed[0], proposed[1]
     step = (at - cut[text]) // size
     # the window that starts at or before the shingle, and the one before that
     at, text, item, size = (np.concatenate([x, x]) for x in (at, text, item, size))
@@ -80,7 +96,7 @@ def candidate_pairs(hashes: np.ndarray, cut: np.ndarray, items: Items) -> tuple[
     signature = np.zeros(len(one) * BINS, U)
     signature[slot[least]] = h[least]
     same = signature[window.ravel() * BINS + bin_of(hashes[at])] == hashes[at]
-    pairs = np.unique(np.stack([text[same], item[same]]), axis=1)
+    pairs = np.concatenate([proposed, np.unique(np.stack([text[same], item[same]]), axis=1)], axis=1)
     return pairs[0], pairs[1]
 
 
