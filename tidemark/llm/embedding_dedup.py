@@ -78,8 +78,21 @@ class Codes:
         return estimate + SPREADS * spread
 
 
+#: Fractional bits of coordinates in band keys. Whole numbers make a vector's keys the same wherever they are computed.
+FIXED = float(1 << 24)
+
+
+def band_keys(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """Keys of unit vectors in every band: sign bits of further rotations."""
+    dims, wanted = x.shape[1], bits * bands
+    fixed = np.rint(x * FIXED).astype(np.int64)
+    signs = [fixed @ np.rint(rotation(dims, 1 + k) * FIXED).astype(np.int64).T > 0 for k in range(-(-wanted // dims))]
+    signs = np.concatenate(signs, axis=1)[:, :wanted]
+    return (signs.reshape(len(x), bands, bits) * (U(1) << np.arange(bits, dtype=U))).sum(axis=2).astype(np.int64)
+
+
 def _band_rows(bits: int, bands: int):
-    """For each class: one row for each band with its key and the code; keys holds those of all bands."""
+    """For each class one small row for each band, with its key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,28 +101,26 @@ def _band_rows(bits: int, bands: int):
                 part = batch.filter(pa.array(lengths == dims))
                 for lo in range(0, part.num_rows, 500):
                     piece = part.slice(lo, 500)
-                    x = unit_vectors(piece.column("embedding"), dims)
-                    ids = piece.column("cls").to_numpy()
-                    n = len(ids)
-                    wanted = bits * bands
-                    signs = np.concatenate([(x @ rotation(dims, 1 + k).T) > 0 for k in range(-(-wanted // dims))], axis=1)[:, :wanted]
-                    weights = U(1) << np.arange(bits, dtype=U)
-                    keys = (signs.reshape(n, bands, bits) * weights).sum(axis=2).astype(np.int64)
-                    packed = [k.tobytes() for k in keys]
+                    keys = band_keys(unit_vectors(piece.column("embedding"), dims), bits, bands)
+                    n = len(keys)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()), pa.array(np.full(n * bands, dims, np.int32)),
-                        pa.array(np.repeat(ids, bands)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(n), bands))),
-                    ], names=["band", "key", "dims", "cls", "keys"])
+                        pa.array(np.repeat(piece.column("cls").to_numpy(), bands)),
+                    ], names=["band", "key", "dims", "cls"])
 
     return rows
 
 
-def _judged(table: pa.Table, threshold: float, bands: int) -> pa.RecordBatch:
-    """Links, and an edge to the least member reached, of each row of whole tiles of one vector length."""
+def _judged(table: pa.Table, threshold: float, bits: int, bands: int) -> pa.RecordBatch:
+    """Links, and an edge to the least member reached, of each row of whole tiles of one vector length.
+
+    Whether a pair met in an earlier band follows from the keys of both, which are computed from the
+    vectors again: only rows of pairs that link need them.
+    """
     ids, size, band, part, parts, lo, hi = (table.column(c).to_numpy() for c in ("cls", "n", "band", "part", "parts", "lo", "hi"))
     dims = table.column("dims")[0].as_py()
     x = unit_vectors(table.column("embedding").combine_chunks(), dims)
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(ids), bands)
+    keys, has_keys = np.zeros((len(ids), bands), np.int64), np.zeros(len(ids), bool)
     codes = Codes.of(x @ rotation(dims, 0).T, ids)
     start = tile_starts(table, TILE_KEY)
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -119,6 +130,11 @@ def _judged(table: pa.Table, threshold: float, bands: int) -> pa.RecordBatch:
         a, b = a[possible], b[possible]
         near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold  # exact
         a, b = a[near], b[near]
+        new = np.unique(np.concatenate([a, b]))
+        new = new[~has_keys[new]]
+        for at in range(0, len(new), 500):
+            keys[new[at : at + 500]] = band_keys(x[new[at : at + 500]], bits, bands)
+        has_keys[new] = True
         # a pair that met in an earlier band is counted there
         first = ~((keys[a] == keys[b]) & (earlier < band[a][:, None])).any(axis=1)
         a, b = a[first], b[first]
@@ -155,10 +171,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, missed: float =
     classes = rows.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
     bits, bands = band_plan(classes.count(), threshold, missed)
-    banded = classes.select("cls", "embedding").mapInArrow(_band_rows(bits, bands), "band int, key long, dims int, cls long, keys binary")
+    banded = classes.select("cls", "embedding").mapInArrow(_band_rows(bits, bands), "band int, key long, dims int, cls long")
     banded = written(banded)
     tiles = tiled(banded, ["band", "key", "dims"], "cls", TILE).join(classes.select("cls", "embedding", "n"), "cls")
-    judge = partial(_judged, threshold=threshold, bands=bands)
+    judge = partial(_judged, threshold=threshold, bits=bits, bands=bands)
     found = written(by_tiles(tiles, TILE_KEY, judge, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     groups = connected_components(classes.select(F.col("cls").alias("node")), found.where("a <> b").select("a", "b"))
