@@ -36,7 +36,8 @@ FROM p JOIN n USING (item_id) WHERE 4 * shared >= 3 * item_shingles
 """
 
 
-def _op2(how: Spread = Spread()) -> str:
+def _op2(how: Spread = Spread(), rounds: int = 80) -> str:
+    """Scores after so many steps that no more changes."""
     fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest) + " END"
@@ -59,7 +60,7 @@ e AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, dst FROM links UN
 g_{kind} AS (SELECT {src} AS src, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS share FROM e),
 s_{kind} AS (SELECT host, {kind} / (SELECT sum({kind}) FROM h) AS seed FROM h WHERE {kind} > 0),
 {kind}_0 AS (SELECT host, seed AS score FROM s_{kind})"""
-        for i in range(how.rounds):
+        for i in range(rounds):
             text += f""",
 {kind}_{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (
   SELECT g.dst AS host, p.score * g.share * {how.damping} AS score FROM {kind}_{i} p JOIN g_{kind} g ON g.src = p.host
@@ -67,7 +68,7 @@ s_{kind} AS (SELECT host, {kind} / (SELECT sum({kind}) FROM h) AS seed FROM h WH
     return text + f"""
 SELECT page_id, v.host, path, rule,
        coalesce(by_rule, CASE WHEN coalesce(b.score, 0) > {how.factor} * coalesce(a.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN allowed_{how.rounds} a ON a.host = v.host LEFT JOIN blocked_{how.rounds} b ON b.host = v.host
+FROM v LEFT JOIN allowed_{rounds} a ON a.host = v.host LEFT JOIN blocked_{rounds} b ON b.host = v.host
 """
 
 

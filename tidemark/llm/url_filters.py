@@ -11,13 +11,14 @@ redirects between www., blog. and the bare domain are the links that pages do no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import forget, written
 
 #: The example rules: (verdict, host, path).
 RULES = (
@@ -29,11 +30,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Spread:
-    """damping: share of a host's score that goes on along edges; rounds: fixed number of steps;
-    factor: blocked when distrust > factor * trust."""
+    """damping: share of a host's score that goes on along edges; tolerance: a step whose changes sum to less
+    is the last (all scores sum to 1 at most); factor: blocked when distrust > factor * trust."""
 
     damping: float = 0.85
-    rounds: int = 10
+    tolerance: float = 1e-4
     factor: float = 1.0
 
 
@@ -82,26 +83,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of which the last one's change is looked at; their scores are written.
+STEPS = 8
+
+
 def spread(edges: DataFrame, seeds: DataFrame, how: Spread) -> DataFrame:
-    """(host, score): personalised PageRank over (src, dst, share) from seeds (host, seed), seeds summing to 1.
+    """(kind, host, score): personalised PageRank over (kind, src, dst, weight) from seeds (kind, host, seed), those of a kind summing to 1.
 
     score = (1 - damping) * seed + damping * sum of what comes in; what a host without outgoing
-    edges holds is not passed on. A hot host's incoming scores are summed before the exchange.
+    edges holds is not passed on. Steps go on until one changes the scores by less than the tolerance in
+    all: it takes about log(tolerance) / log(damping) of them at most, however long the paths are. A
+    hot host's incoming scores are summed before the exchange. The result is written.
     """
-    shares = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    shares = written(edges.join(shares, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for i in range(how.rounds):
-        passed = (
-            shares.join(score, F.col("src") == F.col("host"))
-            .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * how.damping).alias("score"))
-        )
-        score = (
-            passed.unionByName(seeds.select("host", (F.col("seed") * (1 - how.damping)).alias("score")))
-            .groupBy("host").agg(F.sum("score").alias("score"))
-        )
-        if i % 5 == 4:
-            score = written(score)
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
+    shares = written(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")))
+    score, before, change = seeds.select("kind", "host", F.col("seed").alias("score")), None, math.inf
+    given = seeds.select("kind", "host", (F.col("seed") * (1 - how.damping)).alias("score"), F.lit(0.0).alias("last"))
+    while change > how.tolerance:
+        for step in range(STEPS):
+            passed = shares.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * how.damping).alias("score"))
+            parts = passed.withColumn("last", F.lit(0.0)).unionByName(given)
+            if step == STEPS - 1:
+                parts = parts.unionByName(score.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("last")))
+            both = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
+            score = both.select("kind", "host", "score")
+        both = written(both)
+        change = both.agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0] or 0.0
+        if before is not None:
+            forget(before)
+        before, score = both, both.select("kind", "host", "score")
+    forget(shares)
     return score
 
 
@@ -121,17 +132,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, how:
     )
     per_host = written(per_host)
     edges = written(host_edges(named))
-    scores = per_host.select("host")
-    for kind, score, graph in (
-        ("allowed", "trust", edges),
-        ("blocked", "distrust", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")),
-    ):
-        whole = per_host.agg(F.sum(kind)).first()[0] or 1
-        seeds = per_host.where(F.col(kind) > 0).select("host", (F.col(kind) / whole).alias("seed"))
-        spread_to = spread(graph, written(seeds), how)
-        scores = scores.join(spread_to.withColumnRenamed("score", score), "host", "left").fillna(0.0, [score])
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    graphs = edges.withColumn("kind", F.lit("trust")).unionByName(turned.withColumn("kind", F.lit("distrust")))
+    all_of = per_host.agg(F.sum("allowed"), F.sum("blocked")).first()
+    seeds = [
+        per_host.where(F.col(n) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(n) / (whole or 1)).alias("seed"))
+        for kind, n, whole in zip(("trust", "distrust"), ("allowed", "blocked"), all_of, strict=True)]
+    seeds = written(seeds[0].unionByName(seeds[1]))
+    scores = spread(graphs, seeds, how).groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
     by_method = F.when(F.coalesce("distrust", F.lit(0.0)) > how.factor * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    return named.drop("html").join(written(scores), "host", "left").select(
+    forget(per_host, edges, seeds)
+    return named.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.verdict", by_method).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
