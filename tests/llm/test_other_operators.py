@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -113,20 +114,24 @@ def test_scores_equal_a_plain_page_rank(spark):
     pages = [(0, "http://good.org/fr/1", '<a href="http://near.com/x">'), (1, "http://near.com/", '<a HREF=\'//far.com\'><a href="/own">'),
              (2, "http://bad.net/", None), (3, "http://fan.com/", '<a href="https://bad.net/"><a href="http://bad.net/2">'), (4, "http://far.com/", ""),
              (5, "http://sub.shop.com/", "")]
+    pages += [(10 + k, f"http://h{k}.com/", f'<a href="http://h{k + 1}.com/">') for k in range(14)]  # a bad host behind 15 links
+    pages += [(30, "http://h14.com/", '<a href="http://bad.net/3">')]
     got = {r.host: r for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     edges = {("good.org", "near.com"): 1, ("near.com", "far.com"): 1, ("fan.com", "bad.net"): 2, ("sub.shop.com", "shop.com"): 1, ("shop.com", "sub.shop.com"): 1}
-    for score, seed, turn in (("trust", "good.org", False), ("distrust", "bad.net", True)):
+    edges |= {(f"h{k}.com", f"h{k + 1}.com"): 1 for k in range(14)} | {("h14.com", "bad.net"): 1}
+    for score, seeds, turn in (("trust", ["good.org"], False), ("distrust", ["bad.net"], True)):
         graph = {(b, a) if turn else (a, b): w for (a, b), w in edges.items()}
         out = {a: sum(w for (x, _), w in graph.items() if x == a) for a, _ in graph}
-        now = {seed: 1.0}
-        for _ in range(10):
-            new = {seed: 0.15}
+        now = {s: 1 / len(seeds) for s in seeds}
+        for _ in range(200):
+            new = {s: 0.15 / len(seeds) for s in seeds}
             for (a, b), w in graph.items():
                 new[b] = new.get(b, 0) + 0.85 * now.get(a, 0) * w / out[a]
             now = new
         for host, row in got.items():
-            assert row[score] == pytest.approx(now.get(host, 0))
-    assert {h: r.verdict for h, r in got.items()} == {
+            assert row[score] == pytest.approx(now.get(host, 0), abs=url_filters.Spread().tolerance)
+    assert got["h0.com"].distrust > 0 and {r.verdict for h, r in got.items() if h[0] == "h"} == {"block"}
+    assert {h: r.verdict for h, r in got.items() if h[0] != "h"} == {
         "good.org": "allow", "near.com": "allow", "bad.net": "block", "fan.com": "block", "far.com": "allow", "sub.shop.com": "allow"}
 
 
@@ -228,6 +233,23 @@ def test_quality_rules_are_sparse_and_odd_rows_are_scored(spark, labelled):
     assert rows[None].score == rows[1].score and all(0 <= r.score <= 1 for r in rows.values()) and rows[None].held_out is False
 
 
+def test_compiled_rules_equal_a_plain_evaluation(spark, labelled):
+    docs, labels = labelled
+    model = quality.fit_rules(docs, labels, quality.RuleConfig(sample_rows=1500, trees=6))
+    texts = [r.text for r in docs.limit(300).collect()] + ["", " \n", "A1! é", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in quality.score_quality(rows, model).collect()}
+    for i, text in enumerate(t or "" for t in texts):
+        n, blanks = len(text), sum(c in " \t\n\r\x0b\x0c" for c in text)
+        words = re.split("[ \n]+", text)
+        share = lambda chars: sum(c in chars for c in text) / max(n, 1)
+        stats = {
+            "s_chars": math.log1p(n), "s_blank": blanks / max(n, 1), "s_word": (n - blanks) / (blanks + 1), "s_upper": share(quality.UPPER), "s_digit": share("0123456789"),
+            "s_mark": share(quality.MARKS), "s_stop": share(".,;:?"), "s_line": share("\n"), "s_wide": (len(text.encode()) - n) / max(n, 1), "s_distinct": len(set(words)) / len(words)}
+        odds = model.intercept + sum(r.weight for r in model.rules if all((stats[s] > limit) == above for s, above, limit in r.tests))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
 @pytest.mark.parametrize("ones, score", [([], 0.5), ([1, 1], 1.0), ([0, 0, None, 7], 0.0)])
 def test_quality_without_two_labels_is_constant(spark, ones, score):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][: len(ones)]
@@ -249,6 +271,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert n.get((0, 1), 0) <= 0.005 * n[0, 0]
 
 
+def test_scores_are_those_of_a_plain_chain(spark):
+    """Every link by hand: words of the vocabulary that a text has, and the probabilities of the links before."""
+    rnd = random.Random(4)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    text = {i: " ".join(rnd.choice(["bad", "vile", "good", "fine", "day", "rain"]) for _ in range(5)) for i in ids}
+    known = [(i, int("vile" in text[i]), int("bad" in text[i]), int("bad" in text[i] or "vile" in text[i])) for i in ids]
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    names = ["threat", "insult", "any"]
+    chain = toxicity.fit_chain(docs, spark.createDataFrame(known, "doc_id long, threat int, insult int, any int"), names)
+    assert [n for n, _ in chain.models] == names and all(len(m.coefficients) == len(chain.words.vocabulary) + k for k, (_, m) in enumerate(chain.models))
+    odd = {900: "VILE, bad!", 901: "unknown words", 902: "", 903: "good-day"}
+    scored = toxicity.score_toxicity(docs.union(spark.createDataFrame(list(odd.items()), docs.schema)), chain)
+    index = {w: k for k, w in enumerate(chain.words.vocabulary)}
+    for r in scored.collect():
+        flat = "".join(" " if c in toxicity.MARKS else c for c in (text | odd)[r.doc_id].lower())
+        have, earlier = {index[w] for w in flat.split(" ") if w in index}, []
+        for name, model in chain.models:
+            weights = model.coefficients.toArray()
+            z = model.intercept + sum(weights[k] for k in have) + sum(weights[len(index) + k] * p for k, p in enumerate(earlier))
+            earlier.append(1 / (1 + math.exp(-z)))
+            assert r[f"p_{name}"] == pytest.approx(earlier[-1], abs=1e-9)
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, "p"), (2, "", "q"), (None, "some words", "r")], "doc_id long, text string, words string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

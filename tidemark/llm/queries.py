@@ -38,15 +38,19 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-#: Categories in the order of the chain: abuse at all, abuse in texts of poor and of good quality.
-TOXIC = ("toxic", "toxic_junk", "toxic_prose")
+#: Categories in the order of the chain: abuse in texts of poor and of good quality, and abuse at all, which is judged last and with the others' probabilities.
+TOXIC = ("toxic_junk", "toxic_prose", "toxic")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFrame:
-    """Probabilities of the categories for every document; toxic: 1 if that of the first reaches the threshold."""
+    """Probabilities of the categories for every document; toxic: 1 if that of the last link reaches the threshold.
+
+    The table labels two things, so the categories before the last are the products of its labels
+    toxic and quality (toxic * (1 - quality), toxic * quality).
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     categories = labels.select(
-        "doc_id", F.col("toxic"), (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"), (F.col("toxic") * F.col("quality")).alias("toxic_prose"))
+        "doc_id", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"), (F.col("toxic") * F.col("quality")).alias("toxic_prose"), "toxic")
     chain = toxicity.fit_chain(docs, categories, TOXIC)
     scored = toxicity.score_toxicity(docs, chain)
     for c in TOXIC:
