@@ -16,7 +16,7 @@ from tidemark.llm.common import QueryFn, forget, shared_folder, small_batches, t
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Tokenizer versions by their files, and those that need none.
-TOKENIZERS = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.json", "word-bpe-49k": "/opt/tokenizers/word_bpe_49k.json"}
+TOKENIZERS = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "word-bpe-49k": "/opt/tokenizers/word_bpe_49k.json"}
 COUNTERS = {"words-1": token_counts.word_count, "bytes-1": token_counts.byte_count}
 
 

@@ -8,11 +8,12 @@ one step, so a batch that comes again, or is tried again after a lost driver, co
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from operator import mul
 
 import pyarrow as pa
@@ -45,8 +46,32 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: The pattern that cuts a text before byte-level merges, which files of ranks do not hold.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def file_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts by a tokenizers file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def ranks_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts by a file of byte-level ranks (base64 token and rank on each line)."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+
+
 class PieceCounter:
-    """Counts texts' tokens by every tokenizers file, exactly, from the counts of pieces.
+    """Counts texts' tokens by every tokenizers or ranks file, exactly, from the counts of pieces.
 
     A text is cut before each blank between two other characters, and what lies between is cut at single
     line feeds and before a mark that ends it after a letter. The files' tokenizers cut there themselves,
@@ -56,12 +81,7 @@ class PieceCounter:
     """
 
     def __init__(self, paths: Sequence[str]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizers = [Tokenizer.from_file(path) for path in paths]
-        for tokenizer in self.tokenizers:
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.counters = [ranks_counter(path) if path.endswith(".tiktoken") else file_counter(path) for path in paths]
         self.known: dict[str, int] = {}  # the counts by all tokenizers as digits of one number
 
     @staticmethod
@@ -100,8 +120,8 @@ class PieceCounter:
                 last += 1
             part = pieces[first:last]
             counts = [0] * len(part)
-            for i, tokenizer in enumerate(self.tokenizers):
-                counts = [n + (len(e) << DIGITS * i) for n, e in zip(counts, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)]
+            for i, counted in enumerate(self.counters):
+                counts = [n + (more << DIGITS * i) for n, more in zip(counts, counted(part), strict=True)]
             yield from counts
             first = last
 
@@ -119,11 +139,11 @@ class PieceCounter:
         for piece in (*new, *wanted):
             if full or len(piece) > KNOWN_CHARS:
                 known.pop(piece, None)
-        return [tuple(n >> DIGITS * i & (1 << DIGITS) - 1 for i in range(len(self.tokenizers))) for n in totals]
+        return [tuple(n >> DIGITS * i & (1 << DIGITS) - 1 for i in range(len(self.counters))) for n in totals]
 
 
 def tokenizer_counts(docs: DataFrame, paths: Mapping[str, str], text: str = "text") -> DataFrame:
-    """docs without its text column and with a long column for each name of paths: tokens by that tokenizers file.
+    """docs without its text column and with a long column for each name of paths: tokens by that tokenizers (or .tiktoken ranks) file.
 
     Null and empty texts have none. paths must be readable by every executor. Columns of docs named
     like a new one are replaced. One Python worker for each task counts by all tokenizers.
