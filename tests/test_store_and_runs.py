@@ -4,9 +4,13 @@ import datetime as dt
 import random
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from checks.oracles import ORACLES
+from checks.queries import training_evidence, train_days_learnt
+from tests.compare import compare
 from tidemark import spec
 from tidemark.operators import metrics, normalize, training_data
 from tidemark.operators.btc import BtcFeatures
@@ -293,6 +297,37 @@ def test_a_tree_splits_on_its_own_features_only(boosting_rows):
     assert all(u and u <= d and len(d) == 2 for u, d in zip(trees, drawn)) and len(set(map(frozenset, drawn))) > 1
 
 
+def test_evidence_of_days_with_one_label(spark, tmp_path):
+    """Prices that never fall by the drawdown, as means of very many rows do not: no day has label 1, so there is no AUC."""
+    rnd = random.Random(5)
+    days = [dt.datetime(1995, 1, 2) + dt.timedelta(days=i) for i in range(110)] + [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    lines = [(8 * i + j, rnd.randrange(2000), rnd.randrange(100), 1 + j, float(rnd.randint(1, 50)), 5e4 + rnd.random() * 100, 0.0,
+              rnd.random() / 10, rnd.choice("RAN"), "O", day) for i, day in enumerate(days) for j in range(4)]
+    orders = [(i, rnd.randrange(1, 500), "O", rnd.random() * 1e5, day, "5-LOW" if i % 3 else "1-URGENT") for i, day in enumerate(days)]
+    kinds = ("signup", "purchase", "view", "error")
+    events = [(24 * i + h, dt.datetime(2024, 1, 1 + i, h), rnd.randrange(99), kinds[h % 4], 50 + rnd.random(), "{}") for i in range(30) for h in range(24)]
+    con = duckdb.connect()
+    for name, rows, schema in (
+        ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                            "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        ("events", events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, training_evidence, ORACLES["training_evidence"], str(tmp_path)) is None
+
+
+@pytest.mark.parametrize("labels, scores, auc, want", [
+    ([0] * 100, [10.0] * 100, None, (100, True)), ([0] * 100, [10.0] * 99 + [60.0], None, (100, False)),
+    ([1] * 100, [90.0] * 100, None, (100, True)), ([1] * 100, [90.0] * 99 + [None], None, (100, False)),
+    ([0, 1] * 50, [10.0] * 100, 0.5, (100, False)), ([0, 1] * 50, [10.0, 90.0] * 50, 1.0, (100, True)),
+    ([0, 1] * 50, [10.0, None] * 50, None, (100, False)), ([0, 1], [90.0, 10.0], 0.0, (2, True))])
+def test_train_days_learnt(spark, labels, scores, auc, want):
+    rows = [(y, p, "train") for y, p in zip(labels, scores)] + [(0, 99.0, "validation"), (1, 1.0, "validation")]
+    assert train_days_learnt(spark.createDataFrame(rows, "target int, raw_score double, split string"), auc) == want
+
+
 def test_chains_are_trained_at_the_same_time(spark):
     both = threading.Barrier(2, timeout=60)
 
