@@ -328,6 +328,38 @@ def test_train_days_learnt(spark, labels, scores, auc, want):
     assert train_days_learnt(spark.createDataFrame(rows, "target int, raw_score double, split string"), auc) == want
 
 
+@pytest.mark.parametrize("labels, scores, auc, want", [
+    ([0, 1], [90.0, 10.0], 0.0, (2, False)), ([0, 1], [10.0, 90.0], 1.0, (2, True)), ([0, 1] * 3, [50.0] * 6, 0.5, (6, False)),
+    ([1] * 6, [90.0] * 6, None, (6, True)), ([1] * 6, [90.0] * 5 + [40.0], None, (6, False)), ([0], [90.0], None, (1, False)),
+    ([0, 1] * 49 + [0], [50.0] * 99, 0.5, (99, False)), ([], [], None, (0, False))])
+def test_any_number_of_train_days_is_judged(spark, labels, scores, auc, want):
+    rows = [(y, p, "train") for y, p in zip(labels, scores)] + [(0, 10.0, "validation"), (1, 90.0, "validation")]
+    assert train_days_learnt(spark.createDataFrame(rows, "target int, raw_score double, split string"), auc, few=0) == want
+
+
+@pytest.mark.parametrize("told, learns", [(False, False), (True, True)])
+def test_evidence_of_few_days(spark, tmp_path, told, learns):
+    """Six train days of both labels: their fit has learnt when a feature tells the labels, and not when each day has a twin of the other label."""
+    rnd = random.Random(6)
+    days = [dt.datetime(1995, 1, 2) + dt.timedelta(days=i) for i in range(20)] + [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    lines = [(8 * i + j, rnd.randrange(2000), rnd.randrange(100), 1 + j, float(rnd.randint(1, 50)), 5e4 + rnd.random() * 100, 0.0,
+              rnd.random() / 10, rnd.choice("RAN"), "O", day) for i, day in enumerate(days) for j in range(4)]
+    orders = [(i, rnd.randrange(1, 500), "O", rnd.random() * 1e5, day, "5-LOW" if i % 3 else "1-URGENT") for i, day in enumerate(days)]
+    high = {d for d in range(60) if d in (1, 3, 5) or d > 5 and d % 20 == 0}  # closes that are followed by a fall; no other feature follows from the values
+    calls = [24 * (d in high) if told else 1 + d // 2 % 3 * 4 for d in range(60)]
+    events = [(60 * d + h, dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h), h, "click" if h < calls[d] else "view",
+               90.0 if d in high and h > 12 else 50.0, "{}") for d in range(60) for h in range(24)]
+    for name, rows, schema in (
+        ("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                            "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        ("events", events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {row["chain"]: row for row in training_evidence(spark, str(tmp_path)).collect()}
+    assert (found["ETH"]["n_train"], found["ETH"]["learns"]) == (6, learns)
+
+
 def test_chains_are_trained_at_the_same_time(spark):
     both = threading.Barrier(2, timeout=60)
 
